@@ -1,0 +1,30 @@
+"""Joins whose left side may hold a third of its rows on one key."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+SALTS = 16
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, spread_by: Sequence[Column], salts: int = SALTS
+) -> DataFrame:
+    """Equi-join of a large, possibly skewed ``left`` with a narrow ``right``.
+
+    Rows of one key are spread over ``salts`` tasks by a hash of other columns (the same
+    on every retry), and each right row is repeated once per salt. Every left row meets
+    exactly one copy, so ``inner``, ``left``, ``left_semi`` and ``left_anti`` keep their
+    meaning. A right side small enough to broadcast is still broadcast by Spark.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"not a salted join: {how}")
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return (
+        left.withColumn("_salt", salt)
+        .join(right.withColumn("_salt", copies), [*on, "_salt"], how)
+        .drop("_salt")
+    )
