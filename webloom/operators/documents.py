@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from webloom.functions.text import build_prompt, markdown_block, safe_filename
-from webloom.operators.split_windows import PIECE_ROWS, Running, running
+from webloom.operators.split_windows import PIECE_ROWS, Running, piece_size, running
 
 
 def prompts(titles: DataFrame, base_prompt: str) -> DataFrame:
@@ -33,9 +33,10 @@ def markdown_document(replies: DataFrame, piece_rows: int = PIECE_ROWS) -> DataF
     The document is the concatenation of the blocks by ``row_id``. It is never built in
     one place: ``start`` tells any writer where its block belongs.
     """
+    size = piece_size(replies, "row_id", piece_rows)
     blocks = replies.select(
         "row_id", F.lit("document").alias("document"),
         markdown_block(F.col("title"), F.col("reply"), "section").alias("block"),
     )
     length = Running("sum", F.length("block").cast("long"), include_current=False)
-    return running(blocks, ["document"], "row_id", {"start": length}, piece_rows).select("row_id", "block", "start")
+    return running(blocks, ["document"], "row_id", {"start": length}, size).select("row_id", "block", "start")

@@ -8,7 +8,7 @@ from webloom.fixed_values import (
     BACKOFF_BASE_SECONDS, BACKOFF_MAX_SECONDS, BLOCK_STATUSES, MAX_CONSECUTIVE_BLOCKS,
     MAX_RETRIES_PER_URL, RETRY_STATUSES,
 )
-from webloom.operators.split_windows import PIECE_ROWS, Running, row_numbers, running
+from webloom.operators.split_windows import PIECE_ROWS, Running, piece_size, row_numbers, running
 
 
 def redirect_status(hops: DataFrame, keys: tuple[str, ...] = ("site_id", "url")) -> DataFrame:
@@ -21,17 +21,17 @@ def redirect_status(hops: DataFrame, keys: tuple[str, ...] = ("site_id", "url"))
 def block_streaks(log: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Length of the running streak of blocked attempts per site, up to the stop.
 
-    Anything but a block resets the streak. The attempt that completes the longest
-    allowed streak is still listed; the site's later attempts are not.
+    ``seq`` counts the attempts of a site from 1 without gaps. Anything but a block
+    resets the streak. The attempt that completes the longest allowed streak is still
+    listed; the site's later attempts are not.
     """
+    size = piece_size(log, "seq", piece_rows)
     blocked = F.col("status").isin(*BLOCK_STATUSES)
-    numbered = row_numbers(log, ["site_id"], "seq", "_n", piece_rows)
-    last_reset = Running("max", F.when(~blocked, F.col("_n")))
-    streaks = running(numbered, ["site_id"], "seq", {"_reset": last_reset}, piece_rows)
-    streaks = streaks.withColumn("streak", (F.col("_n") - F.coalesce("_reset", F.lit(0))).cast("long"))
-    full = Running("sum", (F.col("streak") >= MAX_CONSECUTIVE_BLOCKS).cast("int"), include_current=False)
-    cut = running(streaks, ["site_id"], "seq", {"_stopped": full}, piece_rows)
-    return cut.filter(F.col("_stopped") == 0).drop("_n", "_reset", "_stopped")
+    streaks = running(log, ["site_id"], "seq", {"_reset": Running("max", F.when(~blocked, F.col("seq")))}, size)
+    streaks = streaks.withColumn("streak", F.col("seq") - F.coalesce("_reset", F.lit(0))).drop("_reset")
+    full = Running("sum", (F.col("streak") >= MAX_CONSECUTIVE_BLOCKS).cast("long"), include_current=False)
+    cut = running(streaks, ["site_id"], "seq", {"_stopped": full}, size)
+    return cut.filter(F.col("_stopped") == 0).drop("_stopped")
 
 
 def _seconds(text: Column) -> Column:
@@ -45,13 +45,14 @@ def retry_plan(log: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
 
     Attempts beyond the allowed retries are listed without a waiting time.
     """
+    size = piece_size(log, "seq", piece_rows)
     throttled = log.filter(F.col("status").isin(*RETRY_STATUSES))
-    numbered = row_numbers(throttled, ["site_id", "url"], "seq", "attempt", piece_rows)
+    numbered = row_numbers(throttled, ["site_id", "url"], "seq", "attempt", size)
     # The wait is capped anyway, so the exponent may be, too.
     doubling = F.pow(F.lit(2.0), F.least(F.col("attempt") - 1, F.lit(16))) * BACKOFF_BASE_SECONDS
     wait = F.least(F.greatest(doubling, _seconds(F.col("retry_after"))), F.lit(float(BACKOFF_MAX_SECONDS)))
     retried = F.col("attempt") <= MAX_RETRIES_PER_URL
-    return numbered.withColumn("attempt", F.col("attempt").cast("long")).select(
+    return numbered.select(
         "site_id", "seq", "url", "status", "attempt",
         retried.alias("retried"), F.when(retried, wait).alias("wait_seconds"),
     )

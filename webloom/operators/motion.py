@@ -20,7 +20,7 @@ from webloom.fixed_values import (
     WARN_UNASSESSABLE,
 )
 from webloom.functions.files import path_parts, peak_stamp, relative_path
-from webloom.operators.split_windows import PIECE_ROWS, Running, running, top_rows
+from webloom.operators.split_windows import Folded, PIECE_ROWS, Running, fold_runs, piece_size, running, top_rows
 
 
 # --- samples ----------------------------------------------------------------
@@ -70,70 +70,42 @@ def boxes_touch(first: Column, second: Column, margin: int = BOX_TOUCH_PIXELS) -
 
 
 # --- events -----------------------------------------------------------------
-def _compared(samples: DataFrame, piece_rows: int) -> DataFrame:
-    """Decoded samples with the time of the one before; the first of a clip only primes the
-    comparison and drops out."""
-    before = {"_prev_ts": Running("max", F.col("ts"), include_current=False)}
-    rows = running(samples.filter("decoded"), ["clip_id"], "frame_index", before, piece_rows)
-    return rows.filter(F.col("_prev_ts").isNotNull())
+def _compared(samples: DataFrame, active: Column, size: int | None) -> DataFrame:
+    """Active samples with ``prev_ts`` of the sample before and ``last``, the active one before.
 
-
-def motion_event_samples(
-    samples: DataFrame, config: MotionConfig, piece_rows: int = PIECE_ROWS
-) -> DataFrame:
-    """Boxed samples with the number of the event they belong to.
-
-    A boxed sample starts an event when the last boxed one is too long ago, none of its
-    boxes touches a box of that one, or an empty sample in between was already further
-    away than ``event_gap``.
+    The first decoded sample of a clip only primes the comparison: it shows no motion
+    itself but counts as a sample before.
     """
-    boxed = _compared(samples, piece_rows).filter(F.size("boxes") > 0)
-    last = F.struct("frame_index", "ts", "boxes")
-    boxed = running(
-        boxed, ["clip_id"], "frame_index",
-        {"_last": Running("max", last, include_current=False)}, piece_rows,
-    )
-    limit = F.greatest(F.lit(config.max_event_gap), F.col("interval") * 1.5)
-    starts = (
-        F.col("_last").isNull()
-        | (F.col("ts") - F.col("_last.ts") > limit)
-        | ~boxes_touch(F.col("_last.boxes"), F.col("boxes"))
-        | (F.col("_prev_ts") - F.col("_last.ts") > config.event_gap)
-    )
-    # Kept as a column: the box test is done once, not once per use.
-    flagged = boxed.withColumn("_starts", starts.cast("long")).drop("_last", "_prev_ts")
-    return running(
-        flagged, ["clip_id"], "frame_index", {"event_id": Running("sum", F.col("_starts"))}, piece_rows
-    ).drop("_starts")
-
-
-def motion_event_samples_legacy(
-    samples: DataFrame, config: MotionConfig, piece_rows: int = PIECE_ROWS
-) -> DataFrame:
-    """The older rule: boxed or uncertain samples belong together until an inactive sample
-    more than ``event_gap`` after the last active one."""
-    active = (F.size("boxes") > 0) | F.col("uncertain")
-    rows = running(
-        _compared(samples, piece_rows).filter(active), ["clip_id"], "frame_index",
-        {"_last_ts": Running("max", F.col("ts"), include_current=False)}, piece_rows,
+    decoded = samples.filter("decoded")
+    before = {
+        "first_frame": Running("min", F.col("frame_index"), include_current=False),
+        "prev_ts": Running("max", F.col("ts"), include_current=False),
+        "last": Running(
+            "max", F.when(active, F.struct("frame_index", "ts", "boxes")), include_current=False
+        ),
+    }
+    rows = running(decoded, ["clip_id"], "frame_index", before, size)
+    primed = F.col("last.frame_index") == F.col("first_frame")
+    return (
+        rows.filter(active & F.col("first_frame").isNotNull())
+        .withColumn("last", F.when(~primed, F.col("last")))
+        .drop("first_frame")
     )
-    starts = F.col("_last_ts").isNull() | (F.col("_prev_ts") - F.col("_last_ts") > config.event_gap)
-    flagged = rows.withColumn("_starts", starts.cast("long")).drop("_last_ts", "_prev_ts")
-    return running(
-        flagged, ["clip_id"], "frame_index", {"event_id": Running("sum", F.col("_starts"))}, piece_rows
-    ).drop("_starts")
 
 
-def event_summary(event_samples: DataFrame, min_samples: int = 1) -> DataFrame:
+def _events(active: DataFrame, starts: Column, size: int | None, min_samples: int) -> DataFrame:
     """One row per event: span, sample count, and the boxes at its first highest score."""
     best = F.struct(
-        F.col("score"), (-F.col("frame_index")).alias("first"), F.col("ts").alias("peak"), F.col("boxes")
-    )
-    first = F.min(F.struct("ts", "interval"))
-    events = event_samples.groupBy("clip_id", "event_id").agg(
-        first.alias("_first"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("samples"),
-        F.max(best).alias("_best"), F.bool_or("uncertain").alias("uncertain"),
+        F.col("score"), (-F.col("frame_index")).alias("earlier"), F.col("ts").alias("peak"), F.col("boxes")
     )
+    folded = {
+        "_first": Folded("min", F.struct("ts", "interval")),
+        "end": Folded("max", F.col("ts")),
+        "samples": Folded("sum", F.lit(1).cast("long")),
+        "_best": Folded("max", best),
+        "uncertain": Folded("any", F.col("uncertain")),
+    }
+    events = fold_runs(active, ["clip_id"], "frame_index", starts, "event_id", folded, size)
     return events.filter(F.col("samples") >= min_samples).select(
         "clip_id", "event_id",
         F.greatest(F.lit(0.0), F.col("_first.ts") - F.col("_first.interval")).alias("start"),
@@ -143,11 +115,31 @@ def event_summary(event_samples: DataFrame, min_samples: int = 1) -> DataFrame:
 
 
 def motion_events(samples: DataFrame, config: MotionConfig, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    return event_summary(motion_event_samples(samples, config, piece_rows), config.min_event_samples)
+    """Events of boxed samples.
+
+    A boxed sample starts an event when the last boxed one is too long ago, none of its
+    boxes touches a box of that one, or an empty sample in between was already further
+    away than ``event_gap``. Events of too few samples are dropped.
+    """
+    size = piece_size(samples, "frame_index", piece_rows)
+    boxed = _compared(samples, F.size("boxes") > 0, size)
+    limit = F.greatest(F.lit(config.max_event_gap), F.col("interval") * 1.5)
+    starts = (
+        F.col("last").isNull()
+        | (F.col("ts") - F.col("last.ts") > limit)
+        | ~boxes_touch(F.col("last.boxes"), F.col("boxes"))
+        | (F.col("prev_ts") - F.col("last.ts") > config.event_gap)
+    )
+    return _events(boxed, starts, size, config.min_event_samples)
 
 
 def motion_events_legacy(samples: DataFrame, config: MotionConfig, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    return event_summary(motion_event_samples_legacy(samples, config, piece_rows))
+    """Events by the older rule: boxed or uncertain samples belong together until an
+    inactive sample more than ``event_gap`` after the last active one."""
+    size = piece_size(samples, "frame_index", piece_rows)
+    active = _compared(samples, (F.size("boxes") > 0) | F.col("uncertain"), size)
+    starts = F.col("last").isNull() | (F.col("prev_ts") - F.col("last.ts") > config.event_gap)
+    return _events(active, starts, size, 1)
 
 
 def top_events(events: DataFrame, config: MotionConfig, piece_rows: int = PIECE_ROWS) -> DataFrame:

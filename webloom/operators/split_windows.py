@@ -1,10 +1,10 @@
 """Running values over ordered groups of any size.
 
-A plain ``Window.partitionBy(key)`` puts a whole group into one task. Here each group is
-cut along its integer order column into pieces of at most ``piece_rows`` order values.
-Running values are computed inside a piece, one total per piece is carried forward over
-the (far fewer) pieces, and the carried value is combined with the local one. The result
-equals the undivided window.
+A plain ``Window.partitionBy(key)`` puts a whole group into one task. That is fine while
+groups are short, which ``piece_size`` checks. Longer groups are cut along their integer
+order column into pieces of at most ``piece_rows`` order values: running values are
+computed inside a piece, one total per piece is carried forward over the (far fewer)
+pieces, and both are combined. The result equals the undivided window.
 """
 
 from __future__ import annotations
@@ -14,12 +14,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from webloom.session import materialize
+
 PIECE_ROWS = 1 << 16
+_FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
+_JOIN = {"max": F.greatest, "min": F.least}
 
 
 @dataclass(frozen=True)
 class Running:
-    """``sum`` or ``max`` of ``value`` over the rows so far.
+    """``sum``, ``max`` or ``min`` of ``value`` over the rows so far.
 
     ``max`` also finds the latest row of some kind: give it a struct that starts with
     the order column and is null elsewhere.
@@ -29,54 +33,102 @@ class Running:
     value: Column
     include_current: bool = True
 
+    def over(self, window) -> Column:
+        frame = window.rowsBetween(Window.unboundedPreceding, 0 if self.include_current else -1)
+        value = _FOLD[self.kind](self.value).over(frame)
+        return F.coalesce(value, F.lit(0)) if self.kind == "sum" else value
+
+
+def piece_size(df: DataFrame, order: str, piece_rows: int = PIECE_ROWS) -> int | None:
+    """``piece_rows`` if an order value lies beyond one piece, else None: no group needs cutting.
+
+    Order values are not negative and unique in their group, so the largest one bounds
+    every group. Looks at one column of a stored table and brings back one number.
+    """
+    largest = df.agg(F.max(order)).first()[0]
+    return piece_rows if largest is not None and largest >= piece_rows else None
+
+
+def with_piece(df: DataFrame, order: str, size: int) -> DataFrame:
+    return df.withColumn("_piece", F.expr(f"`{order}` div {size}"))
+
 
 def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    values: Mapping[str, Running],
-    piece_rows: int = PIECE_ROWS,
+    df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Running], size: int | None
 ) -> DataFrame:
-    """Add one column per entry of ``values``.
+    """Add one column per entry of ``values``; ``size`` comes from ``piece_size``.
 
-    ``keys`` are not null; ``order`` is a non-null integer, unique in its group.
+    ``keys`` are not null; ``order`` is an integer, not null and unique in its group.
     """
-    fold = {"sum": F.sum, "max": F.max}
-    piece = "_piece"
-    pieces = df.withColumn(piece, F.expr(f"`{order}` div {piece_rows}"))
+    if size is None:
+        whole = Window.partitionBy(*keys).orderBy(order)
+        return df.select("*", *[v.over(whole).alias(name) for name, v in values.items()])
 
-    totals = pieces.groupBy(*keys, piece).agg(
-        *[fold[v.kind](v.value).alias(f"_carry_{name}") for name, v in values.items()]
+    pieces = with_piece(df, order, size)
+    totals = pieces.groupBy(*keys, "_piece").agg(
+        *[_FOLD[v.kind](v.value).alias(f"_carry_{name}") for name, v in values.items()]
     )
-    earlier = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_piece")
     carried = totals.select(
-        *keys, piece,
-        *[fold[v.kind](f"_carry_{name}").over(earlier).alias(f"_carry_{name}") for name, v in values.items()],
+        *keys, "_piece",
+        *[Running(v.kind, F.col(f"_carry_{name}"), False).over(earlier).alias(f"_carry_{name}") for name, v in values.items()],
     )
-
-    local = Window.partitionBy(*keys, piece).orderBy(order)
-    for name, v in values.items():
-        frame = local.rowsBetween(Window.unboundedPreceding, 0 if v.include_current else -1)
-        pieces = pieces.withColumn(f"_local_{name}", fold[v.kind](v.value).over(frame))
-
+    local = Window.partitionBy(*keys, "_piece").orderBy(order)
+    rows = pieces.select("*", *[v.over(local).alias(f"_local_{name}") for name, v in values.items()])
     # Same keys as the local windows: the large side is not shuffled again.
-    joined = pieces.join(carried, [*keys, piece], "left")
+    joined = rows.join(carried, [*keys, "_piece"])
     combined = []
     for name, v in values.items():
         here, before = F.col(f"_local_{name}"), F.col(f"_carry_{name}")
-        if v.kind == "sum":
-            both = F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0))
-        else:
-            both = F.greatest(here, before)
+        both = here + before if v.kind == "sum" else _JOIN[v.kind](here, before)
         combined.append(both.alias(name))
     return joined.select(*df.columns, *combined)
 
 
-def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: str, name: str, piece_rows: int = PIECE_ROWS
-) -> DataFrame:
+def row_numbers(df: DataFrame, keys: Sequence[str], order: str, name: str, size: int | None) -> DataFrame:
     """1-based position of each row in its group."""
-    return running(df, keys, order, {name: Running("sum", F.lit(1))}, piece_rows)
+    return running(df, keys, order, {name: Running("sum", F.lit(1).cast("long"))}, size)
+
+
+@dataclass(frozen=True)
+class Folded:
+    """An aggregate that can be taken in two steps: over rows, then over partial results."""
+
+    kind: str
+    value: Column
+
+
+def fold_runs(
+    df: DataFrame, keys: Sequence[str], order: str, starts: Column, run: str, folded: Mapping[str, Folded],
+    size: int | None,
+) -> DataFrame:
+    """Aggregate runs of consecutive rows; a row where ``starts`` is true opens a run.
+
+    The first row of a group must open one. Runs are numbered from 1 in ``run``. A run
+    may be of any length and may cross pieces.
+    """
+    merge = {"sum": F.sum, "max": F.max, "min": F.min, "any": F.bool_or}
+    opened = Running("sum", F.col("_starts"))
+    flagged = df.withColumn("_starts", starts.cast("long"))
+    if size is None:
+        whole = Window.partitionBy(*keys).orderBy(order)
+        numbered = flagged.withColumn(run, opened.over(whole))
+        return numbered.groupBy(*keys, run).agg(*[merge[f.kind](f.value).alias(n) for n, f in folded.items()])
+
+    pieces = with_piece(flagged, order, size)
+    local = Window.partitionBy(*keys, "_piece").orderBy(order)
+    # Number 0 continues the last run of the pieces before.
+    partial = pieces.withColumn("_run", opened.over(local)).groupBy(*keys, "_piece", "_run").agg(
+        F.sum("_starts").alias("_starts"), *[merge[f.kind](f.value).alias(n) for n, f in folded.items()]
+    )
+    # Runs are few compared with rows; both uses below read the written table.
+    partial = materialize(partial, "partial-runs")
+    earlier = Window.partitionBy(*keys).orderBy("_piece")
+    opened_before = partial.groupBy(*keys, "_piece").agg(F.sum("_starts").alias("_starts")).select(
+        *keys, "_piece", Running("sum", F.col("_starts"), False).over(earlier).alias("_before")
+    )
+    numbered = partial.join(opened_before, [*keys, "_piece"]).withColumn(run, F.col("_before") + F.col("_run"))
+    return numbered.groupBy(*keys, run).agg(*[merge[f.kind](n).alias(n) for n, f in folded.items()])
 
 
 def top_rows(
@@ -87,10 +139,10 @@ def top_rows(
     Each piece (``split`` value) of a group keeps its own best rows first, so that the
     final ranking sees at most ``count`` rows per piece.
     """
-    piece = df.withColumn("_split", split)
     best_of_piece = Window.partitionBy(*keys, "_split").orderBy(*order)
     survivors = (
-        piece.withColumn("_rank", F.row_number().over(best_of_piece))
+        df.withColumn("_split", split)
+        .withColumn("_rank", F.row_number().over(best_of_piece))
         .filter(F.col("_rank") <= count)
         .drop("_rank", "_split")
     )

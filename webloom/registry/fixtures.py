@@ -3,14 +3,15 @@
 ``SHARED`` views are plain projections whose SQL runs unchanged in Spark and DuckDB. The
 ordered ones (``fx_fetch_log``, ``fx_frames``, ``fx_clips``) number events
 per user: DuckDB does it with one window, Spark with split windows, as one user may own a
-large share of all events.
+large share of all events, and stores them as the tables the operators expect.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from webloom.operators.split_windows import row_numbers
+from webloom.operators.split_windows import piece_size, row_numbers
+from webloom.session import materialize
 
 SHARED = {
     "fx_urls": """
@@ -185,10 +186,12 @@ class Tables:
 
     def _numbered_events(self, condition: str = "true") -> DataFrame:
         events = self.table("events").drop("ts", "props").filter(condition)
-        return row_numbers(events, ["user_id"], "event_id", "n")
+        size = piece_size(events, "event_id")
+        return row_numbers(events, ["user_id"], "event_id", "n", size)
 
     def fetch_log(self) -> DataFrame:
-        return self._numbered_events().selectExpr("user_id AS site_id", "n AS seq", *_ATTEMPT)
+        log = self._numbered_events().selectExpr("user_id AS site_id", "n AS seq", *_ATTEMPT)
+        return materialize(log, "fetch-log")
 
     def frames(self) -> DataFrame:
         rows = self._numbered_events(_FRAME_EVENTS).selectExpr(
@@ -196,9 +199,10 @@ class Tables:
         )
         box = F.array(F.struct("x", "y", "w", "h"))
         boxes = F.when(F.col("boxed"), box).otherwise(F.slice(box, 1, 0)).alias("boxes")
-        return rows.select(
+        frames = rows.select(
             "clip_id", "frame_index", "fps", "width", "height", "decoded", boxes, "score", "uncertain", "view_matches"
         )
+        return materialize(frames, "frames")
 
     def clips(self) -> DataFrame:
         seen = self.table("events").filter(_FRAME_EVENTS).groupBy(F.col("user_id").alias("clip_id")).agg(
