@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from webloom.fixed_values import HTTP_SCHEMES, SKIPPED_HREF_PREFIXES, UNWANTED_EXTENSIONS
-from webloom.functions.text import WHITESPACE, strip
+from webloom.functions.text import strip
 
 _URL = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
 _SCHEME, _AUTHORITY, _PATH = 1, 2, 3
@@ -19,7 +19,7 @@ _SCHEME, _AUTHORITY, _PATH = 1, 2, 3
 
 def _as_parsed(url: Column) -> Column:
     """What a URL parser sees: control characters cut at the front, tabs and line ends gone."""
-    return F.translate(F.regexp_replace(url, r"^[\x00-\x20]+", ""), "\t\r\n", "")
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
 
 
 def authority(url: Column) -> Column:
@@ -28,10 +28,8 @@ def authority(url: Column) -> Column:
 
 def normalize_url(url: Column) -> Column:
     """One spelling per http(s) URL, without fragment; everything else is empty text."""
-    text = F.regexp_replace(
-        F.coalesce(url, F.lit("")), f"^{WHITESPACE}*[\\x00-\\x20]*|{WHITESPACE}+$", ""
-    )
-    no_fragment = F.substring_index(F.translate(text, "\t\r\n", ""), "#", 1)
+    text = _as_parsed(strip(F.coalesce(url, F.lit(""))))
+    no_fragment = F.substring_index(text, "#", 1)
     base = F.substring_index(no_fragment, "?", 1)
     query = F.substr(no_fragment, F.length(base) + 2)
     scheme = (

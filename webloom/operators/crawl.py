@@ -2,48 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from webloom.session import work_folder
+from webloom.session import new_folder
 
-PAGES_PER_PARTITION = 20_000
-# The set of seen URLs is rewritten as one table after this many rounds.
-ROUNDS_PER_MERGE = 8
+_KEY = ["site", "url"]
 
 
 def crawl_bfs(starts: DataFrame, adjacency: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every URL reached from the start URLs, with its depth.
 
-    ``starts`` has ``site, url``; ``adjacency`` has one row per parsable page:
-    ``site, url, targets``. URLs without a page (missing or failing ones) are reached but
-    lead nowhere. Each round moves only the new URLs: the adjacency rows are partitioned
-    by page once, and their target lists are opened only for pages of the current round.
-    Lineage is cut by reliable checkpoints in the shared folder.
+    ``starts`` has ``site, url``; ``adjacency`` is a stored table with one row per
+    parsable page: ``site, url, targets``. URLs without a page (missing or failing ones)
+    are reached but lead nowhere.
+
+    Each round writes the URLs it found to its own part of one table in the shared
+    folder, so no plan grows with the rounds and a lost executor costs one round at most.
+    A round reads the adjacency columns and opens the target lists only of pages found
+    in the round before; while those are few, Spark broadcasts them by their written
+    size and the adjacency rows are not shuffled. Popular targets shrink to one row per
+    task before the shuffle of ``distinct``.
     """
     spark = starts.sparkSession
-    work_folder(spark)
-    pages = adjacency.count()
-    parts = max(1, -(-pages // PAGES_PER_PARTITION))
-    graph = adjacency.repartition(parts, "site", "url").checkpoint()
-
-    key = ["site", "url"]
-    frontier = starts.select(*key).distinct().withColumn("depth", F.lit(0)).checkpoint()
-    seen = frontier
+    folder = new_folder(spark, "visited")
+    spark_schema = f"{starts.select(*_KEY).schema.toDDL()}, depth INT"
+
+    def found(depth: int | None = None) -> DataFrame:
+        table = spark.read.schema(spark_schema).parquet(folder)
+        return table if depth is None else table.filter(F.col("depth") == depth)
+
+    starts.select(*_KEY).distinct().write.parquet(f"{folder}/depth=0")
     depth = 0
     while max_depth is None or depth < max_depth:
-        depth += 1
-        # A page links to few others compared with all URLs, and many pages share a
-        # target: distinct runs map-side before its shuffle.
         reached = (
-            frontier.select(*key).join(graph, key)
+            adjacency.join(found(depth).select(*_KEY), _KEY)
             .select("site", F.explode("targets").alias("url"))
             .distinct()
         )
-        fresh = reached.join(seen.select(*key), key, "left_anti").withColumn("depth", F.lit(depth))
-        frontier = fresh.checkpoint()
-        if frontier.isEmpty():
+        fresh = reached.join(found().select(*_KEY), _KEY, "left_anti")
+        depth += 1
+        # Counted while it is written; no further job asks whether anything was found.
+        progress = Observation()
+        fresh.observe(progress, F.count(F.lit(1)).alias("urls")).write.parquet(f"{folder}/depth={depth}")
+        if progress.get["urls"] == 0:
             break
-        seen = seen.unionByName(frontier)
-        if depth % ROUNDS_PER_MERGE == 0:
-            seen = seen.repartition(max(parts, 1), *key).checkpoint()
-    return seen
+    return found()

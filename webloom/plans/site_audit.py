@@ -52,14 +52,14 @@ def parse_snapshot(snapshot: DataFrame, skip_patterns: Sequence[str] = (), legac
 def site_audit(snapshot: DataFrame, starts: DataFrame, skip_patterns: Sequence[str] = ()) -> SiteAudit:
     """``snapshot``: one row per (site, url); ``starts``: site, start_url.
 
-    The snapshot is parsed once and written to the shared folder; the walk and both
-    reports read that table.
+    The snapshot is parsed once and written to the shared folder for the walk. The pages
+    it reached are joined once and written, too; every report reads that table.
     """
     parsed = materialize(parse_snapshot(snapshot, skip_patterns), "parsed-pages")
     start = starts.select("site", normalize_url(F.col("start_url")).alias("url"))
     adjacency = parsed.filter("parsed").select("site", "url", "targets")
     visited = crawl_bfs(start, adjacency)
-    rows = visited.join(parsed, ["site", "url"], "left")
+    rows = materialize(visited.join(parsed.drop("targets"), ["site", "url"], "left"), "visited-pages")
     return SiteAudit(visited, crawl_report(rows), audit_links(rows))
 
 

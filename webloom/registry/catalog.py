@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from webloom.registry.fixtures import Tables, sql_views
+from webloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -16,7 +17,11 @@ def query(name: str, check: str | None = None, inputs: str = ""):
     """Register a function of ``Tables``; ``check`` is its SQL over the named fixtures."""
 
     def register(build: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return build(Tables(spark, folder))
+
+        QUERIES[name] = run
         if check is not None:
             clause = sql_views(*inputs.split()) if inputs else ""
             body = check.strip()
