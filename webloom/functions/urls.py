@@ -41,9 +41,10 @@ def normalize_url(url: Column) -> Column:
     after_host = F.when(rest.startswith("//"), F.substr(rest, F.length(host) + 3)).otherwise(rest)
     # A parameter mark with nothing behind it is not kept.
     path = F.regexp_replace(after_host, r"(^|/)([^/;]*);$", "$1$2")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
+    # An empty path becomes the root, in front of parameters, too.
+    path = F.regexp_replace(path, r"^(;[^/]*)?$", "/$1")
     location = (
-        F.when(host != "", F.concat(F.lit("//"), F.lower(host), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))))
+        F.when(host != "", F.concat(F.lit("//"), F.lower(host), path))
         .when(path.startswith("/"), F.concat(F.lit("//"), path))
         .otherwise(path)
     )
