@@ -1,0 +1,135 @@
+import random
+from collections import deque
+
+from pyspark.sql import functions as F
+
+from webloom.operators import inspection as ins, links as ln
+from webloom.operators.crawl import crawl_bfs
+from webloom.plans.content_extract import content_extract, extract_counts
+from webloom.plans.inspection import inspect_urls
+from webloom.plans.site_audit import site_audit
+from webloom.schemas import INSPECTION_RESPONSE, PAGES, STARTS
+
+SITE = "https://a.example"
+
+
+def page(path, body, status=200, first=None, kind="text/html", error=None, site="a.example"):
+    return (site, f"https://{site}{path}", status, first or status, kind, f"<title>{path}</title><main>{body}</main>", error)
+
+
+def link(path, text="x"):
+    return f'<a href="{path}">{text}</a>'
+
+
+def test_walk_matches_a_queue(spark):
+    rng = random.Random(3)
+    graph = {n: rng.sample(range(90), rng.randint(0, 3)) for n in range(80)}
+    rows = [("s", str(n), [str(t) for t in ts]) for n, ts in graph.items()]
+    adjacency = spark.createDataFrame(rows, "site STRING, url STRING, targets ARRAY<STRING>")
+    starts = spark.createDataFrame([("s", "0"), ("s", "0"), ("t", "0")], "site STRING, url STRING")
+    depth, queue = {0: 0}, deque([0])
+    while queue:
+        n = queue.popleft()
+        for t in graph.get(n, []):
+            if t not in depth:
+                depth[t] = depth[n] + 1
+                queue.append(t)
+    got = {(r.site, int(r.url)): r.depth for r in crawl_bfs(starts, adjacency).collect()}
+    assert got == {("t", 0): 0} | {("s", n): d for n, d in depth.items()}
+    near = crawl_bfs(starts, adjacency, max_depth=1).filter("site = 's'").collect()
+    assert {int(r.url) for r in near} == {n for n, d in depth.items() if d <= 1}
+
+
+def test_site_audit(spark):
+    menu = link("/menu-item", "Menu")
+    rows = [
+        page("/", menu + link("/a", "A") + link("/b#x", "B") + link("/gone", "G") + link("/f.pdf")),
+        page("/a", menu + link("/", "home") + link("/b", "B") + link("/missing", "M"), first=301),
+        page("/b", menu + link("/moved", "to") + link("https://other.example/")),
+        page("/gone", "", status=404), page("/moved", link("/a", "A"), kind="application/json"),
+        page("/menu-item", menu, error="timeout"), page("/island", link("/a", "A")),
+    ]
+    snapshot = spark.createDataFrame(rows, PAGES)
+    starts = spark.createDataFrame([("a.example", "HTTPS://A.example#start")], STARTS)
+    audit = site_audit(snapshot, starts, skip_patterns=["^$"])
+    pages = {r.url.removeprefix(SITE): r for r in audit.pages.collect()}
+    assert {p: r.depth for p, r in pages.items()} == {
+        "/": 0, "/a": 1, "/b": 1, "/gone": 1, "/menu-item": 1, "/missing": 2, "/moved": 2}
+    assert {p: r.status_code for p, r in pages.items()} == {
+        "/": "200", "/a": "301", "/b": "200", "/gone": "404", "/menu-item": "Error: timeout", "/missing": "Not checked", "/moved": "200"}
+    assert {p: r.title for p, r in pages.items()} == {
+        "/": "/", "/a": "/a", "/b": "/b", "/gone": "", "/menu-item": "", "/missing": "", "/moved": ""}
+    links = {(r.source.removeprefix(SITE), r.destination.removeprefix(SITE), r.anchor_text, r.status_code) for r in audit.links.collect()}
+    # The menu link stands on all three parsed pages and is gone.
+    assert links == {
+        ("/", "/a", "A", "301"), ("/", "/b", "B", "200"), ("/", "/gone", "G", "404"), ("/a", "/", "home", "200"),
+        ("/a", "/b", "B", "200"), ("/a", "/missing", "M", "Not checked"), ("/b", "/moved", "to", "200")}
+
+
+def test_boilerplate_threshold(spark):
+    def kept(pages, sources):
+        links = spark.createDataFrame([("s", f"p{i}", "d", "t") for i in range(sources)],
+                                      "site STRING, source STRING, destination STRING, anchor_text STRING")
+        total = spark.createDataFrame([("s", pages)], "site STRING, pages BIGINT")
+        return ln.boilerplate_filter(links, total).count()
+
+    assert kept(2, 2) == 2          # too few pages to judge
+    assert kept(3, 2) == 2 and kept(3, 3) == 0
+    assert kept(6, 3) == 3 and kept(6, 4) == 0      # ceil(3.6) = 4
+    assert kept(5, 3) == 0          # exactly 60 %
+    assert kept(100, 59) == 59 and kept(100, 60) == 0
+
+
+def test_unresolved_links(spark):
+    links = spark.createDataFrame([("s", "p", "a", "t"), ("s", "q", "b", "t"), ("s", "r", "b", "t")],
+                                  "site STRING, source STRING, destination STRING, anchor_text STRING")
+    known = spark.createDataFrame([("s", "a", "200")], "site STRING, url STRING, status_code STRING")
+    assert [tuple(r) for r in ln.unresolved_links(links, known).collect()] == [("s", "b")]
+
+
+def test_content_extract_keeps_failed_and_repeated_urls(spark):
+    snapshot = spark.createDataFrame([page("/1", "text"), page("/2", "x", status=500), page("/3", "x", kind="image/png")], PAGES)
+    urls = spark.createDataFrame([(1, " a.example/1 "), (2, f"{SITE}/1"), (3, f"{SITE}/2"), (4, f"{SITE}/3"), (5, " "), (6, None), (7, "z.example")],
+                                 "n INT, Link STRING")
+    content = content_extract(urls, snapshot, keep=("n",))
+    assert sorted(tuple(r) for r in content.collect()) == [
+        (1, f"{SITE}/1", "/1", "", "text"), (2, f"{SITE}/1", "/1", "", "text"), (3, f"{SITE}/2", "", "", ""),
+        (4, f"{SITE}/3", "", "", ""), (7, "https://z.example", "", "", "")]
+    assert tuple(extract_counts(content).first()) == (2, 3)
+
+
+def response(verdict="PASS", robots="ALLOWED", fetch="SUCCESSFUL"):
+    fetched = f',"pageFetchState":"{fetch}"' if fetch else ""
+    verdict = f'"verdict":"{verdict}",' if verdict else ""
+    return f'{{"inspectionResult":{{"inspectionResultLink":"L","indexStatusResult":{{{verdict}"robotsTxtState":"{robots}"{fetched}}}}}}}'
+
+
+def test_inspection_verdicts(spark):
+    noindex = '<meta name="ROBOTS" content="NoIndex">'
+    cases = [
+        (response(), None, 200, "", None, None, "OK"),
+        (None, "quota", 200, "", None, None, "GSC_API_ERROR"),
+        (response(), "", 200, "", None, None, "OK"),
+        (response(), None, 200, "", None, "timeout", "LIVE_CHECK_ERROR"),
+        (response(), None, 404, noindex, None, None, "URL_NOT_AVAILABLE_LIVE"),
+        (response(), None, None, "", None, None, "URL_NOT_AVAILABLE_LIVE"),
+        (response(), None, 200, noindex, None, None, "NOINDEX_LIVE"),
+        (response(), None, 200, "", "googlebot: NOINDEX", None, "NOINDEX_LIVE"),
+        (response(robots="DISALLOWED"), None, 200, "", "nofollow", None, "BLOCKED_BY_ROBOTS_TXT_GSC"),
+        (response(fetch="SOFT_404"), None, 200, "", None, None, "PAGE_FETCH_PROBLEM_GSC"),
+        (response(fetch=None), None, 200, "", None, None, "OK"),
+        (response(verdict="NEUTRAL"), None, 200, "", None, None, "GSC_INDEXING_ISSUE"),
+        (response(verdict=None), None, 200, "", None, None, "GSC_INDEXING_ISSUE"),
+        ("{}", None, 200, None, None, None, "GSC_INDEXING_ISSUE"),
+    ]
+    # Every URL is listed under the same name: rows are told apart by row_id.
+    asked = spark.createDataFrame([(i, SITE, c[0], c[1] or None) for i, c in enumerate(cases)], INSPECTION_RESPONSE)
+    fetched = spark.createDataFrame([(i, SITE, *c[2:6]) for i, c in enumerate(cases)],
+                                    "row_id BIGINT, final_url STRING, status INT, html STRING, x_robots_tag STRING, error STRING")
+    report = inspect_urls(asked, fetched).orderBy("row_id").collect()
+    assert [r.final_status for r in report] == [c[6] for c in cases]
+    assert (report[1].gsc_verdict, report[1].gsc_error, report[1].inspection_link) == ("ERROR", "quota", None)
+    assert (report[3].live_available, report[3].live_noindex, report[3].live_http_status) == (False, None, None)
+    assert (report[8].live_nofollow, report[8].live_x_robots_tag, report[8].live_available) == (True, "nofollow", True)
+    short = ins.inspection_flatten_short(asked).orderBy("row_id").collect()
+    assert (short[1].status, short[12].status, short[0].status) == ("ERROR", "ERROR", "PASS")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from webloom.schemas import LINK_REPORT_HEADERS, PAGE_REPORT_HEADERS
 
@@ -29,14 +29,18 @@ def write_crawl_report(pages: DataFrame, links: DataFrame, path: str, mode: str
         write_report(kept, f"{path}/{name}", mode)
 
 
+def _line(column: str) -> Column:
+    """The text without its final line end, which the text writer adds itself."""
+    return F.substr(column, F.lit(1), F.length(column) - 1).alias("value")
+
+
 def write_markdown_files(files: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One folder per file name with the Markdown text inside."""
-    # A text file ends its last line itself.
-    text = files.select("filename", F.regexp_replace("content", r"\n$", "").alias("value"))
+    text = files.select("filename", _line("content"))
     text.write.mode(mode).partitionBy("filename").text(path)
 
 
 def write_markdown_document(blocks: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Part files that form the one document when read in name order."""
     ordered = blocks.repartitionByRange("row_id").sortWithinPartitions("row_id")
-    ordered.select("block").write.mode(mode).option("lineSep", "").text(path)
+    ordered.select(_line("block")).write.mode(mode).text(path)
