@@ -21,12 +21,12 @@ from webloom.fixed_values import (
     LAYOUT_TAGS, LEGACY_EXCLUDED_NAMES, LEGACY_EXCLUDED_ROLES, LEGACY_EXCLUDED_TAGS,
     LEGACY_EXCLUDED_WORDS, OVERLAY_CLASSES, OVERLAY_EDGE_CLASSES, OVERLAY_MIN_LINKS,
 )
-from webloom.functions.urls import absolute_url
+from webloom.functions.urls import absolute_url, host_of
 
 _META = pa.struct([("name", pa.string()), ("property", pa.string()), ("content", pa.string())])
 _REL_LINK = pa.struct([("rel", pa.string()), ("href", pa.string())])
 _LINK = pa.struct([
-    ("href", pa.string()), ("target", pa.string()), ("anchor", pa.string()),
+    ("href", pa.string()), ("target", pa.string()), ("internal", pa.bool_()), ("anchor", pa.string()),
     ("in_main", pa.bool_()), ("in_named", pa.bool_()), ("in_article", pa.bool_()),
     ("after_h1", pa.bool_()), ("excluded", pa.bool_()),
 ])
@@ -89,11 +89,8 @@ def names_navigation_legacy(value: str) -> bool:
     )
 
 
-def is_excluded_area(tag: str, attrs: dict[str, str], classes: list[str]) -> bool:
-    if tag in EXCLUDED_TAGS:
-        return True
-    if not attrs:
-        return False
+def is_excluded_area(attrs: dict[str, str], classes: list[str]) -> bool:
+    """By attributes; tags are in ``_TAG_PLACE``."""
     if attrs.get("role", "").strip().lower() in EXCLUDED_ROLES:
         return True
     if attrs.get("aria-modal", "").strip().lower() == "true":
@@ -102,8 +99,8 @@ def is_excluded_area(tag: str, attrs: dict[str, str], classes: list[str]) -> boo
     return any(names_navigation(v) for v in values + classes)
 
 
-def is_excluded_area_legacy(tag: str, attrs: dict[str, str], classes: list[str]) -> bool:
-    if tag in LEGACY_EXCLUDED_TAGS or attrs.get("role", "").strip().lower() in LEGACY_EXCLUDED_ROLES:
+def is_excluded_area_legacy(attrs: dict[str, str], classes: list[str]) -> bool:
+    if attrs.get("role", "").strip().lower() in LEGACY_EXCLUDED_ROLES:
         return True
     values = [attrs["id"]] if attrs.get("id", "").strip() else []
     return any(names_navigation_legacy(v) for v in values + classes)
@@ -117,15 +114,33 @@ def is_overlay(classes: list[str]) -> bool:
     return "absolute" in plain and not plain.isdisjoint(OVERLAY_EDGE_CLASSES)
 
 
-def is_layout(tag: str, attrs: dict[str, str], classes: list[str]) -> bool:
+def is_layout(attrs: dict[str, str], classes: list[str]) -> bool:
     return (
-        tag in LAYOUT_TAGS
-        or attrs.get("role") in LAYOUT_ROLES
+        attrs.get("role") in LAYOUT_ROLES
         or attrs.get("id") in LAYOUT_IDS
         or any(c in LAYOUT_CLASSES for c in classes)
     )
 
 
+def _tag_place(excluded_tags: tuple[str, ...]) -> dict[str, int]:
+    """What a tag alone says about the place of its content."""
+    kinds = (
+        (EXCLUDED, excluded_tags), (IN_MAIN, ("main",)), (IN_ARTICLE, ("article",)), (LAYOUT, LAYOUT_TAGS),
+        (HEAD, ("head", "title")), (NO_TEXT, _NO_TEXT),
+    )
+    places: dict[str, int] = {}
+    for bit, tags in kinds:
+        for tag in tags:
+            places[tag] = places.get(tag, 0) | bit
+    return places
+
+
+_TAG_PLACE = _tag_place(EXCLUDED_TAGS)
+_LEGACY_TAG_PLACE = _tag_place(LEGACY_EXCLUDED_TAGS)
+# Elements with none of these attributes, the great majority, are placed by tag alone.
+_TELLING = frozenset((*IDENTIFIER_ATTRIBUTES, "role", "aria-modal"))
+
+
 class _Open:
     """An element whose end has not been seen."""
 
@@ -133,7 +148,7 @@ class _Open:
 
     def __init__(self, tag: str, place: int) -> None:
         self.tag, self.place = tag, place
-        self.sinks: list[list[str]] = []
+        self.sinks: tuple[list[str], ...] = ()
         self.area_sink: list[str] | None = None
         self.overlay_from: int | None = None
 
@@ -146,6 +161,7 @@ class PageReader(HTMLParser):
         self.url = url
         self.legacy_rule = legacy_rule
         self.excludes = is_excluded_area_legacy if legacy_rule else is_excluded_area
+        self.tag_place = _LEGACY_TAG_PLACE if legacy_rule else _TAG_PLACE
         self.stack: list[_Open] = []
         self.pending: list[str] = []
         self.sinks: list[list[str]] = []
@@ -203,37 +219,33 @@ class PageReader(HTMLParser):
     # --- open elements ---
     def enter(self, tag: str, attrs: dict[str, str]) -> None:
         outer = self.stack[-1].place if self.stack else 0
-        classes = attrs.get("class", "").split()
-        place = outer
-        if self.excludes(tag, attrs, classes):
-            place |= EXCLUDED
-        if tag == "main" or attrs.get("role") == "main":
-            place |= IN_MAIN
-        if attrs.get("id") in CONTENT_IDS or any(c in CONTENT_CLASSES for c in classes):
-            place |= IN_NAMED
-        if tag == "article":
-            place |= IN_ARTICLE
-        if is_layout(tag, attrs, classes):
-            place |= LAYOUT
-        if tag in ("head", "title"):
-            place |= HEAD
-        if tag in _NO_TEXT:
-            place |= NO_TEXT
+        place = outer | self.tag_place.get(tag, 0)
+        classes: list[str] = []
+        if not _TELLING.isdisjoint(attrs):
+            classes = attrs.get("class", "").split()
+            if self.excludes(attrs, classes):
+                place |= EXCLUDED
+            if attrs.get("role") == "main":
+                place |= IN_MAIN
+            if attrs.get("id") in CONTENT_IDS or any(c in CONTENT_CLASSES for c in classes):
+                place |= IN_NAMED
+            if is_layout(attrs, classes):
+                place |= LAYOUT
         self.seen_place |= place
 
         node = _Open(tag, place)
         if tag == "title" and self.title is None:
             self.title = []
-            node.sinks.append(self.title)
+            node.sinks = (self.title,)
         elif tag == "h1" and self.h1 is None:
             self.h1 = []
-            node.sinks.append(self.h1)
+            node.sinks = (self.h1,)
         elif tag == "a" and "href" in attrs:
             link = {"href": attrs["href"].strip(), "texts": [], "place": outer,
                     "after_h1": self.h1 is not None}
             self.links.append(link)
             self.open_links.append(link)
-            node.sinks.append(link["texts"])
+            node.sinks = (link["texts"],)
         elif tag == "main" and self.main is None and not place & LAYOUT:
             node.area_sink = self.main = []
         elif tag == "article" and self.article is None and not place & LAYOUT:
@@ -296,11 +308,14 @@ class PageReader(HTMLParser):
 
     def link_facts(self) -> dict:
         links = []
+        host = host_of(self.url)
         for link in self.links:
+            target = absolute_url(self.url, link["href"])
             anchor = " ".join(" ".join(link["texts"]).split()) or " ".join(link.get("alt", "").split())
             place = link["place"]
             links.append({
-                "href": link["href"], "target": absolute_url(self.url, link["href"]), "anchor": anchor,
+                "href": link["href"], "target": target, "internal": target != "" and host_of(target) == host,
+                "anchor": anchor,
                 "in_main": bool(place & IN_MAIN), "in_named": bool(place & IN_NAMED),
                 "in_article": bool(place & IN_ARTICLE), "after_h1": link["after_h1"],
                 "excluded": bool(place & EXCLUDED),

@@ -63,6 +63,14 @@ def absolute_url(base: str, href: str) -> str:
     return url._replace(netloc=url.netloc.lower(), path=url.path or "/", fragment="").geturl()
 
 
+def host_of(url: str) -> str:
+    """Lower-case authority, as ``authority`` gives; runs inside Python workers."""
+    try:
+        return urlparse(url).netloc.lower()
+    except ValueError:
+        return ""
+
+
 @F.arrow_udf(StringType())
 def _resolve(base: pa.Array, href: pa.Array) -> pa.Array:
     return pa.array(

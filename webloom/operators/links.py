@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from webloom.fixed_values import MIN_SITEWIDE_LINK_SOURCES, NOT_CHECKED, SITEWIDE_LINK_PERCENT
 from webloom.functions.html import parse_page
-from webloom.functions.urls import authority, has_unwanted_extension, is_navigable_href, matches_skip
+from webloom.functions.urls import has_unwanted_extension, matches_skip
 from webloom.operators.joins import salted_join
 
 
@@ -18,21 +18,21 @@ def parse_links(pages: DataFrame, keep: Sequence[str], legacy_rule: bool = False
     return pages.select(*keep, facts.alias("page"))
 
 
-def _wanted(link: Column, domain: Column, skip_patterns: Sequence[str]) -> Column:
-    """Cheap tests first: href form, then host, extension and patterns of the target."""
+def _wanted(link: Column, skip_patterns: Sequence[str]) -> Column:
+    """Cheap tests first; mail, phone, script and data links have no target."""
     target = link["target"]
     return (
-        is_navigable_href(link["href"])
+        ~link["href"].isin("", "#")
         & (target != "")
-        & (authority(target) == domain)
+        & link["internal"]
         & ~has_unwanted_extension(target)
         & ~matches_skip(target, skip_patterns)
     )
 
 
-def discovered_targets(links: Column, domain: Column, skip_patterns: Sequence[str] = ()) -> Column:
+def discovered_targets(links: Column, skip_patterns: Sequence[str] = ()) -> Column:
     """Distinct crawlable targets of one page as an array."""
-    kept = F.filter(links, lambda l: _wanted(l, domain, skip_patterns))
+    kept = F.filter(links, lambda l: _wanted(l, skip_patterns))
     return F.array_distinct(F.transform(kept, lambda l: l["target"]))
 
 
@@ -47,9 +47,7 @@ def _in_content(link: Column) -> Column:
     )
 
 
-def content_link_array(
-    links: Column, domain: Column, skip_patterns: Sequence[str] = (), legacy_rule: bool = False
-) -> Column:
+def content_link_array(links: Column, skip_patterns: Sequence[str] = (), legacy_rule: bool = False) -> Column:
     """Distinct destination-and-anchor keys of one page's own content as an array.
 
     A key is one text, since Spark tells texts apart by hashing but compares structs
@@ -58,7 +56,7 @@ def content_link_array(
 
     def kept(link: Column) -> Column:
         inside = F.lit(True) if legacy_rule else _in_content(link)
-        return inside & ~link["excluded"] & _wanted(link, domain, skip_patterns)
+        return inside & ~link["excluded"] & _wanted(link, skip_patterns)
 
     keys = F.transform(F.filter(links, kept), lambda l: F.concat(l["target"], F.lit("\n"), l["anchor"]))
     return F.array_distinct(keys)
@@ -72,7 +70,7 @@ def link_key_columns(key: Column) -> list[Column]:
 def discover_links(pages: DataFrame, skip_patterns: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Every crawlable internal link of the whole document, menus included."""
     parsed = parse_links(pages, [*keep, "url"])
-    targets = discovered_targets(F.col("page.links"), authority(F.col("url")), skip_patterns)
+    targets = discovered_targets(F.col("page.links"), skip_patterns)
     return parsed.select(*keep, F.col("url").alias("source"), F.explode(targets).alias("destination"))
 
 
@@ -110,7 +108,7 @@ def content_links(
     A page is one row, so the distinct step stays inside the row and needs no shuffle.
     """
     parsed = parse_links(pages, [*keep, "url"], legacy_rule)
-    keys = content_link_array(F.col("page.links"), authority(F.col("url")), skip_patterns, legacy_rule)
+    keys = content_link_array(F.col("page.links"), skip_patterns, legacy_rule)
     return parsed.select(*keep, F.col("url").alias("source"), F.explode(keys).alias("link")).select(
         *keep, "source", *link_key_columns(F.col("link"))
     )
@@ -137,14 +135,15 @@ def boilerplate_keys(links: DataFrame, parsed_pages: DataFrame) -> DataFrame:
 def boilerplate_filter(links: DataFrame, parsed_pages: DataFrame) -> DataFrame:
     """Links without those repeated on most pages of their site."""
     keys = boilerplate_keys(links, parsed_pages)
-    return salted_join(links, keys, ["site", "destination", "anchor_text"], "left_anti", [F.col("source")])
+    on = ["site", "destination", "anchor_text"]
+    return salted_join(links, keys, on, "left_anti", [F.col("source")]).select(*links.columns)
 
 
 def link_status(links: DataFrame, statuses: DataFrame) -> DataFrame:
     """Status of each link's destination; ``statuses`` has site, url and status_code, one row per URL."""
     known = statuses.select("site", F.col("url").alias("destination"), "status_code")
     joined = salted_join(links, known, ["site", "destination"], "left", [F.col("source"), F.col("anchor_text")])
-    return joined.withColumn("status_code", F.coalesce("status_code", F.lit(NOT_CHECKED)))
+    return joined.select(*links.columns, F.coalesce("status_code", F.lit(NOT_CHECKED)).alias("status_code"))
 
 
 def unresolved_links(links: DataFrame, statuses: DataFrame) -> DataFrame:

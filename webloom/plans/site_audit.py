@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from webloom.fixed_values import NOT_CHECKED
 from webloom.functions.html import parse_page
-from webloom.functions.urls import authority, normalize_url
+from webloom.functions.urls import normalize_url
 from webloom.operators.crawl import crawl_bfs
 from webloom.operators.filters import is_parsable
 from webloom.operators.links import (
@@ -38,13 +38,12 @@ def parse_snapshot(snapshot: DataFrame, skip_patterns: Sequence[str] = (), legac
         F.col("first_status").cast("string")
     )
     parsed = snapshot.select("site", "url", parsable.alias("parsed"), status.alias("status_code"), page.alias("page"))
-    domain = authority(F.col("url"))
     links = F.col("page.links")
     return parsed.select(
         "site", "url", "parsed", "status_code", *metadata_columns(),
-        F.coalesce(discovered_targets(links, domain, skip_patterns), F.array().cast("array<string>")).alias("targets"),
+        F.coalesce(discovered_targets(links, skip_patterns), F.array().cast("array<string>")).alias("targets"),
         F.coalesce(
-            content_link_array(links, domain, skip_patterns, legacy_rule), F.array().cast("array<string>")
+            content_link_array(links, skip_patterns, legacy_rule), F.array().cast("array<string>")
         ).alias("content_links"),
     )
 
