@@ -101,7 +101,7 @@ def fetch_log(seed):
     rows = []
     for site in range(8):
         for seq in range(1, rng.randint(5, 80)):
-            status = rng.choice([429, 503, 403, 429, 200, 404][: 4 + site % 3])
+            status = rng.choice([429, 503, 403, None, 429, 200, 404][: 5 + site % 3])
             rows.append((site, seq, f"u{rng.randint(0, 3)}", status, rng.choice(["7", " 900 ", "soon", None, "1e2", "-5"])))
     return rows
 
@@ -116,7 +116,8 @@ def test_block_streaks(spark, piece_rows):
             streak, stopped = 0, False
         if stopped:
             continue
-        streak = streak + 1 if status in (429, 503, 403) else 0
+        if status is not None:
+            streak = streak + 1 if status in (429, 503, 403) else 0
         stopped = streak >= 5
         want.append((site, seq, streak))
     got = block_streaks(df, piece_rows).select("site_id", "seq", "streak").collect()
@@ -137,6 +138,14 @@ def test_retry_plan(spark, piece_rows):
     assert sorted(map(tuple, got)) == want
 
 
+def test_stopping_attempt_is_not_retried(spark):
+    rows = [(1, i, "u" if i % 2 else "v", 429, None) for i in range(1, 8)]
+    df = spark.createDataFrame(rows, "site_id BIGINT, seq BIGINT, url STRING, status INT, retry_after STRING")
+    plan = retry_plan(block_streaks(df)).orderBy("seq").collect()
+    assert [(r.attempt, r.retried, r.wait_seconds) for r in plan] == [
+        (1, True, 30.0), (1, True, 30.0), (2, True, 60.0), (2, True, 60.0), (3, False, None)]
+
+
 def test_redirect_status(spark):
     df = spark.createDataFrame([(1, "a", 2, 200), (1, "a", 0, 301), (1, "a", 1, 302), (1, "b", 0, 404)],
                                "site_id INT, url STRING, hop INT, status INT")

@@ -103,7 +103,7 @@ def test_markdown_document(spark, tmp_path):
 
 
 def test_media_inventory(spark, tmp_path):
-    for name in ("20261116/video.MP4", "okam_analysis/ignored.mp4", "x/OKAM_Analysis/y/ignored.mp4", "top.avi", "note.txt"):
+    for name in ("20261116/video.MP4", "motion_reports/ignored.mp4", "x/Motion_Reports/y/ignored.mp4", "top.avi", "note.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(b"12345")
     rows = media_inventory(spark, str(tmp_path)).orderBy("path").collect()

@@ -102,7 +102,6 @@ FAILED_REPLY = "**Failed to generate structure**"
 
 # --- motion ---------------------------------------------------------------
 MEDIA_EXTENSIONS = (".mp4", ".avi", ".mov", ".mkv", ".h264", ".264", ".m4v", ".ts", ".dav")
-OUTPUT_FOLDER = "okam_analysis"
 ALGORITHM_VERSION = "v2_reflection_noise"
 SENSITIVITY_FACTORS = {"low": 1.6, "medium": 1.0, "high": 0.7}
 BOX_TOUCH_PIXELS = 12

@@ -9,6 +9,7 @@ from webloom.fixed_values import (
     MAX_RETRIES_PER_URL, RETRY_STATUSES,
 )
 from webloom.operators.split_windows import PIECE_ROWS, Running, piece_size, row_numbers, running
+from webloom.session import materialize
 
 
 def redirect_status(hops: DataFrame, keys: tuple[str, ...] = ("site_id", "url")) -> DataFrame:
@@ -21,14 +22,18 @@ def redirect_status(hops: DataFrame, keys: tuple[str, ...] = ("site_id", "url"))
 def block_streaks(log: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Length of the running streak of blocked attempts per site, up to the stop.
 
-    ``seq`` counts the attempts of a site from 1 without gaps. Anything but a block
-    resets the streak. The attempt that completes the longest allowed streak is still
-    listed; the site's later attempts are not.
+    Any other answer resets the streak; an attempt without an answer (null status) leaves
+    it as it is. The attempt that completes the longest allowed streak is still listed;
+    the site's later attempts are not.
     """
     size = piece_size(log, "seq", piece_rows)
-    blocked = F.col("status").isin(*BLOCK_STATUSES)
-    streaks = running(log, ["site_id"], "seq", {"_reset": Running("max", F.when(~blocked, F.col("seq")))}, size)
-    streaks = streaks.withColumn("streak", F.col("seq") - F.coalesce("_reset", F.lit(0))).drop("_reset")
+    blocked, answered = F.col("status").isin(*BLOCK_STATUSES), F.col("status").isNotNull()
+    numbered = running(log, ["site_id"], "seq", {"_n": Running("sum", answered.cast("long"))}, size)
+    if size is not None:
+        numbered = materialize(numbered, "numbered-attempts")
+    reset = Running("max", F.when(answered & ~blocked, F.col("_n")))
+    streaks = running(numbered, ["site_id"], "seq", {"_reset": reset}, size)
+    streaks = streaks.withColumn("streak", F.col("_n") - F.coalesce("_reset", F.lit(0))).drop("_n", "_reset")
     full = Running("sum", (F.col("streak") >= MAX_CONSECUTIVE_BLOCKS).cast("long"), include_current=False)
     cut = running(streaks, ["site_id"], "seq", {"_stopped": full}, size)
     return cut.filter(F.col("_stopped") == 0).drop("_stopped")
@@ -43,7 +48,8 @@ def _seconds(text: Column) -> Column:
 def retry_plan(log: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Attempt number and waiting time (without jitter) of each throttled attempt per URL.
 
-    Attempts beyond the allowed retries are listed without a waiting time.
+    Attempts beyond the allowed retries are listed without a waiting time; so is the one
+    that stops a site, if the log comes with its ``streak``.
     """
     size = piece_size(log, "seq", piece_rows)
     throttled = log.filter(F.col("status").isin(*RETRY_STATUSES))
@@ -52,6 +58,8 @@ def retry_plan(log: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     doubling = F.pow(F.lit(2.0), F.least(F.col("attempt") - 1, F.lit(16))) * BACKOFF_BASE_SECONDS
     wait = F.least(F.greatest(doubling, _seconds(F.col("retry_after"))), F.lit(float(BACKOFF_MAX_SECONDS)))
     retried = F.col("attempt") <= MAX_RETRIES_PER_URL
+    if "streak" in log.columns:
+        retried = retried & (F.col("streak") < MAX_CONSECUTIVE_BLOCKS)
     return numbered.select(
         "site_id", "seq", "url", "status", "attempt",
         retried.alias("retried"), F.when(retried, wait).alias("wait_seconds"),

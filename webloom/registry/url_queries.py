@@ -9,6 +9,7 @@ from webloom.functions import files as fl, urls as ur
 from webloom.functions.text import truncate_display
 from webloom.operators import fetch_log as log, filters, state as st
 from webloom.registry.catalog import query, stripped
+from webloom.session import materialize
 from webloom.sources.media import media_inventory
 from webloom.sources.tables import find_url_column, read_url_list
 
@@ -175,6 +176,20 @@ def _(t):
     return log.retry_plan(t.fetch_log())
 
 
+@query(
+    "retry_plan_until_stop",
+    f"""WITH {STREAKS}, t AS (SELECT k.* FROM k LEFT JOIN c USING (site_id) WHERE cut IS NULL OR seq <= cut),
+       a AS (SELECT *, row_number() OVER (PARTITION BY site_id, url ORDER BY seq) AS attempt
+         FROM t WHERE status IN (429, 503))
+       SELECT site_id, seq, url, status, attempt, attempt <= 3 AND streak < 5 AS retried,
+         CASE WHEN attempt <= 3 AND streak < 5 THEN least(300.0::DOUBLE, greatest(30.0::DOUBLE * power(2, attempt - 1),
+           coalesce(try_cast(retry_after AS DOUBLE), 0))) END AS wait_seconds FROM a""", "fx_fetch_log",
+)
+def _(t):
+    # Stored once: the plan looks at the log twice.
+    return log.retry_plan(materialize(log.block_streaks(t.fetch_log()), "cut-log"))
+
+
 @query(
     "parsable_pages",
     """SELECT page_id, url, status, content_type FROM fx_page_http

@@ -6,15 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from webloom.fixed_values import MEDIA_EXTENSIONS, OUTPUT_FOLDER
+from webloom.fixed_values import MEDIA_EXTENSIONS
 from webloom.functions.files import path_parts
 
+# Where reports about the files are kept, inside the same tree.
+REPORT_FOLDER = "motion_reports"
+
 
 def media_inventory(
     spark: SparkSession,
     root: str,
     extensions: Sequence[str] = MEDIA_EXTENSIONS,
-    exclude_dirs: Sequence[str] = (OUTPUT_FOLDER,),
+    exclude_dirs: Sequence[str] = (REPORT_FOLDER,),
 ) -> DataFrame:
     """Path, size and modification time of matching files; contents are never read.
 
