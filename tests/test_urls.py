@@ -8,7 +8,7 @@ from webloom.fixed_values import UNWANTED_EXTENSIONS
 from webloom.functions import urls as ur
 
 PARTS = st.sampled_from([
-    "http:", "https:", "HTTP:", "ftp:", "mailto:", "//", "/", "a.Example", "b_c.example:8080", "ü.example", "p", "P.PDF",
+    "http:", "https:", "HTTP:", "ftp:", "mailto:", "//", "/", "/", "/x-1", "a.Example", "b_c.example:8080", "ü.example", "p", "P.PDF",
     ".css", ".tar.gz", ";", ";x=1", "?", "?q=A", "#", "#f", " ", "\t", "\n", "\x01", " ", "..", ".", "@", "%20",
 ])
 URLS = st.lists(st.lists(PARTS, max_size=8).map("".join), min_size=250, max_size=300)
@@ -51,9 +51,9 @@ def test_host_extension_and_scheme_follow_url_parser(spark, urls):
 @BATCH
 @given(URLS)
 def test_resolve_follows_url_parser(spark, hrefs):
-    base = "https://h.example/a/b?c"
-    got = values(spark, hrefs, ur.resolve_url(F.lit(base), F.col("t")))
-    check(hrefs, got, [normal(urljoin(base, h)) for h in hrefs])
+    for base in ("https://H.example/a/b?c", "http://h.example", "mailto:x", ""):
+        got = values(spark, hrefs, ur.resolve_url(F.lit(base), F.col("t")))
+        check(hrefs, got, [normal(urljoin(base, h)) for h in hrefs])
 
 
 def test_bad_urls_are_not_followed(spark):

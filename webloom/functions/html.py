@@ -8,6 +8,7 @@ content root counts, which links are kept) is left to column expressions.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -163,6 +164,7 @@ class PageReader(HTMLParser):
         self.excludes = is_excluded_area_legacy if legacy_rule else is_excluded_area
         self.tag_place = _LEGACY_TAG_PLACE if legacy_rule else _TAG_PLACE
         self.stack: list[_Open] = []
+        self.open_tags: Counter[str] = Counter()
         self.pending: list[str] = []
         self.sinks: list[list[str]] = []
         self.area_sinks: list[list[str]] = []
@@ -206,6 +208,8 @@ class PageReader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.flush()
+        if not self.open_tags[tag]:
+            return
         rank = _RANK.get(tag, 0)
         for depth in range(len(self.stack) - 1, -1, -1):
             name = self.stack[depth].tag
@@ -256,9 +260,11 @@ class PageReader(HTMLParser):
         if node.area_sink is not None:
             self.area_sinks.append(node.area_sink)
         self.stack.append(node)
+        self.open_tags[tag] += 1
 
     def leave(self) -> None:
         node = self.stack.pop()
+        self.open_tags[node.tag] -= 1
         if node.sinks:
             del self.sinks[-len(node.sinks):]
             if node.tag == "a":
@@ -288,7 +294,10 @@ class PageReader(HTMLParser):
     # --- results ---
     def read(self, html: str) -> "PageReader":
         self.feed(html)
-        self.close()
+        # As in browsers, a tag or comment that the page never finishes is dropped with all
+        # behind it. ``close`` would try every later "<" anew, in quadratic time.
+        if not self.rawdata.startswith("<") or self.rawdata == "<":
+            self.close()
         self.flush()
         while self.stack:
             self.leave()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 from urllib.parse import urljoin, urlparse
 
 import pyarrow as pa
@@ -52,8 +53,25 @@ def normalize_url(url: Column) -> Column:
     return F.when(scheme.isNotNull(), F.concat(scheme, F.lit(":"), location, suffix)).otherwise("")
 
 
+# A root path without dot segments, parameters, query or fragment.
+_PLAIN_PATH = re.compile(r"/(?!/)[\w~%./-]*", re.ASCII)
+
+
+@lru_cache(maxsize=4096)
+def _origin(base: str) -> str:
+    """``scheme://host`` of a web page, else empty text."""
+    try:
+        url = urlparse(base)
+    except ValueError:
+        return ""
+    return f"{url.scheme}://{url.netloc.lower()}" if url.scheme in HTTP_SCHEMES and url.netloc else ""
+
+
 def absolute_url(base: str, href: str) -> str:
     """Resolve one href and normalise it as ``normalize_url`` does; runs inside Python workers."""
+    # The usual link within a site needs no URL parser.
+    if "/." not in href and _PLAIN_PATH.fullmatch(href) and (origin := _origin(base)):
+        return origin + href
     try:
         url = urlparse(urljoin(base, href).strip())
     except ValueError:
