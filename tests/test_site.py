@@ -1,8 +1,6 @@
 import random
 from collections import deque
 
-from pyspark.sql import functions as F
-
 from webloom.operators import inspection as ins, links as ln
 from webloom.operators.crawl import crawl_bfs
 from webloom.plans.content_extract import content_extract, extract_counts

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from webloom.fixed_values import MIN_CONTOUR_AREA, SENSITIVITY_FACTORS
+from webloom.fixed_values import SENSITIVITY_FACTORS
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,3 @@ class MotionConfig:
     @property
     def factor(self) -> float:
         return SENSITIVITY_FACTORS[self.sensitivity]
-
-    @property
-    def min_contour_area(self) -> float:
-        return MIN_CONTOUR_AREA

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from webloom.registry.fixtures import Tables, sql_views
-from webloom.session import ship_package
+from webloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -18,7 +18,7 @@ def query(name: str, check: str | None = None, inputs: str = ""):
 
     def register(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return build(Tables(spark, folder))
 
         QUERIES[name] = run

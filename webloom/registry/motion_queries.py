@@ -17,7 +17,7 @@ from webloom.registry.fixtures import PROFILES, SHARED
 from webloom.registry.url_queries import PRINT
 from webloom.session import new_folder
 from webloom.streaming.intake import run_intake
-from webloom.streaming.sessions import backfill_sessions, read_sample_stream
+from webloom.streaming.sessions import backfill_sessions, read_stream
 
 CONFIG = MotionConfig()
 MOTION = "fx_frames fx_clips"
@@ -230,7 +230,7 @@ def _(t):
 )
 def _(t):
     schema = t.table("events").schema
-    events = read_sample_stream(t.spark, t.folder, "events.parquet", schema).filter("event_type <> 'error'")
+    events = read_stream(t.spark, t.folder, "events.parquet", schema).filter("event_type <> 'error'")
     samples = events.select(F.col("user_id").alias("clip_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("score"))
     return backfill_sessions(samples, gap="6 hours", lateness="1 hour")
 
@@ -240,11 +240,10 @@ def _(t):
     f"SELECT path, {PRINT} AS fingerprint, 'Success' AS processing_status FROM fx_files", "fx_files",
 )
 def _(t):
-    text = SHARED["fx_files"]
-    columns = [c.strip() for c in ("page_id", "url", "html")]
-    pages = read_sample_stream(t.spark, t.folder, "pages.parquet", t.table("pages").select(*columns).schema)
+    schema = t.table("pages").select("page_id").schema
+    pages = read_stream(t.spark, t.folder, "pages.parquet", schema)
     pages.createOrReplaceTempView("webloom_page_stream")
-    files = t.spark.sql(text.replace("FROM pages", "FROM webloom_page_stream"))
+    files = t.spark.sql(SHARED["fx_files"].replace("FROM pages", "FROM webloom_page_stream"))
     arrived = files.select("path", fingerprint(F.col("size"), F.col("mtime"), F.lit("sig")).alias("fingerprint"))
     state, progress = new_folder(t.spark, "intake-state"), new_folder(t.spark, "intake-progress")
 

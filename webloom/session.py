@@ -9,27 +9,30 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     # HTML rows are wide: keep the batches handed to Python small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.checkpoint.compress": "true",
+    ARROW_BATCH: "1000",
 }
 
 
 _shipped: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application.
+def prepare(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, and keep Arrow batches
+    small unless the session says otherwise.
 
     Not needed where the package is installed on every machine or given as ``--py-files``.
     """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
+    if not context.getConf().contains(ARROW_BATCH):
+        spark.conf.set(ARROW_BATCH, SETTINGS[ARROW_BATCH])
     package = os.path.dirname(os.path.abspath(__file__))
     root, name = os.path.split(package)
     archive = os.path.join(tempfile.mkdtemp(prefix="webloom-package-"), name)
@@ -44,7 +47,7 @@ def build_session(app_name: str = "webloom", master: str | None = None, **extra:
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    ship_package(spark)
+    prepare(spark)
     return spark
 
 

@@ -25,7 +25,8 @@ def session_events(samples: DataFrame, gap: str, lateness: str | None = None) ->
     ).drop("session")
 
 
-def read_sample_stream(spark: SparkSession, folder: str, file_name: str, schema: StructType) -> DataFrame:
+def read_stream(spark: SparkSession, folder: str, file_name: str, schema: StructType) -> DataFrame:
+    """A growing folder of Parquet files with the given name or name pattern."""
     return spark.readStream.schema(schema).option("pathGlobFilter", file_name).parquet(folder)
 
 
