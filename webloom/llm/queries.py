@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import exact_dedup, packing, simhash, token_count
+from webloom.llm import chat, exact_dedup, neighbours, packing, pieces, simhash, token_count
 from webloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op2_sentencepiece")
+def sentencepiece_digests(spark, folder):
+    return pieces.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_nearest_neighbours", """
+WITH usable AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score
+    FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank, vec_id, score FROM pairs
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+""")
+def nearest_neighbours(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors.where("vec_id % 100 = 0"), vectors, 10)
+
+
 @query("op4_simhash_near_dedup")
 def simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
@@ -56,3 +79,30 @@ def exact_duplicates(spark, folder):
 @query("op8_token_counts")
 def token_counts(spark, folder):
     return token_count.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_chat_perspectives", """
+WITH turns AS (
+    SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS position,
+           coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body
+    FROM conversations
+), people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
+lines AS (
+    SELECT t.conv_id, perspective, position, turn, speaker,
+           CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS chat_role,
+           CASE WHEN speaker NOT IN ('system', perspective) THEN ' name=' || speaker ELSE '' END AS called, body,
+           speaker = perspective AS trained
+    FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), segments AS (
+    SELECT *, '<|' || chat_role || called || '|>' || chr(10) AS head, body || '<|end|>' || chr(10) AS tail FROM lines
+), placed AS (
+    SELECT *, sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, perspective ORDER BY position) AS ends FROM segments
+)
+SELECT conv_id, perspective, position, turn, chat_role, CASE WHEN called <> '' THEN speaker END AS name, head || tail AS segment,
+       (ends - length(head) - length(tail))::BIGINT AS start, ends::BIGINT AS "end",
+       CASE WHEN trained THEN (ends - length(tail))::BIGINT END AS mask_start,
+       CASE WHEN trained THEN (ends - 1)::BIGINT END AS mask_end
+FROM placed
+""")
+def chat_perspectives(spark, folder):
+    return chat.perspectives(table(spark, folder, "conversations"))
