@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webloom.llm import chat, exact_dedup, neighbours, packing, pieces, simhash, token_count
+from webloom.llm import chat, exact_dedup, lattice, neighbours, packing, pieces, simhash, token_count
 from webloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +68,16 @@ def cost_balanced_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def remainder(divisor: int):
+    """The fold of a document."""
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+@query("op6_lm_scoring")
+def lm_scores(spark, folder):
+    return lattice.score_texts(table(spark, folder, "documents"), remainder(7) == 2, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op7_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
