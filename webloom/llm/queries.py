@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat, exact_dedup, lattice, neighbours, packing, pieces, simhash, token_count
+from webloom.llm import chat, exact_dedup, lattice, neighbours, packing, pieces, quality, simhash, token_count, toxicity
 from webloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def remainder(divisor: int, key: str = "doc_id"):
+    """The fold of a document."""
+    return F.crc32(F.col(key).cast("string")) % divisor
+
+
+@query("op1_toxicity")
+def toxicity_scores(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), remainder(5, "_id") != 0)
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.score_texts(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 @query("op2_sentencepiece")
 def sentencepiece_digests(spark, folder):
     return pieces.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -68,11 +81,6 @@ def cost_balanced_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-def remainder(divisor: int):
-    """The fold of a document."""
-    return F.crc32(F.col("doc_id").cast("string")) % divisor
-
-
 @query("op6_lm_scoring")
 def lm_scores(spark, folder):
     return lattice.score_texts(table(spark, folder, "documents"), remainder(7) == 2, public_tokenizers.path("piece_bpe_32k.model"))
@@ -92,6 +100,11 @@ def token_counts(spark, folder):
     return token_count.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op9_quality_classifier")
+def good_documents(spark, folder):
+    return quality.select_good(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op10_chat_perspectives", """
 WITH turns AS (
     SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS position,
