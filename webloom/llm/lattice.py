@@ -128,7 +128,9 @@ class Lattice:
             targets.append(active[hit] + length)
             numbers.append(number[hit])
             if length == 1:
-                unknown = active[number < 0]
+                # The mark itself, inside a word, is a character like any without a piece.
+                inner_mark = (points == np.uint64(ord(SPACE))) & (at != (ends - lengths)[word])
+                unknown = active[(number < 0) | inner_mark]
             more = known & (active + length < ends[word[active]])
             active, value = active[more], value[more]
         source, target, number = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sources, targets, numbers))
