@@ -2,7 +2,8 @@
 
 A text is cut where no merge can reach across; each distinct segment is encoded once. An Aho-Corasick
 automaton finds the longest piece at every position. A piece is taken if the pair it forms with the
-piece before it is compatible: merging the two texts from scratch gives just these two pieces back.
+piece before it is compatible: merging the two texts again never joins symbols across the seam. For
+that only the symbols at the seam are merged again, in the order of their scores.
 Otherwise the next shorter piece is tried, and when none is left the position is marked in a bitfield
 and the piece before is taken back; a marked position is never entered again. Characters without a
 piece stand alone and become byte pieces at the end.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from collections import Counter
 from functools import lru_cache
 
@@ -68,19 +70,37 @@ class PieceModel:
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in longer))
         self.segment = regex.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.alone = alone
-        self.tie = regex.compile("|".join(map(regex.escape, sorted(self.tied)))) if self.tied else None
+        # A segment holds a tied piece if it holds one of the smallest.
+        self.ties = [p for p in self.tied if not any(q in p for q in self.tied if q != p)]
+        self.ranks = {p: -s for p, s in self.scores.items() if len(p) > 1}
         self.automaton = ahocorasick.Automaton()
+        #: The symbols that a piece shows at its end and at its start while it is merged, last one first,
+        #: each with the rank of the merge that ends it.
+        self.ends: dict[str, list[tuple[str, float]]] = {}
+        self.starts: dict[str, list[tuple[str, float]]] = {}
         for piece in self.ids:
-            if self.merge(piece) == [piece]:
+            history: list[tuple[int, int, str]] = []
+            if self.merge(piece, history) == [piece]:
                 self.automaton.add_word(piece, len(piece))
+                self.ends[piece] = self.seam([(j, s) for _, j, s in history if j == len(piece)], piece[-1])
+                self.starts[piece] = self.seam([(i, s) for i, _, s in history if i == 0], piece[0])
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.joins = {p[i:i + 2] for p in longer for i in range(len(p) - 1)}
-        self.parts = Recent(self.encode_parts)
-        self.encoded = Recent(self.encode_segments)
+        self.cut_at = regex.compile(f"[{alone}]").search if alone else lambda part: None
+        self.parts = Recent(self.encode_parts, 300_000)
+        self.encoded = Recent(self.encode_segments, 100_000)
 
-    def merge(self, text: str) -> list[str]:
-        """Merge from single characters: highest score first, leftmost among equals."""
+    def seam(self, merges: list[tuple[int, str]], letter: str) -> list[tuple[str, float]]:
+        """Symbols at one end of a piece, the single character first, each with the rank of its end."""
+        symbols = [letter, *[s for _, s in merges]]
+        return [(s, self.ranks[after]) for s, after in zip(symbols, symbols[1:], strict=False)] + [(symbols[-1], math.inf)]
+
+    def merge(self, text: str, history: list | None = None) -> list[str]:
+        """Merge from single characters: highest score first, leftmost among equals.
+
+        ``history`` gets the merges in order, as ``(begin, end, symbol)``.
+        """
         symbols: list[str | None] = list(text)
         before = list(range(-1, len(text) - 1))
         after = list(range(1, len(text) + 1))
@@ -100,6 +120,8 @@ class PieceModel:
             if symbols[a] is None or symbols[b] is None or symbols[a] + symbols[b] != joined or after[a] != b:
                 continue
             symbols[a], symbols[b] = joined, None
+            if history is not None:
+                history.append((a, a + len(joined), joined))
             after[a] = after[b]
             if after[b] < len(symbols):
                 before[after[b]] = a
@@ -113,40 +135,70 @@ class PieceModel:
         if known is None:
             if len(self.pairs) > 500_000:
                 self.pairs.clear()
-            known = self.pairs[pair] = self.merge(left + right) == [left, right]
+            known = self.pairs[pair] = self.stays_apart(
+                self.ends.get(left) or [(left, math.inf)], self.starts.get(right) or [(right, math.inf)])
         return known
 
+    def stays_apart(self, left: list[tuple[str, float]], right: list[tuple[str, float]]) -> bool:
+        """Merge two seams again: do their symbols never join before one of them is merged away?"""
+        i = j = 0
+        ranks = self.ranks
+        while True:
+            (a, until_a), (b, until_b) = left[i], right[j]
+            rank = ranks.get(a + b)
+            # Among equals the leftmost merge comes first.
+            if rank is not None and rank < until_a and rank <= until_b:
+                return False
+            if until_a <= until_b:
+                if until_a == math.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def split(self, text: str) -> list[str]:
         """The pieces of a segment, by backtracking."""
-        if self.tie and self.tie.search(text):
-            return self.merge(text)
-        choices: list[list[int]] = [[] for _ in text]  # piece lengths by start, shortest first
+        for tied in self.ties:
+            if tied in text:
+                return self.merge(text)
+        size = len(text)
+        choices: list[list[int] | None] = [None] * (size + 1)  # piece lengths by start, shortest first
         for end, length in self.automaton.iter(text):
-            choices[end - length + 1].append(length)
-        for lengths in choices:
-            if not lengths or lengths[0] != 1:
-                lengths.insert(0, 1)
+            start = end - length + 1
+            if choices[start] is None:
+                choices[start] = [length] if length == 1 else [1, length]
+            else:
+                choices[start].append(length)
+        known, check = self.pairs.get, self.compatible
         failed = 0  # a bit for each position from which the text cannot be finished
         taken: list[str] = []
         tried: list[int] = []  # of each taken piece, its place among the choices at its start
-        at, choice = 0, len(choices[0]) - 1 if text else -1
-        while at < len(text):
+        at, last, lengths = 0, None, choices[0] or [1]
+        choice = len(lengths) - 1
+        while at < size:
             while choice >= 0:
-                end = at + choices[at][choice]
-                piece = text[at:end]
-                if not failed >> end & 1 and (not taken or self.compatible(taken[-1], piece)):
-                    break
+                end = at + lengths[choice]
+                if not failed >> end & 1:
+                    piece = text[at:end]
+                    if last is None:
+                        break
+                    fits = known((last, piece))
+                    if check(last, piece) if fits is None else fits:
+                        break
                 choice -= 1
             if choice >= 0:
                 taken.append(piece)
                 tried.append(choice)
-                at = end
-                choice = len(choices[at]) - 1 if at < len(text) else -1
+                at, last = end, piece
+                lengths = choices[at] or [1]
+                choice = len(lengths) - 1
             else:
                 failed |= 1 << at
                 if not taken:
                     return self.merge(text)
                 at -= len(taken.pop())
+                last = taken[-1] if taken else None
+                lengths = choices[at] or [1]
                 choice = tried.pop() - 1
         return taken
 
@@ -204,11 +256,16 @@ class PieceModel:
 
     def encode_parts(self, parts: list[str]) -> list[tuple[int, str, str]]:
         """Of each part: number of ids, the ids joined by commas, the decoded text."""
-        results = []
+        results, known, texts = [], self.ids.get, self.texts
         for part in parts:
-            ids = [i for s in self.segments(part) for i in self.piece_ids(self.split(s))]
-            # Led by another piece, so that a leading space stays.
-            results.append((len(ids), ",".join(map(str, ids)), self.decode([self.ids[SPACE], *ids])))
+            split = [p for s in self.segments(part) for p in self.split(s)] if self.cut_at(part) else self.split(part)
+            ids = [known(p) for p in split]
+            if None in ids:
+                ids = self.piece_ids(split)
+                decoded = self.decode([self.ids[SPACE], *ids])  # led by another piece, so that a leading space stays
+            else:
+                decoded = "".join([texts[i] for i in ids]).replace(SPACE, " ")
+            results.append((len(ids), ",".join(map(str, ids)), decoded))
         return results
 
     def encode_segments(self, segments: list[str]) -> list[tuple[int, str, str]]:
