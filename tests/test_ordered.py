@@ -5,11 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from webloom.operators.documents import markdown_document
 from webloom.operators.fetch_log import block_streaks, redirect_status, retry_plan
 from webloom.operators.joins import salted_join
-from webloom.operators.split_windows import Folded, Running, fold_runs, piece_size, row_numbers, running, top_rows
+from webloom.operators.split_windows import Folded, Running, fold_runs, row_numbers, running, top_rows
 
-SIZES = [None, 1, 4, 1000]
+SIZES = [1, 4, 1000]
 
 
 def sparse_groups(seed, groups=6, longest=60):
@@ -68,11 +69,38 @@ def test_fold_runs(spark, size):
     assert {(r.g, r.run): (r.first, r.sum, r.any) for r in got.collect()} == want
 
 
-def test_piece_size_looks_at_the_largest_order(spark):
-    df = spark.range(10).withColumn("g", F.lit(1))
-    assert piece_size(df, "id", 10) is None
-    assert piece_size(df, "id", 9) == 9
-    assert piece_size(df.filter("id < 0"), "id", 9) is None
+@pytest.mark.parametrize("size", SIZES)
+def test_null_keys_and_orders_stay(spark, size):
+    rows = [(None, 1, 5), (None, 3, 7), (1, None, 2), (1, 2, 4), (1, 9, 1), (None, None, 3)]
+    df = spark.createDataFrame(rows, "g INT, o BIGINT, v INT").repartition(3)
+    got = running(df, ["g"], "o", {"total": Running("sum", F.col("v")), "n": Running("sum", F.lit(1).cast("long"))}, size)
+    want = [(None, None, 3, 3, 1), (None, 1, 5, 8, 2), (None, 3, 7, 15, 3), (1, None, 2, 2, 1), (1, 2, 4, 6, 2), (1, 9, 1, 7, 3)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    runs = fold_runs(df, ["g"], "o", F.coalesce(F.col("o") != 3, F.lit(True)), "run", {"sum": Folded("sum", F.col("v"))}, size)
+    assert sorted(map(tuple, runs.collect()), key=str) == sorted(
+        [(None, 1, 3), (None, 2, 12), (1, 1, 2), (1, 2, 4), (1, 3, 1)], key=str)
+
+
+@pytest.mark.parametrize("piece_rows", [1, 3, 1000])
+def test_attempts_without_a_site_or_url_stay(spark, piece_rows):
+    rows = [(None, 1, "u", 429, None), (None, 2, None, 429, None), (1, 1, None, 429, None), (1, 2, "u", 503, None), (1, 3, "u", 429, None)]
+    df = spark.createDataFrame(rows, "site_id BIGINT, seq BIGINT, url STRING, status INT, retry_after STRING")
+    streaks = block_streaks(df, piece_rows).select("site_id", "seq", "streak").collect()
+    assert sorted(map(tuple, streaks), key=str) == sorted([(None, 1, 1), (None, 2, 2), (1, 1, 1), (1, 2, 2), (1, 3, 3)], key=str)
+    plan = retry_plan(df, piece_rows).select("site_id", "seq", "url", "attempt").collect()
+    assert sorted(map(tuple, plan), key=str) == sorted(
+        [(None, 1, "u", 1), (None, 2, None, 1), (1, 1, None, 1), (1, 2, "u", 1), (1, 3, "u", 2)], key=str)
+
+
+@pytest.mark.parametrize("piece_rows", [1, 3, 1000])
+def test_document_blocks_without_an_id_stay(spark, piece_rows):
+    df = spark.createDataFrame([(None, "a", "x"), (4, "b", "yy"), (2, "c", "z")], "row_id BIGINT, title STRING, reply STRING")
+    rows = markdown_document(df, piece_rows).collect()
+    at = 0
+    for row in sorted(rows, key=lambda r: -1 if r.row_id is None else r.row_id):
+        assert row.start == at
+        at += len(row.block)
+    assert len(rows) == 3
 
 
 def test_top_rows(spark):

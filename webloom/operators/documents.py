@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from webloom.functions.text import build_prompt, markdown_block, safe_filename
-from webloom.operators.split_windows import PIECE_ROWS, Running, piece_size, running
+from webloom.operators.split_windows import PIECE_ROWS, Running, running
 
 
 def prompts(titles: DataFrame, base_prompt: str) -> DataFrame:
@@ -31,12 +31,15 @@ def markdown_document(replies: DataFrame, piece_rows: int = PIECE_ROWS) -> DataF
     """The blocks of one long document and where each starts in it.
 
     The document is the concatenation of the blocks by ``row_id``. It is never built in
-    one place: ``start`` tells any writer where its block belongs.
+    one place: ``start`` tells any writer where its block belongs. Only lengths are ordered and
+    summed, the blocks meet their start by ``row_id``. Rows that share an id share its first start.
     """
-    size = piece_size(replies, "row_id", piece_rows)
     blocks = replies.select(
         "row_id", F.lit("document").alias("document"),
         markdown_block(F.col("title"), F.col("reply"), "section").alias("block"),
     )
-    length = Running("sum", F.length("block").cast("long"), include_current=False)
-    return running(blocks, ["document"], "row_id", {"start": length}, size).select("row_id", "block", "start")
+    length = Running("sum", F.col("length"), include_current=False)
+    lengths = blocks.select("row_id", "document", F.length("block").cast("long").alias("length"))
+    starts = running(lengths, ["document"], "row_id", {"start": length}, piece_rows)
+    starts = starts.groupBy(F.col("row_id").alias("_row_id")).agg(F.min("start").alias("start"))
+    return blocks.join(starts, F.col("row_id").eqNullSafe(F.col("_row_id"))).select("row_id", "block", "start")

@@ -8,7 +8,7 @@ from webloom.fixed_values import (
     BACKOFF_BASE_SECONDS, BACKOFF_MAX_SECONDS, BLOCK_STATUSES, MAX_CONSECUTIVE_BLOCKS,
     MAX_RETRIES_PER_URL, RETRY_STATUSES,
 )
-from webloom.operators.split_windows import PIECE_ROWS, Running, piece_size, row_numbers, running
+from webloom.operators.split_windows import PIECE_ROWS, Running, row_numbers, running
 from webloom.session import materialize
 
 
@@ -26,16 +26,14 @@ def block_streaks(log: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     it as it is. The attempt that completes the longest allowed streak is still listed;
     the site's later attempts are not.
     """
-    size = piece_size(log, "seq", piece_rows)
     blocked, answered = F.col("status").isin(*BLOCK_STATUSES), F.col("status").isNotNull()
-    numbered = running(log, ["site_id"], "seq", {"_n": Running("sum", answered.cast("long"))}, size)
-    if size is not None:
-        numbered = materialize(numbered, "numbered-attempts")
+    numbered = running(log, ["site_id"], "seq", {"_n": Running("sum", answered.cast("long"))}, piece_rows)
+    numbered = materialize(numbered, "numbered-attempts")
     reset = Running("max", F.when(answered & ~blocked, F.col("_n")))
-    streaks = running(numbered, ["site_id"], "seq", {"_reset": reset}, size)
+    streaks = running(numbered, ["site_id"], "seq", {"_reset": reset}, piece_rows)
     streaks = streaks.withColumn("streak", F.col("_n") - F.coalesce("_reset", F.lit(0))).drop("_n", "_reset")
     full = Running("sum", (F.col("streak") >= MAX_CONSECUTIVE_BLOCKS).cast("long"), include_current=False)
-    cut = running(streaks, ["site_id"], "seq", {"_stopped": full}, size)
+    cut = running(streaks, ["site_id"], "seq", {"_stopped": full}, piece_rows)
     return cut.filter(F.col("_stopped") == 0).drop("_stopped")
 
 
@@ -51,9 +49,8 @@ def retry_plan(log: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     Attempts beyond the allowed retries are listed without a waiting time; so is the one
     that stops a site, if the log comes with its ``streak``.
     """
-    size = piece_size(log, "seq", piece_rows)
     throttled = log.filter(F.col("status").isin(*RETRY_STATUSES))
-    numbered = row_numbers(throttled, ["site_id", "url"], "seq", "attempt", size)
+    numbered = row_numbers(throttled, ["site_id", "url"], "seq", "attempt", piece_rows)
     # The wait is capped anyway, so the exponent may be, too.
     doubling = F.pow(F.lit(2.0), F.least(F.col("attempt") - 1, F.lit(16))) * BACKOFF_BASE_SECONDS
     wait = F.least(F.greatest(doubling, _seconds(F.col("retry_after"))), F.lit(float(BACKOFF_MAX_SECONDS)))

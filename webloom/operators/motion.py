@@ -20,7 +20,7 @@ from webloom.fixed_values import (
     WARN_UNASSESSABLE,
 )
 from webloom.functions.files import path_parts, peak_stamp, relative_path
-from webloom.operators.split_windows import Folded, PIECE_ROWS, Running, fold_runs, piece_size, running, top_rows
+from webloom.operators.split_windows import Folded, PIECE_ROWS, Running, fold_runs, running, top_rows
 
 
 # --- samples ----------------------------------------------------------------
@@ -70,7 +70,7 @@ def boxes_touch(first: Column, second: Column, margin: int = BOX_TOUCH_PIXELS) -
 
 
 # --- events -----------------------------------------------------------------
-def _compared(samples: DataFrame, active: Column, size: int | None) -> DataFrame:
+def _compared(samples: DataFrame, active: Column, piece_rows: int) -> DataFrame:
     """Active samples with ``prev_ts`` of the sample before and ``last``, the active one before.
 
     The first decoded sample of a clip only primes the comparison: it shows no motion
@@ -84,7 +84,7 @@ def _compared(samples: DataFrame, active: Column, size: int | None) -> DataFrame
             "max", F.when(active, F.struct("frame_index", "ts", "boxes")), include_current=False
         ),
     }
-    rows = running(decoded, ["clip_id"], "frame_index", before, size)
+    rows = running(decoded, ["clip_id"], "frame_index", before, piece_rows)
     primed = F.col("last.frame_index") == F.col("first_frame")
     return (
         rows.filter(active & F.col("first_frame").isNotNull())
@@ -93,7 +93,7 @@ def _compared(samples: DataFrame, active: Column, size: int | None) -> DataFrame
     )
 
 
-def _events(active: DataFrame, starts: Column, size: int | None, min_samples: int) -> DataFrame:
+def _events(active: DataFrame, starts: Column, piece_rows: int, min_samples: int) -> DataFrame:
     """One row per event: span, sample count, and the boxes at its first highest score."""
     best = F.struct(
         F.col("score"), (-F.col("frame_index")).alias("earlier"), F.col("ts").alias("peak"), F.col("boxes")
@@ -105,7 +105,7 @@ def _events(active: DataFrame, starts: Column, size: int | None, min_samples: in
         "_best": Folded("max", best),
         "uncertain": Folded("any", F.col("uncertain")),
     }
-    events = fold_runs(active, ["clip_id"], "frame_index", starts, "event_id", folded, size)
+    events = fold_runs(active, ["clip_id"], "frame_index", starts, "event_id", folded, piece_rows)
     return events.filter(F.col("samples") >= min_samples).select(
         "clip_id", "event_id",
         F.greatest(F.lit(0.0), F.col("_first.ts") - F.col("_first.interval")).alias("start"),
@@ -121,8 +121,7 @@ def motion_events(samples: DataFrame, config: MotionConfig, piece_rows: int = PI
     boxes touches a box of that one, or an empty sample in between was already further
     away than ``event_gap``. Events of too few samples are dropped.
     """
-    size = piece_size(samples, "frame_index", piece_rows)
-    boxed = _compared(samples, F.size("boxes") > 0, size)
+    boxed = _compared(samples, F.size("boxes") > 0, piece_rows)
     limit = F.greatest(F.lit(config.max_event_gap), F.col("interval") * 1.5)
     starts = (
         F.col("last").isNull()
@@ -130,16 +129,15 @@ def motion_events(samples: DataFrame, config: MotionConfig, piece_rows: int = PI
         | ~boxes_touch(F.col("last.boxes"), F.col("boxes"))
         | (F.col("prev_ts") - F.col("last.ts") > config.event_gap)
     )
-    return _events(boxed, starts, size, config.min_event_samples)
+    return _events(boxed, starts, piece_rows, config.min_event_samples)
 
 
 def motion_events_legacy(samples: DataFrame, config: MotionConfig, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Events by the older rule: boxed or uncertain samples belong together until an
     inactive sample more than ``event_gap`` after the last active one."""
-    size = piece_size(samples, "frame_index", piece_rows)
-    active = _compared(samples, (F.size("boxes") > 0) | F.col("uncertain"), size)
+    active = _compared(samples, (F.size("boxes") > 0) | F.col("uncertain"), piece_rows)
     starts = F.col("last").isNull() | (F.col("prev_ts") - F.col("last.ts") > config.event_gap)
-    return _events(active, starts, size, 1)
+    return _events(active, starts, piece_rows, 1)
 
 
 def top_events(events: DataFrame, config: MotionConfig, piece_rows: int = PIECE_ROWS) -> DataFrame:

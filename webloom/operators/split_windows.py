@@ -1,10 +1,13 @@
 """Running values over ordered groups of any size.
 
-A plain ``Window.partitionBy(key)`` puts a whole group into one task. That is fine while
-groups are short, which ``piece_size`` checks. Longer groups are cut along their integer
-order column into pieces of at most ``piece_rows`` order values: running values are
-computed inside a piece, one total per piece is carried forward over the (far fewer)
-pieces, and both are combined. The result equals the undivided window.
+A plain ``Window.partitionBy(key)`` puts a whole group into one task. So every group is cut
+along its integer order column into pieces of at most ``piece_rows`` order values: running
+values are computed inside a piece, one total per piece is carried forward over the (far
+fewer) pieces, and both are combined. The result equals the undivided window. There is one
+way for all sizes; a short group is a single piece.
+
+Rows with null keys form a group of their own, as in any window, and rows without an order
+value come first in it, in no particular order.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from webloom.session import materialize
 
-# Rows one task can order comfortably; a group holding 10^11 rows makes 10^5 pieces.
+#: Rows one task can order comfortably; a group holding 10^11 rows makes 10^5 pieces.
 PIECE_ROWS = 1 << 20
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 _JOIN = {"max": F.greatest, "min": F.least}
@@ -40,44 +43,29 @@ class Running:
         return F.coalesce(value, F.lit(0)) if self.kind == "sum" else value
 
 
-def piece_size(df: DataFrame, order: str, piece_rows: int = PIECE_ROWS) -> int | None:
-    """``piece_rows`` if an order value lies beyond one piece, else None: no group needs cutting.
-
-    Order values are not negative and unique in their group, so the largest one bounds
-    every group. Looks at one column of a stored table and brings back one number.
-    """
-    largest = df.agg(F.max(order)).first()[0]
-    return piece_rows if largest is not None and largest >= piece_rows else None
-
-
-def with_piece(df: DataFrame, order: str, size: int) -> DataFrame:
-    return df.withColumn("_piece", F.expr(f"`{order}` div {size}"))
+def with_piece(df: DataFrame, keys: Sequence[str], order: str, size: int) -> DataFrame:
+    """Add the group as one value that is never null, so that joins keep null keys, and the piece."""
+    piece = F.coalesce(F.expr(f"`{order}` div {size}"), F.lit(-1).cast("long"))
+    return df.withColumns({"_group": F.struct(*keys), "_piece": piece})
 
 
 def running(
-    df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Running], size: int | None
+    df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Running], size: int = PIECE_ROWS
 ) -> DataFrame:
-    """Add one column per entry of ``values``; ``size`` comes from ``piece_size``.
-
-    ``keys`` are not null; ``order`` is an integer, not null and unique in its group.
-    """
-    if size is None:
-        whole = Window.partitionBy(*keys).orderBy(order)
-        return df.select("*", *[v.over(whole).alias(name) for name, v in values.items()])
-
-    pieces = with_piece(df, order, size)
-    totals = pieces.groupBy(*keys, "_piece").agg(
+    """Add one column per entry of ``values``; ``order`` is an integer, unique in its group."""
+    pieces = with_piece(df, keys, order, size)
+    totals = pieces.groupBy("_group", "_piece").agg(
         *[_FOLD[v.kind](v.value).alias(f"_carry_{name}") for name, v in values.items()]
     )
-    earlier = Window.partitionBy(*keys).orderBy("_piece")
+    earlier = Window.partitionBy("_group").orderBy("_piece")
     carried = totals.select(
-        *keys, "_piece",
+        "_group", "_piece",
         *[Running(v.kind, F.col(f"_carry_{name}"), False).over(earlier).alias(f"_carry_{name}") for name, v in values.items()],
     )
-    local = Window.partitionBy(*keys, "_piece").orderBy(order)
+    local = Window.partitionBy("_group", "_piece").orderBy(order)
     rows = pieces.select("*", *[v.over(local).alias(f"_local_{name}") for name, v in values.items()])
     # Same keys as the local windows: the large side is not shuffled again.
-    joined = rows.join(carried, [*keys, "_piece"])
+    joined = rows.join(carried, ["_group", "_piece"])
     combined = []
     for name, v in values.items():
         here, before = F.col(f"_local_{name}"), F.col(f"_carry_{name}")
@@ -86,7 +74,7 @@ def running(
     return joined.select(*df.columns, *combined)
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: str, name: str, size: int | None) -> DataFrame:
+def row_numbers(df: DataFrame, keys: Sequence[str], order: str, name: str, size: int = PIECE_ROWS) -> DataFrame:
     """1-based position of each row in its group."""
     return running(df, keys, order, {name: Running("sum", F.lit(1).cast("long"))}, size)
 
@@ -101,7 +89,7 @@ class Folded:
 
 def fold_runs(
     df: DataFrame, keys: Sequence[str], order: str, starts: Column, run: str, folded: Mapping[str, Folded],
-    size: int | None,
+    size: int = PIECE_ROWS,
 ) -> DataFrame:
     """Aggregate runs of consecutive rows; a row where ``starts`` is true opens a run.
 
@@ -111,25 +99,21 @@ def fold_runs(
     merge = {"sum": F.sum, "max": F.max, "min": F.min, "any": F.bool_or}
     opened = Running("sum", F.col("_starts"))
     flagged = df.withColumn("_starts", starts.cast("long"))
-    if size is None:
-        whole = Window.partitionBy(*keys).orderBy(order)
-        numbered = flagged.withColumn(run, opened.over(whole))
-        return numbered.groupBy(*keys, run).agg(*[merge[f.kind](f.value).alias(n) for n, f in folded.items()])
-
-    pieces = with_piece(flagged, order, size)
-    local = Window.partitionBy(*keys, "_piece").orderBy(order)
+    pieces = with_piece(flagged, keys, order, size)
+    local = Window.partitionBy("_group", "_piece").orderBy(order)
     # Number 0 continues the last run of the pieces before.
-    partial = pieces.withColumn("_run", opened.over(local)).groupBy(*keys, "_piece", "_run").agg(
+    partial = pieces.withColumn("_run", opened.over(local)).groupBy("_group", "_piece", "_run").agg(
         F.sum("_starts").alias("_starts"), *[merge[f.kind](f.value).alias(n) for n, f in folded.items()]
     )
     # Runs are few compared with rows; both uses below read the written table.
     partial = materialize(partial, "partial-runs")
-    earlier = Window.partitionBy(*keys).orderBy("_piece")
-    opened_before = partial.groupBy(*keys, "_piece").agg(F.sum("_starts").alias("_starts")).select(
-        *keys, "_piece", Running("sum", F.col("_starts"), False).over(earlier).alias("_before")
+    earlier = Window.partitionBy("_group").orderBy("_piece")
+    opened_before = partial.groupBy("_group", "_piece").agg(F.sum("_starts").alias("_starts")).select(
+        "_group", "_piece", Running("sum", F.col("_starts"), False).over(earlier).alias("_before")
     )
-    numbered = partial.join(opened_before, [*keys, "_piece"]).withColumn(run, F.col("_before") + F.col("_run"))
-    return numbered.groupBy(*keys, run).agg(*[merge[f.kind](n).alias(n) for n, f in folded.items()])
+    numbered = partial.join(opened_before, ["_group", "_piece"]).withColumn(run, F.col("_before") + F.col("_run"))
+    runs = numbered.groupBy("_group", run).agg(*[merge[f.kind](n).alias(n) for n, f in folded.items()])
+    return runs.select(*[F.col("_group")[k].alias(k) for k in keys], run, *folded)
 
 
 def top_rows(
