@@ -1,7 +1,8 @@
 """Toxicity by a lexicon trie, Levenshtein automata and context windows.
 
 The lexicon is learned from labelled texts: words, and stems that many different words share, which
-occur in toxic texts far more purely than chance allows. Each distinct word of a batch becomes a
+occur in toxic texts far more purely than chance allows. Occurrences are counted by different
+neighbouring words, so that copies of a text, near ones too, do not make its rare words toxic. Each distinct word of a batch becomes a
 Levenshtein automaton that runs through the trie of terms, so a misspelled term is found without
 comparing it with every term. Each hit is judged by the words around it: between quotation marks or
 next to a word of reporting it counts as quotation, otherwise as abuse. A logistic model over the
@@ -14,6 +15,7 @@ the share of toxic labels.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,10 +33,10 @@ from webloom.session import materialize
 WINDOW = 6
 #: Shortest and longest stem; a stem stands for at least so many different words.
 STEM_LENGTHS, STEM_WORDS = (3, 10), 4
-#: Share of toxic texts among those with a term, and chance that any term gets in by luck.
+#: Share of toxic contexts among those of a term, and chance that any term gets in by luck.
 PURITY, LUCK = 0.9, 0.01
-#: Terms that the lexicon may have, the best supported ones.
-MAX_TERMS = 10_000
+#: Terms and stems that the lexicon may have, the best supported ones.
+MAX_TERMS = 1000
 #: Characters that open and close quotations, and words of reporting.
 OPEN_QUOTES, CLOSE_QUOTES = "\"'“„«»‘‹`", "\"'”“»«’›`"
 REPORTING = frozenset("""
@@ -172,38 +174,43 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             words = split_words(filled(batch.column("text")), None)
             bare = [EDGES.sub("", w).lower() for w in words.distinct]
             known = {w: i for i, w in enumerate(dict.fromkeys(bare))}
-            names = list(known)
+            names = np.array([*known, ""], object)
+            hashes = np.array([zlib.crc32(w.encode()) for w in known] + [0], np.int64)
             codes = np.array([known[w] for w in bare], np.int64)[words.codes]
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets))
-            pairs = np.unique(owner * max(len(known), 1) + codes)
-            label = batch.column("label").to_numpy()[pairs // max(len(known), 1)]
-            code = pairs % max(len(known), 1)
-            for value in (0, 1):
-                count = np.bincount(code[label == value], minlength=len(names))
-                used = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[i] for i in used], pa.string()), pa.array(np.full(len(used), value), pa.int32()),
-                     pa.array(count[used], pa.int64())], ["word", "label", "n"])
-
-    counts = sample.mapInArrow(words_of, "word string, label int, n long").where("word <> ''")
-    words = counts.groupBy("word").agg(
-        F.sum(F.col("n") * F.col("label")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("label"))).alias("clean"))
+            if not len(codes):
+                continue
+            edge = len(known)  # beyond the first and the last word of a text
+            before, after = np.r_[edge, codes[:-1]], np.r_[codes[1:], edge]
+            filled_rows = np.flatnonzero(np.diff(words.offsets))
+            before[words.offsets[filled_rows]], after[words.offsets[filled_rows + 1] - 1] = edge, edge
+            label = np.repeat(batch.column("label").to_numpy(), np.diff(words.offsets))
+            context = hashes[before] << 31 ^ hashes[after]
+            found = np.unique(np.stack([codes, label, context], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[found[:, 0]], pa.string()), pa.array(found[:, 1], pa.int32()), pa.array(found[:, 2])],
+                ["word", "label", "context"])
+
+    contexts = sample.mapInArrow(words_of, "word string, label int, context long").where("word <> ''").distinct()
+    words = contexts.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"))
     words = materialize(words, "toxic-words")
     lengths = F.sequence(F.lit(STEM_LENGTHS[0]), F.least(F.lit(STEM_LENGTHS[1]), F.length("word") - 1))
     stems = (words.where(F.length("word") > STEM_LENGTHS[0]).select("word", "toxic", "clean", F.explode(lengths).alias("size"))
              .groupBy(F.substring("word", F.lit(1), F.col("size")).alias("stem"))
              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("words"),
                   F.max("toxic").alias("most")))
-    # A term of n toxic texts and no clean one has the chance share^n; there are as many tries as words.
+    # A term of n toxic contexts and no clean one has the chance share^n; there are as many tries as words.
     share = toxic / (toxic + clean)
     least = max(3, int(np.ceil(np.log(LUCK / max(1, words.count())) / np.log(share))))
     pure = (F.col("toxic") >= least) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean")))
     terms = [r[0] for r in words.where(pure).orderBy(F.desc("toxic"), "word").limit(MAX_TERMS).select("word").collect()]
     many = (F.col("words") >= STEM_WORDS) & (F.col("most") < 0.5 * F.col("toxic"))
-    found = {r[0] for r in stems.where(pure & many).orderBy(F.desc("toxic"), "stem").limit(MAX_TERMS).select("stem").collect()}
-    # The shortest stems say it all.
-    kept = sorted(s for s in found if not any(s[:i] in found for i in range(1, len(s))))
-    covered = tuple(kept)
+    found = dict(stems.where(pure & many).orderBy(F.desc("toxic"), "stem").limit(MAX_TERMS).select("stem", "toxic").collect())
+    # Of nested stems the shortest says it all, drawn out as long as hardly any word is lost.
+    kept = set()
+    for stem in (s for s in found if not any(s[:i] in found for i in range(1, len(s)))):
+        longer = [s for s in found if s.startswith(stem) and found[s] >= 0.95 * found[stem]]
+        kept.add(max(longer, key=len))
+    covered = tuple(sorted(kept))
     return Lexicon(tuple(sorted(t for t in terms if not t.startswith(covered))), covered)
 
 
