@@ -136,6 +136,8 @@ def test_toxicity_on_held_out_rows(spark):
     rows = toxicity.score_texts(docs.where(remainder(5) == 0), model).join(labels, "doc_id").select("predicted", "toxic").collect()
     hits = sum(r.predicted and r.toxic for r in rows)
     assert hits >= 0.8 * sum(r.toxic for r in rows) and hits >= 0.95 * sum(r.predicted for r in rows)
+    one = edges.documents(spark, [(1, "you are an idiott, really"), (2, "you are an idiot, really"), (3, "you are a friend")])
+    assert [r.predicted for r in toxicity.score_texts(one, model).orderBy("doc_id").collect()] == [1, 1, 0]
     got = toxicity.score_texts(edges.documents(spark), model).collect()
     assert len(got) == len(edges.TEXTS) and all(0 <= r.score <= 1 for r in got)
     kept = toxicity.drop_toxic(edges.documents(spark), model)

@@ -43,6 +43,8 @@ REPORTING = frozenset("""
 said says say wrote writes write called calls quoted quotes quote reported reports claimed claims
 dit disait écrit appelé cité sagte sagt schrieb nannte zitierte dijo dice escribió llamó citó
 """.split())
+#: What the weights are drawn to where labels say nothing: any abuse counts, misspelled or not.
+PRIOR_WEIGHTS = (3.0, 3.0, 3.0, 0.5, 0.5, 0.5, 2.0, 0.0)
 EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 EXACT, MISSPELLED, STEM = 1, 2, 3
 
@@ -214,15 +216,16 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     return Lexicon(tuple(sorted(t for t in terms if not t.startswith(covered))), covered)
 
 
-def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic regression, by damped Newton steps."""
+def fit_logistic(features: np.ndarray, labels: np.ndarray, prior, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression drawn to prior weights, by Newton steps."""
     x = np.c_[features, np.ones(len(features))]
-    w = np.zeros(x.shape[1])
+    centre = np.r_[prior, -3.0]
+    w = centre.copy()
     penalty = np.full(len(w), ridge * len(x))
     penalty[-1] = 1e-9
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - labels) + penalty * w
+        gradient = x.T @ (p - labels) + penalty * (w - centre)
         hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hessian, gradient)
         w -= step
@@ -248,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, rows: int = SAMPLE_ROWS,
     if table.label.nunique() < 2:
         share = float(np.clip(table.label.mean(), 1e-6, 1 - 1e-6)) if len(table) else 1e-6
         return Model(lexicon, (0.0,) * 8, float(np.log(share / (1 - share))))
-    weights, bias = fit_logistic(np.stack(table.features.to_numpy()), table.label.to_numpy(np.float64))
+    weights, bias = fit_logistic(np.stack(table.features.to_numpy()), table.label.to_numpy(np.float64), PRIOR_WEIGHTS)
     return Model(lexicon, tuple(weights.tolist()), bias)
 
 
