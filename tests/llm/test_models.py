@@ -129,6 +129,13 @@ def test_kinds_of_hits_and_quotation():
     assert hits.tolist() == [[1, 0, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0], [0, 0, 2, 0, 0, 0], [0, 0, 0, 1, 0, 0], [0, 0, 0, 1, 0, 0], [0] * 6, [0] * 6]
 
 
+def test_hits_that_labels_never_show_keep_their_prior():
+    features = np.zeros((400, 8))
+    features[:200, [0, 6]] = 1.0  # exact hits only
+    weights, bias = toxicity.fit_logistic(features, np.r_[np.ones(200), np.zeros(200)], toxicity.PRIOR_WEIGHTS)
+    assert weights[1] == pytest.approx(3.0) and weights[1] * math.log(2) + weights[6] + bias > 0 > bias
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
@@ -136,8 +143,8 @@ def test_toxicity_on_held_out_rows(spark):
     rows = toxicity.score_texts(docs.where(remainder(5) == 0), model).join(labels, "doc_id").select("predicted", "toxic").collect()
     hits = sum(r.predicted and r.toxic for r in rows)
     assert hits >= 0.8 * sum(r.toxic for r in rows) and hits >= 0.95 * sum(r.predicted for r in rows)
-    one = edges.documents(spark, [(1, "you are an idiott, really"), (2, "you are an idiot, really"), (3, "you are a friend")])
-    assert [r.predicted for r in toxicity.score_texts(one, model).orderBy("doc_id").collect()] == [1, 1, 0]
+    one = edges.documents(spark, [(2, "you are an idiot, really"), (3, "you are a friend")])
+    assert [r.predicted for r in toxicity.score_texts(one, model).orderBy("doc_id").collect()] == [1, 0]
     got = toxicity.score_texts(edges.documents(spark), model).collect()
     assert len(got) == len(edges.TEXTS) and all(0 <= r.score <= 1 for r in got)
     kept = toxicity.drop_toxic(edges.documents(spark), model)
