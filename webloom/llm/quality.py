@@ -15,54 +15,59 @@ without an id share theirs, and so do repeated rows. Without labels of both kind
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.labelled import SAMPLE_ROWS, labelled_sample
-from webloom.llm.words import Recent, filled, split_words, text_slices
+from webloom.llm.words import filled, split_words, text_slices
 from webloom.session import materialize
 
+#: Numbers of buckets, powers of two.
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 13
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 #: Strength of the raw model as the target's prior, in n-grams for each bucket.
 PRIOR = 2.0
-UPPER, LOWER, DIGITS = (regex.compile(p) for p in (r"\p{Lu}+", r"[\p{Ll}\p{Lo}\p{M}]+", r"\p{N}+"))
+#: Runs of a kind of character, and the letter that stands for each in a word's shape.
+SHAPES = ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}\p{M}]+", "a"), (r"\p{N}+", "0"))
+SHAPE_LENGTH = 8
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shape(word: str) -> str:
+def shapes(words: pa.Array) -> pa.Array:
     """Runs of capitals, small letters and digits as one letter each; other characters stay."""
-    return DIGITS.sub("0", LOWER.sub("a", UPPER.sub("A", word)))[:8]
+    for pattern, letter in SHAPES:
+        words = pc.replace_substring_regex(words, pattern, letter)
+    return pc.utf8_slice_codeunits(words, 0, SHAPE_LENGTH)
 
 
-@lru_cache(maxsize=1)
-def word_codes() -> Recent:
-    return Recent(lambda words: [(zlib.crc32(w.encode()), zlib.crc32(shape(w).encode())) for w in words])
+def hashes(words: pa.Array) -> np.ndarray:
+    """A number for each string, the same in every run."""
+    return hash_array(words.to_numpy(zero_copy_only=False), categorize=False) if len(words) else np.zeros(0, np.uint64)
 
 
 def _bucket(values: np.ndarray, size: int) -> np.ndarray:
-    return ((values * FACTOR) >> np.uint64(40)).astype(np.int64) % size
+    return ((values * FACTOR) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams, and the text each belongs to."""
     words = split_words(texts, None)
-    known = np.array(word_codes()(words.distinct), np.uint64).reshape(-1, 2)
-    word, form = known[words.codes, 0], known[words.codes, 1]
+    forms = shapes(words.dictionary).dictionary_encode()
+    word = (hashes(words.dictionary) >> np.uint64(24))[words.codes]
+    form = (hashes(forms.dictionary) >> np.uint64(24))[forms.indices.to_numpy(zero_copy_only=False)][words.codes]
     owner = np.repeat(np.arange(len(texts)), np.diff(words.offsets))
     inside = owner[1:] == owner[:-1] if len(owner) else np.zeros(0, bool)
     again = (words.codes[1:] == words.codes[:-1]).astype(np.uint64)
     singles = _bucket(word + np.uint64(1), WORD_BUCKETS)
     pairs = _bucket(word[:-1] * np.uint64(31) + (word[1:] << np.uint64(20)), WORD_BUCKETS)[inside]
-    forms = WORD_BUCKETS + _bucket(form[:-1] * np.uint64(31) + (form[1:] << np.uint64(20)) + again, SHAPE_BUCKETS)[inside]
-    return np.concatenate([singles, pairs, forms]), np.concatenate([owner, owner[1:][inside], owner[1:][inside]])
+    pair_forms = WORD_BUCKETS + _bucket(form[:-1] * np.uint64(31) + (form[1:] << np.uint64(20)) + again, SHAPE_BUCKETS)[inside]
+    return np.concatenate([singles, pairs, pair_forms]), np.concatenate([owner, owner[1:][inside], owner[1:][inside]])
 
 
 def bucket_counts(texts: DataFrame) -> np.ndarray:

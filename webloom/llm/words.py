@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,15 @@ def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iter
 
 @dataclass
 class Words:
-    """Ragged word codes: text ``i`` has ``codes[offsets[i]:offsets[i + 1]]``, indices into ``distinct``."""
+    """Ragged word codes: text ``i`` has ``codes[offsets[i]:offsets[i + 1]]``, indices into ``dictionary``."""
 
     offsets: np.ndarray
     codes: np.ndarray
-    distinct: list[str]
+    dictionary: pa.Array
+
+    @cached_property
+    def distinct(self) -> list[str]:
+        return self.dictionary.to_numpy(zero_copy_only=False).tolist()
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Per text, the sum of a value of each distinct word."""
@@ -53,13 +58,12 @@ def split_words(texts: pa.Array, separator: str | None = " ") -> Words:
     offsets = offsets - offsets[0]
     coded = lists.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    if separator is None and "" in distinct:  # before leading and after trailing white space
-        empty = distinct.index("")
+    empty = pc.index(coded.dictionary, "").as_py() if separator is None else -1
+    if empty >= 0:  # before leading and after trailing white space
         kept = codes != empty
         offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
         codes = codes[kept]
-    return Words(offsets, codes, distinct)
+    return Words(offsets, codes, coded.dictionary)
 
 
 class Recent:
