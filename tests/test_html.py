@@ -35,6 +35,27 @@ def test_main_text_prefers_main_then_article_and_drops_layout():
     assert read_page(BASE, "")["main_text"] == ""
 
 
+def test_odd_sections_and_huge_references_are_read():
+    for html in ("<title>t</title><![foo[ x ]]><h1>h</h1>", f"<title>t</title><h1>h</h1><p>&#{'9' * 5000};</p>",
+                 f"<title>t</title><h1>&#{'0' * 5000}104;</h1>"):
+        facts = read_page(BASE, html)
+        assert (facts["parse_error"], facts["title"], facts["h1"]) == (None, "t", "h")
+    assert "\ufffd" in read_page(BASE, f"<body>&#{'9' * 5000};</body>")["main_text"]
+
+
+def test_an_error_keeps_the_facts_before_it(monkeypatch):
+    def fail(self, data):
+        raise ValueError("broken")
+
+    monkeypatch.setattr("webloom.functions.html.PageReader.handle_comment", fail)
+    facts = read_page(BASE, "<title>t</title><!-- x --><h1>h</h1>")
+    assert facts["parse_error"] == "ValueError: broken" and facts["title"] == "t" and facts["h1"] is None
+
+
+def test_raw_h1():
+    assert read_page(BASE, "<h1> A<b>B</b>  c<script>no</script></h1><h1>no</h1>")["h1_raw"] == " AB  c"
+
+
 def test_anchor_text():
     found = links('<a href=1> a <b>b</b>\n c</a><a href=2><img src=x><img alt=" i  j "><img alt=k></a>'
                   '<a href=3><img alt=""><img alt=z></a><a href=4><script>s</script></a><a name=5>no</a>')

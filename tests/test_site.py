@@ -1,8 +1,13 @@
 import random
 from collections import deque
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+
 from webloom.operators import inspection as ins, links as ln
 from webloom.operators.crawl import crawl_bfs
+from webloom.functions.html import _FACTS
 from webloom.plans.content_extract import content_extract, extract_counts
 from webloom.plans.inspection import inspect_urls
 from webloom.plans.site_audit import site_audit
@@ -91,8 +96,8 @@ def test_content_extract_keeps_failed_and_repeated_urls(spark):
                                  "n INT, Link STRING")
     content = content_extract(urls, snapshot, keep=("n",))
     assert sorted(tuple(r) for r in content.collect()) == [
-        (1, f"{SITE}/1", "/1", "", "text"), (2, f"{SITE}/1", "/1", "", "text"), (3, f"{SITE}/2", "", "", ""),
-        (4, f"{SITE}/3", "", "", ""), (7, "https://z.example", "", "", "")]
+        (1, f"{SITE}/1", "/1", "", "text", True), (2, f"{SITE}/1", "/1", "", "text", True), (3, f"{SITE}/2", "", "", "", False),
+        (4, f"{SITE}/3", "", "", "", False), (7, "https://z.example", "", "", "", False)]
     assert tuple(extract_counts(content).first()) == (2, 3)
 
 
@@ -102,6 +107,28 @@ def response(verdict="PASS", robots="ALLOWED", fetch="SUCCESSFUL"):
     return f'{{"inspectionResult":{{"inspectionResultLink":"L","indexStatusResult":{{{verdict}"robotsTxtState":"{robots}"{fetched}}}}}}}'
 
 
+def test_unreadable_pages_are_reported(spark, monkeypatch):
+    from webloom.operators.inspection import live_checks
+    from webloom.plans import content_extract as content, site_audit as audit
+    from webloom.operators import inspection
+
+    facts = pa.struct([field for group in _FACTS.values() for field in group])
+
+    def broken(url, html, **_):
+        return F.when(html.isNotNull(), F.from_json(F.lit('{"parse_error":"ValueError: x"}'), from_arrow_type(facts)))
+
+    for module in (content, audit, inspection):
+        monkeypatch.setattr(module, "parse_page", broken)
+    rows = [("s", "https://s.example/", 200, 200, "text/html", None, "<p>x", None)]
+    snapshot = spark.createDataFrame(rows, "site STRING, url STRING, status INT, first_status INT, content_type STRING, error STRING, html STRING, x_robots_tag STRING")
+    page = audit.parse_snapshot(snapshot, ()).first()
+    assert (page.parsed, page.status_code) == (False, "Error: ValueError: x")
+    listed = spark.createDataFrame([("https://s.example/",)], "url STRING")
+    assert tuple(extract_counts(content_extract(listed, snapshot)).first()) == (0, 1)
+    live = live_checks(snapshot.select(F.lit(1).alias("row_id"), F.col("url").alias("final_url"), "status", "html", "x_robots_tag", "error")).first()
+    assert (live.live_error, live.live_available) == ("ValueError: x", False)
+
+
 def test_inspection_verdicts(spark):
     noindex = '<meta name="ROBOTS" content="NoIndex">'
     cases = [

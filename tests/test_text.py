@@ -63,6 +63,7 @@ def test_replies(spark):
         '{"choices":[{"message":{"content":" k "}}]}',
     ]
     assert values(spark, replies[:5], tx.extract_reply(F.col("t"))) == ["r", "", "m", '{"other":1}', None]
+    assert values(spark, ["<html>502 Bad Gateway</html>", ""], tx.extract_reply(F.col("t"))) == [None, None]
     assert values(spark, replies[4:], tx.extract_chat_reply(F.col("t"))) == [None, "k"]
 
 

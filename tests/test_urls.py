@@ -80,6 +80,9 @@ def test_skip_patterns(spark):
     urls = ["https://a/login", "https://a/?x", "https://a/*", "https://b/", "https://a/b"]
     assert values(spark, urls, ur.matches_skip(F.col("t"), patterns)) == [True, True, True, True, False]
     assert values(spark, urls, ur.matches_skip(F.col("t"), [])) == [False] * 5
+    odd = ["https://h/ÄB", "https://h/(?P<a>abc)", "https://h/abc", "https://h/خبر"]
+    assert values(spark, odd, ur.matches_skip(F.col("t"), [r"/\p{Lu}+$", "(?P<a>abc)"])) == [True, True, False, False]
+    assert values(spark, odd, ur.matches_skip(F.col("t"), [r"/\w+$"])) == [True, False, True, True]
 
 
 def test_navigable(spark):

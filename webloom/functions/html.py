@@ -33,7 +33,7 @@ _LINK = pa.struct([
 ])
 _FACTS = {
     "error": [("parse_error", pa.string())],
-    "head": [("title", pa.string()), ("h1", pa.string()), ("metas", pa.list_(_META)),
+    "head": [("title", pa.string()), ("h1", pa.string()), ("h1_raw", pa.string()), ("metas", pa.list_(_META)),
              ("rel_links", pa.list_(_REL_LINK))],
     "text": [("main_text", pa.string())],
     "links": [("has_main", pa.bool_()), ("has_named", pa.bool_()), ("has_article", pa.bool_()),
@@ -154,6 +154,9 @@ class _Open:
         self.overlay_from: int | None = None
 
 
+_LONG_REFERENCE = re.compile(r"&#0*([1-9]\d{7})\d+|&#0+(?=[1-9])")
+
+
 class PageReader(HTMLParser):
     """Collects the facts of one page while reading it once; memory is one page."""
 
@@ -170,6 +173,8 @@ class PageReader(HTMLParser):
         self.area_sinks: list[list[str]] = []
         self.title: list[str] | None = None
         self.h1: list[str] | None = None
+        self.h1_raw: list[str] | None = None
+        self.raw_depth = 0
         self.metas: list[dict] = []
         self.rel_links: list[dict] = []
         self.links: list[dict] = []
@@ -242,7 +247,8 @@ class PageReader(HTMLParser):
             self.title = []
             node.sinks = (self.title,)
         elif tag == "h1" and self.h1 is None:
-            self.h1 = []
+            self.h1, self.h1_raw = [], []
+            self.raw_depth = len(self.stack) + 1
             node.sinks = (self.h1,)
         elif tag == "a" and "href" in attrs:
             link = {"href": attrs["href"].strip(), "texts": [], "place": outer,
@@ -263,6 +269,8 @@ class PageReader(HTMLParser):
         self.open_tags[tag] += 1
 
     def leave(self) -> None:
+        if len(self.stack) == self.raw_depth:
+            self.raw_depth = 0
         node = self.stack.pop()
         self.open_tags[node.tag] -= 1
         if node.sinks:
@@ -279,9 +287,12 @@ class PageReader(HTMLParser):
         """One text node ends here: hand it to whoever collects text at this point."""
         if not self.pending:
             return
-        text = "".join(self.pending).strip()
+        raw = "".join(self.pending)
+        text = raw.strip()
         self.pending.clear()
         place = self.stack[-1].place if self.stack else 0
+        if self.raw_depth and not place & NO_TEXT:
+            self.h1_raw.append(raw)
         if not text or place & NO_TEXT:
             return
         for sink in self.sinks:
@@ -292,8 +303,16 @@ class PageReader(HTMLParser):
                 sink.append(text)
 
     # --- results ---
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Unknown sections such as ``<![foo[`` end at the next ``>``, as in browsers."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def read(self, html: str) -> "PageReader":
-        self.feed(html)
+        # Numbers of thousands of digits are refused by Python; any beyond Unicode means the same.
+        self.feed(_LONG_REFERENCE.sub(r"&#\1", html))
         # As in browsers, a tag or comment that the page never finishes is dropped with all
         # behind it. ``close`` would try every later "<" anew, in quadratic time.
         if not self.rawdata.startswith("<") or self.rawdata == "<":
@@ -307,6 +326,7 @@ class PageReader(HTMLParser):
         return {
             "title": None if self.title is None else " ".join(self.title),
             "h1": None if self.h1 is None else " ".join(self.h1),
+            "h1_raw": None if self.h1_raw is None else "".join(self.h1_raw),
             "metas": self.metas,
             "rel_links": self.rel_links,
         }
@@ -339,12 +359,16 @@ class PageReader(HTMLParser):
 def read_page(
     url: str, html: str, head: bool = True, text: bool = True, links: bool = True, legacy_rule: bool = False
 ) -> dict:
-    """Facts of one page as a dictionary; a page that cannot be read yields its error text."""
-    try:
-        page = PageReader(url, legacy_rule).read(html)
-    except Exception as error:  # bad input must not fail the job
-        return {"parse_error": f"{type(error).__name__}: {error}"}
+    """Facts of one page as a dictionary.
+
+    A page that cannot be read to its end yields the error text and the facts before it.
+    """
+    page = PageReader(url, legacy_rule)
     facts: dict = {"parse_error": None}
+    try:
+        page.read(html)
+    except Exception as error:  # bad input must not fail the job; every plan reports it
+        facts["parse_error"] = f"{type(error).__name__}: {error}"
     if head:
         facts |= page.head_facts()
     if text:

@@ -65,9 +65,9 @@ def build_prompt(base: str, title: Column) -> Column:
 
 
 def extract_reply(reply_json: Column) -> Column:
-    """The first present answer field, else the whole object as JSON text."""
+    """The first present answer field, else the whole object as JSON text; null if it is no JSON."""
     fields = [F.get_json_object(reply_json, f"$.{key}") for key in REPLY_KEYS]
-    return strip(F.coalesce(*fields, reply_json))
+    return F.when(F.try_parse_json(reply_json).isNotNull(), strip(F.coalesce(*fields, reply_json)))
 
 
 def extract_chat_reply(reply_json: Column) -> Column:

@@ -8,7 +8,8 @@ from functools import lru_cache
 from urllib.parse import urljoin, urlparse
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
 from webloom.fixed_values import HTTP_SCHEMES, SKIPPED_HREF_PREFIXES, UNWANTED_EXTENSIONS
@@ -130,16 +131,23 @@ def has_unwanted_extension(url: Column) -> Column:
     return path.rlike(f"(?:^|/)[^/;]*(?:{endings})(?:;[^/]*)?$")
 
 
+def _is_regex(pattern: str) -> bool:
+    """Whether the engine that will run the pattern accepts it; asked once, on the driver."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def matches_skip(url: Column, patterns: Sequence[str]) -> Column:
-    """True when any pattern is found; one that is no valid regex is searched as plain text."""
+    """True when any pattern is found; one that is no valid Java regex is searched as plain text.
+
+    Classes such as ``\\w`` are Unicode's.
+    """
     found = F.lit(False)
     for pattern in patterns:
-        try:
-            re.compile(pattern)
-        except re.error:
-            found = found | F.contains(url, F.lit(pattern))
-        else:
-            found = found | url.rlike(pattern)
+        found = found | (url.rlike(f"(?U){pattern}") if _is_regex(pattern) else F.contains(url, F.lit(pattern)))
     return found
 
 

@@ -72,12 +72,14 @@ def non_blank(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, strip(F.col(column))).filter(F.col(column) != "")
 
 
+def parsable_condition() -> Column:
+    """A fetched page whose final response was 200 with HTML; null counts as no in a filter, and reaches the scan."""
+    return F.col("error").isNull() & (F.col("status") == 200) & is_html(F.col("content_type"))
+
+
 def is_parsable() -> Column:
-    """A fetched page whose final response was 200 with HTML."""
-    return F.coalesce(
-        F.col("error").isNull() & (F.col("status") == 200) & is_html(F.col("content_type")), F.lit(False)
-    )
+    return F.coalesce(parsable_condition(), F.lit(False))
 
 
 def parsable_pages(df: DataFrame) -> DataFrame:
-    return df.filter(is_parsable())
+    return df.filter(parsable_condition())

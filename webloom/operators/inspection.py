@@ -49,13 +49,15 @@ def live_checks(fetched: DataFrame) -> DataFrame:
     """Robots directives and availability of fetched pages.
 
     ``fetched`` has ``row_id, final_url, status, html, x_robots_tag, error``. A failed
-    fetch is unavailable, with nothing else known.
+    fetch is unavailable, with nothing else known; so is a page that cannot be read.
     """
     ok = F.col("error").isNull()
     page = parse_page(F.col("final_url"), F.when(ok, F.coalesce("html", F.lit(""))), head=True)
     parsed = fetched.select(
         "row_id", "status", "final_url", "error", F.lower("x_robots_tag").alias("_header"), page.alias("page")
-    ).select("row_id", "status", "final_url", "error", "_header", *robots_columns())
+    ).select(
+        "row_id", "status", "final_url", F.coalesce("error", "page.parse_error").alias("error"), "_header", *robots_columns()
+    )
     text = robots_text(F.col("live_meta_robots"), F.col("live_meta_googlebot"), F.col("_header"))
 
     def if_fetched(col, name):

@@ -53,7 +53,7 @@ def metadata_columns_exact() -> list[Column]:
         _text(_meta("description", exact=True)).alias("description"),
         _text(canonical).alias("canonical"),
         _text(_meta("robots", exact=True)).alias("meta_robots"),
-        _text(F.col("page.h1")).alias("h1"),
+        _text(strip(F.col("page.h1_raw"))).alias("h1"),
     ]
 
 

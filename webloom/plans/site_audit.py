@@ -34,10 +34,11 @@ def parse_snapshot(snapshot: DataFrame, skip_patterns: Sequence[str] = (), legac
     """
     parsable = is_parsable()
     page = parse_page(F.col("url"), F.when(parsable, F.col("html")), head=True, links=True, legacy_rule=legacy_rule)
-    status = F.when(F.col("error").isNotNull(), F.concat(F.lit("Error: "), F.col("error"))).otherwise(
-        F.col("first_status").cast("string")
-    )
-    parsed = snapshot.select("site", "url", parsable.alias("parsed"), status.alias("status_code"), page.alias("page"))
+    pages = snapshot.select("site", "url", "error", "first_status", parsable.alias("parsable"), page.alias("page"))
+    failure = F.coalesce(F.col("error"), F.col("page.parse_error"))
+    status = F.when(failure.isNotNull(), F.concat(F.lit("Error: "), failure)).otherwise(F.col("first_status").cast("string"))
+    readable = F.col("parsable") & F.col("page.parse_error").isNull()
+    parsed = pages.select("site", "url", readable.alias("parsed"), status.alias("status_code"), "page")
     links = F.col("page.links")
     return parsed.select(
         "site", "url", "parsed", "status_code", *metadata_columns(),

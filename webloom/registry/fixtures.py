@@ -25,9 +25,9 @@ FROM pages""",
     "fx_queries": f"""
 SELECT doc_id AS row_id, lang, n_chars,
        CASE WHEN doc_id % 17 = 3 THEN NULL
-            WHEN doc_id % 4 = 1 THEN substr(text, 1, 9) || '{chr(0x200c)}' || substr(text, 10, 12)
-            WHEN doc_id % 4 = 2 THEN '{chr(0xa0)}' || substr(text, 1, 6) || '   ' || substr(text, 7, 20)
-            ELSE substr(text, 1, 8 + CAST(doc_id % 40 AS INT)) END AS query
+            WHEN doc_id % 4 = 1 THEN substr(text, 1, 9) || '{chr(0x200c)}' || substr(text, 10)
+            WHEN doc_id % 4 = 2 THEN '{chr(0xa0)}' || substr(text, 1, 6) || '   ' || substr(text, 7)
+            ELSE text END AS query
 FROM documents""",
     "fx_titles": """
 SELECT p_partkey AS row_id,
@@ -38,13 +38,14 @@ SELECT p_partkey AS row_id,
 FROM part""",
     "fx_replies": """
 SELECT p_partkey AS row_id,
-       CASE CAST(p_partkey % 7 AS INT)
+       CASE CAST(p_partkey % 8 AS INT)
          WHEN 0 THEN '{"response":" r ' || p_name || ' ","text":"no"}'
          WHEN 1 THEN '{"text":"t ' || p_name || '"}'
          WHEN 2 THEN '{"content":"c ' || p_name || ' "}'
          WHEN 3 THEN '{"message":"m ' || p_name || '"}'
          WHEN 4 THEN '{"choices":[{"message":{"content":" k ' || p_name || ' "}}]}'
          WHEN 5 THEN '{"response":""}'
+         WHEN 6 THEN '<html>502 Bad Gateway ' || p_name || '</html>'
          ELSE NULL END AS reply_json
 FROM part""",
     "fx_page_http": """
@@ -106,7 +107,8 @@ _FRAME = [
     "CASE WHEN user_id % 13 = 5 AND event_id % 40 < 20 THEN 640 ELSE 320 END AS width",
     "240 AS height",
     "event_id % 31 <> 0 AS decoded",
-    "event_type <> 'error' AS boxed",
+    # A tenth of the clips are quiet.
+    "event_type <> 'error' AND user_id % 10 <> 0 AS boxed",
     "CAST(event_id % 4 * 15 AS INT) AS x",
     "CAST(event_id % 3 * 10 AS INT) AS y",
     "20 AS w",
@@ -115,7 +117,6 @@ _FRAME = [
     "(event_type = 'purchase' AND event_id % 7 = 0) AS uncertain",
     "user_id % 17 = 4 AS view_matches",
 ]
-_FRAME_EVENTS = "user_id % 10 <> 0 OR event_type = 'error'"
 _CLIP = [
     "'/v/' || CASE WHEN clip_id % 6 = 0 THEN '' ELSE '2024010' || CAST(1 + clip_id % 5 AS STRING) || '/' END"
     " || 'clip' || CAST(clip_id AS STRING) || '.mp4' AS path",
@@ -146,10 +147,10 @@ FROM events""",
     "fx_frames": f"""
 SELECT user_id AS clip_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS frame_index,
        {", ".join(_FRAME)}
-FROM events WHERE {_FRAME_EVENTS}""",
+FROM events""",
     "fx_clips": f"""
 SELECT clip_id, {", ".join(_CLIP)}
-FROM (SELECT user_id AS clip_id, count(*) AS frames FROM events WHERE {_FRAME_EVENTS} GROUP BY user_id
+FROM (SELECT user_id AS clip_id, count(*) AS frames FROM events GROUP BY user_id
       UNION ALL SELECT s_suppkey + 1000000, 0 FROM supplier) c""",
     "fx_detections": f"""
 SELECT {", ".join(_DETECTION)}
@@ -184,8 +185,8 @@ class Tables:
         before, after = text.rsplit(f"FROM {source}", 1)
         return self.spark.sql(f"{before}FROM {alias}{after}")
 
-    def _numbered_events(self, condition: str = "true") -> DataFrame:
-        events = self.table("events").drop("ts", "props").filter(condition)
+    def _numbered_events(self) -> DataFrame:
+        events = self.table("events").drop("ts", "props")
         return row_numbers(events, ["user_id"], "event_id", "n")
 
     def fetch_log(self) -> DataFrame:
@@ -193,7 +194,7 @@ class Tables:
         return materialize(log, "fetch-log")
 
     def frames(self) -> DataFrame:
-        rows = self._numbered_events(_FRAME_EVENTS).selectExpr(
+        rows = self._numbered_events().selectExpr(
             "user_id AS clip_id", "n - 1 AS frame_index", *_FRAME
         )
         box = F.array(F.struct("x", "y", "w", "h"))
@@ -204,7 +205,7 @@ class Tables:
         return materialize(frames, "frames")
 
     def clips(self) -> DataFrame:
-        seen = self.table("events").filter(_FRAME_EVENTS).groupBy(F.col("user_id").alias("clip_id")).agg(
+        seen = self.table("events").groupBy(F.col("user_id").alias("clip_id")).agg(
             F.count(F.lit(1)).alias("frames")
         )
         empty = self.table("supplier").select((F.col("s_suppkey") + 1000000).alias("clip_id"), F.lit(0).alias("frames"))

@@ -242,12 +242,12 @@ TRIMMED = stripped("u.url")
 LISTED = f"""w AS (SELECT row_id, CASE WHEN regexp_matches({TRIMMED}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {TRIMMED}
     ELSE 'https://' || {TRIMMED} END AS page_url FROM fx_urls u WHERE coalesce({TRIMMED}, '') <> ''),
   c AS (SELECT row_id, page_url, coalesce({_title('title')}, '') AS title, '' AS description,
-    coalesce({ARTICLE}, '') AS body_content FROM w LEFT JOIN (SELECT * FROM fx_page_http WHERE {PARSED}) p ON p.url = w.page_url)"""
+    coalesce({ARTICLE}, '') AS body_content, p.url IS NOT NULL AS found FROM w LEFT JOIN (SELECT * FROM fx_page_http WHERE {PARSED}) p ON p.url = w.page_url)"""
 
 
 @query(
     "content_extract",
-    f"WITH {LISTED} SELECT row_id, page_url, title, description, body_content FROM c", "fx_urls fx_page_http",
+    f"WITH {LISTED} SELECT row_id, page_url, title, description, body_content, found FROM c", "fx_urls fx_page_http",
 )
 def _(t):
     return content_extract(t.view("fx_urls"), spread(t.view("fx_page_http")), keep=("row_id",))
@@ -255,8 +255,8 @@ def _(t):
 
 @query(
     "content_extract_counts",
-    f"""WITH {LISTED} SELECT count(*) FILTER (title || body_content <> '') AS successful,
-        count(*) FILTER (title || body_content = '') AS failed FROM c""", "fx_urls fx_page_http",
+    f"""WITH {LISTED} SELECT count(*) FILTER (found) AS successful,
+        count(*) FILTER (NOT found) AS failed FROM c""", "fx_urls fx_page_http",
 )
 def _(t):
     return extract_counts(content_extract(t.view("fx_urls"), spread(t.view("fx_page_http")), keep=("row_id",)))

@@ -18,11 +18,13 @@ PERSIAN = "coalesce(" + collapsed(
 WORDS = f"CASE WHEN {PERSIAN} = '' THEN 0 ELSE len(string_split({PERSIAN}, ' ')) END"
 MATCH = f"regexp_matches({PERSIAN}, 'the|und|la', 'i')"
 TITLES = f"t AS (SELECT row_id, {stripped('title')} AS title FROM fx_titles WHERE {stripped('title')} <> '')"
+# A reply that is no JSON is a failed request.
+JSON = "CASE WHEN json_valid(reply_json) THEN reply_json END"
 REPLY = stripped(
-    "coalesce(json_extract_string(reply_json, '$.response'), json_extract_string(reply_json, '$.text'), "
-    "json_extract_string(reply_json, '$.content'), json_extract_string(reply_json, '$.message'), reply_json)"
+    f"coalesce(json_extract_string({JSON}, '$.response'), json_extract_string({JSON}, '$.text'), "
+    f"json_extract_string({JSON}, '$.content'), json_extract_string({JSON}, '$.message'), {JSON})"
 )
-CHAT = stripped("json_extract_string(reply_json, '$.choices[0].message.content')")
+CHAT = stripped(f"json_extract_string({JSON}, '$.choices[0].message.content')")
 FAILED = "'**Failed to generate structure**'"
 BODY = f"CASE WHEN coalesce(reply, '') = '' THEN {FAILED} ELSE reply END"
 SAFE = "trim(regexp_replace(title, '[^\\p{L}\\p{N} \\-_()]', '', 'g'), ' ')"
@@ -30,9 +32,9 @@ FILENAME = f"CASE WHEN {SAFE} = '' THEN 'title_' || row_id ELSE {SAFE} END"
 BASE_PROMPT = "Write an outline.\n"
 
 
-@query("read_table", "SELECT doc_id, lang, source, n_chars FROM documents")
+@query("read_table", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def _(t):
-    return read_table(t.spark, t.path("documents")).select("doc_id", "lang", "source", "n_chars")
+    return read_table(t.spark, t.path("documents")).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 @query("clean_text", f"SELECT doc_id, coalesce({collapsed('text')}, '') AS clean FROM documents")

@@ -100,11 +100,11 @@ def _(t):
 @query(
     "skip_patterns",
     """SELECT page_id, regexp_matches(url, 'utm_') OR contains(url, '?p') OR regexp_matches(url, '/de/\\d+$')
-       OR contains(url, '*') AS skipped FROM pages""",
+       OR contains(url, '*') OR regexp_matches(url, '/\p{Lu}+$') OR contains(url, '(?P<a>b)') AS skipped FROM pages""",
 )
 def _(t):
-    # "?p" and "*" are no valid patterns and count as plain text.
-    patterns = ur.parse_skip_patterns(r"utm_, ?p,/de/\d+$,*")
+    # "?p", "*" and "(?P<a>b)" are no valid patterns and count as plain text.
+    patterns = ur.parse_skip_patterns(r"utm_, ?p,/de/\d+$,*,/\p{Lu}+$,(?P<a>b)")
     return t.table("pages").select("page_id", ur.matches_skip(F.col("url"), patterns).alias("skipped"))
 
 

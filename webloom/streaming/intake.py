@@ -16,8 +16,10 @@ STATE_COLUMNS = ("path", "fingerprint", "processing_status")
 def _read_state(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # first run: nothing written yet
-        return None
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # first run: nothing written yet
 
 
 def intake_batch(
