@@ -99,7 +99,7 @@ def test_pipeline_stages_against_their_rules(spark):
         lambda d: {r.doc_id for r in quality.select_good(d, labels).where("kept").collect()},
         lambda d: {r.doc_id for r in toxicity.score_texts(d, toxicity.fit(d, labels)).where("predicted = 0").collect()},
         lambda d: {r.doc_id for r in exact_dedup.exact_duplicates(d).where("kept").collect()},
-        lambda d: {r.component_id for r in simhash.near_duplicates(d).collect()},
+        lambda d: {r.component_id for r in simhash.near_copies(d).collect()},
     ]
     columns = docs.columns
     for (_, stage), rule in zip(pipeline.STAGES, rules):

@@ -102,7 +102,56 @@ def test_components_of_paths_and_stars(spark):
 def test_empty_and_filter(spark):
     assert simhash.near_duplicates(edges.documents(spark, [])).count() == 0
     docs = edges.documents(spark)
-    kept = simhash.drop_near_duplicates(docs)
+    kept = simhash.drop_near_duplicates(docs, simhash.near_duplicates(docs))
     assert kept.columns == docs.columns
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
     assert 1 in ids and 2 not in ids and ids.count(None) == 2  # rows without an id stay
+
+
+def edited(words, edits, rng):
+    words = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"edit{rng.random()}"
+    return " ".join(words)
+
+
+def plain_copies(texts):
+    prints = [simhash.copy_prints((t or "").encode()) for _, t in texts]
+    label = list(range(len(prints)))
+    changed = True
+    while changed:
+        changed = False
+        for a, (wa, sa) in enumerate(prints):
+            for b, (wb, sb) in enumerate(prints):
+                if (wa ^ wb).bit_count() <= 4 and (sa ^ sb).bit_count() <= 9 and label[b] < label[a]:
+                    label[a], changed = label[b], True
+    least = {}
+    for (i, _), group in zip(texts, label):
+        if i is not None:
+            least[group] = min(i, least.get(group, i))
+    return sorted(((i, least.get(group)) for (i, _), group in zip(texts, label)), key=str)
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(8)
+    texts = list(edges.TEXTS)
+    for group in range(12):
+        base = [f"g{group}w{rng.randrange(120)}" for _ in range(300)]
+        texts += [(1000 + 50 * group + i, edited(base, rng.randint(0, 8), rng)) for i in range(10)]
+    got = sorted(map(tuple, simhash.near_copies(edges.documents(spark, texts)).collect()), key=str)
+    assert got == plain_copies(texts)
+    groups = [{c for i, c in got if i is not None and 1000 + 50 * g <= i < 1050 + 50 * g} for g in range(12)]
+    assert sum(len(g) == 1 for g in groups) >= 8 and all(min(g) >= 1000 for g in groups)
+    assert simhash.near_copies(edges.documents(spark, [])).count() == 0
+
+
+def test_variants_are_restored():
+    rng = np.random.default_rng(5)
+    nodes = np.zeros(50, simhash._NODE)
+    nodes["words"], nodes["shingles"] = rng.integers(0, 2**64, 50, dtype=np.uint64), rng.integers(0, 2**32, 50, dtype=np.uint32)
+    import pyarrow as pa
+
+    table = pa.RecordBatch.from_arrays([pa.array([n.tobytes() for n in nodes], pa.binary())], ["node"])
+    out = next(simhash._emit_copies([table]))
+    keys, rest = (out.column(c).to_numpy().view(np.uint64) for c in ("bucket", "rest"))
+    assert (simhash.restored(keys, rest) == np.repeat(nodes, 131)).all()

@@ -3,7 +3,7 @@
 Two fingerprints at distance 3 or less have at least one of their differing bits in one of three
 blocks of the 64 bits (or none differs). With that block masked, at most two bits differ, and both
 fingerprints have a variant in common within half that radius: at most one flipped bit each. So every
-distinct fingerprint emits its 132 variants (three masks, each with no or one flipped bit outside the
+distinct fingerprint emits its 131 variants (three masks, each with no or one flipped bit outside the
 mask), and the variants are shuffled. Fingerprints that share a variant are verified bit by bit. A
 full ball of radius two would emit 2,081 variants for the same pairs.
 
@@ -19,6 +19,7 @@ rows each give a row. Other columns are not read by ``near_duplicates``.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -193,14 +194,14 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("bucket").mapInArrow(_verify, "a long, b long").distinct()
 
 
-def classes(marked: DataFrame) -> DataFrame:
-    """``(fp, component_id)`` for the distinct fingerprints of rows ``(doc_id, fp)``."""
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    nodes = components(fingerprint_links(distinct))
-    joined = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+def classes(marked: DataFrame, node: str = "fp", link=fingerprint_links) -> DataFrame:
+    """``(node, component_id)`` for the distinct nodes of rows ``(doc_id, node)``."""
+    distinct = materialize(marked.groupBy(node).agg(F.min("doc_id").alias("least")), "fingerprints")
+    found = components(link(distinct)).withColumnRenamed("node", "_node")
+    joined = distinct.join(found, distinct[node] == found["_node"], "left").select(
+        node, "least", F.coalesce("root", node).alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return joined.join(least, "root").select("fp", "component_id")
+    return joined.join(least, "root").select(node, "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -210,8 +211,155 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, text: str = "text", key:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows with the smallest id of their class, with all their columns. Rows without an id stay."""
-    found = near_duplicates(docs, shingle, text, key)
+def drop_near_duplicates(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows with the smallest id of their class in ``found``, with all their columns.
+
+    Rows without an id stay.
+    """
     dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped_id")).distinct()
     return docs.join(dropped, docs[key] == dropped["_dropped_id"], "left_anti")
+
+
+# --- near copies ---
+# Three bits of a fingerprint of shingles leave out most copies with a few edited words. Edited copies
+# are found by a fingerprint of their words, weighed by the root of their count: such copies differ in
+# few of its bits, and the same variants find all pairs within four (one of three blocks holds two of
+# four differing bits). A second, shorter fingerprint of the set of five-word shingles then tells copies
+# from texts that merely use the same words.
+COPY_RADIUS, SHINGLE_WORDS, SHINGLE_BITS = 4, 5, 32
+#: Differing shingle bits: 4.9 are expected where four fifths of the shingles are shared.
+SHINGLE_RADIUS = 9
+_NODE = np.dtype([("words", "<u8"), ("shingles", "<u4")])
+
+
+def copy_prints(text: bytes) -> tuple[int, int]:
+    """Fingerprints of the weighed words and of the set of five-word shingles; zero without words."""
+    words = text.lower().split()
+    if not words:
+        return 0, 0
+    counts = Counter(words)
+    bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh64_digest, counts)), np.uint8).reshape(-1, 8), axis=1)
+    weights = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
+    by_words = np.packbits(2 * (weights @ bits) > weights.sum()).tobytes()
+    shingles = {b" ".join(words[i:i + SHINGLE_WORDS]) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))}
+    bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh32_digest, shingles)), np.uint8).reshape(-1, 4), axis=1)
+    by_shingles = np.packbits(2 * bits.sum(axis=0) > len(shingles)).tobytes()
+    return int.from_bytes(by_words, "big"), int.from_bytes(by_shingles, "big")
+
+
+def copy_nodes(text: str = "text"):
+    """Both fingerprints of a text column as one binary value."""
+
+    @F.arrow_udf("binary")
+    def node_of(texts: pa.Array) -> pa.Array:
+        found = np.array([copy_prints(t.encode()) for t in filled(texts).to_pylist()], _NODE)
+        return pa.array([n.tobytes() for n in found], pa.binary())
+
+    return node_of(F.col(text))
+
+
+def _emit_copies(batches):
+    """The variants of each word fingerprint; beside the key, what it leaves out and the shingle bits."""
+    for batch in batches:
+        nodes = np.frombuffer(b"".join(batch.column("node").to_pylist()), _NODE)
+        for begin in range(0, len(nodes), 20_000):
+            part = nodes[begin:begin + 20_000]
+            keys = variants(part["words"].astype(np.uint64))
+            rest = []
+            for low, high in BLOCKS:
+                inner = (part["words"] >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+                base = (part["shingles"].astype(np.uint64) << np.uint64(28)) | inner
+                flip = np.arange(65 - (high - low), dtype=np.uint64) << np.uint64(22)
+                rest.append(base[:, None] | flip[None, :])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.ravel().view(np.int64)), pa.array(np.concatenate(rest, axis=1).ravel().view(np.int64))],
+                ["bucket", "rest"])
+
+
+def restored(keys: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The nodes that emitted these rows."""
+    nodes = np.zeros(len(keys), _NODE)
+    nodes["shingles"] = rest >> np.uint64(28)
+    flip = (rest >> np.uint64(22)) & np.uint64(63)
+    flips = np.where(flip > 0, np.uint64(1) << (np.maximum(flip, np.uint64(1)) - np.uint64(1)), np.uint64(0))
+    outside = (keys & np.uint64((1 << 60) - 1)) ^ flips
+    inner = rest & np.uint64((1 << 22) - 1)
+    for number, (low, high) in enumerate(BLOCKS):
+        own = keys >> np.uint64(60) == number
+        below = outside[own] & np.uint64((1 << low) - 1)
+        above = (outside[own] >> np.uint64(low)) << np.uint64(high) if high < 64 else np.uint64(0)
+        nodes["words"][own] = below | above | (inner[own] << np.uint64(low))
+    return nodes
+
+
+def near_copies_of(nodes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the others, broadcast against the nodes, are their near copies."""
+    return (np.bitwise_count(nodes["words"] ^ others["words"]) <= COPY_RADIUS) & (
+        np.bitwise_count(nodes["shingles"] ^ others["shingles"]) <= SHINGLE_RADIUS)
+
+
+def linked_copies(nodes: np.ndarray) -> np.ndarray:
+    """Classes within a bucket; a strip of rows is compared with all at a time."""
+    a, b = [], []
+    for begin in range(0, len(nodes), 256):
+        near = near_copies_of(nodes[begin:begin + 256, None], nodes[None, :])
+        labels = near.argmax(axis=1)  # the first near copy stands for the class
+        row, column = np.nonzero(near)
+        # Of a row's links one to its first copy, and from each other copy one to the same: a star.
+        a.append(np.arange(begin, begin + len(labels)))
+        b.append(labels)
+        first = np.unique(np.stack([column, labels[row]]), axis=1)
+        a.append(first[0])
+        b.append(first[1])
+    return _settle(len(nodes), np.concatenate(a), np.concatenate(b))
+
+
+def _verify_copies(batches):
+    keys, rest = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def links(keys, rest):
+        change = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sizes = np.diff(np.r_[change, len(keys)])
+        shared = np.repeat(sizes > 1, sizes)
+        nodes = np.zeros(len(keys), _NODE)
+        nodes[shared] = restored(keys[shared], rest[shared])
+        two = change[sizes == 2]
+        near = near_copies_of(nodes[two], nodes[two + 1])
+        left, right = [nodes[two][near]], [nodes[two + 1][near]]
+        for begin, size in zip(change[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            members = np.sort(nodes[begin:begin + size])
+            labels = linked_copies(members)
+            other = np.flatnonzero(labels != np.arange(size))
+            left.append(members[other])
+            right.append(members[labels[other]])
+        pairs = {(a.tobytes(), b.tobytes()) for a, b in zip(np.concatenate(left), np.concatenate(right), strict=True)}
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.concatenate([keys, batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)])
+        rest = np.concatenate([rest, batch.column("rest").to_numpy(zero_copy_only=False).view(np.uint64)])
+        whole = int(np.searchsorted(keys.view(np.int64), keys.view(np.int64)[-1]))
+        if whole:
+            yield links(keys[:whole], rest[:whole])
+            keys, rest = keys[whole:], rest[whole:]
+    if len(keys):
+        yield links(keys, rest)
+
+
+def copy_links(distinct: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between distinct nodes that connect all near copies."""
+    dealt = distinct.select("node").mapInArrow(_emit_copies, "bucket long, rest long").repartition("bucket")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(_verify_copies, "a binary, b binary").distinct()
+
+
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(doc_id, component_id)`` for each row: the smallest id among its near copies, of copies of copies too.
+
+    Null texts count as empty and are copies of each other; rows without an id take part as in
+    ``near_duplicates``.
+    """
+    marked = materialize(docs.select(F.col(key).alias("doc_id"), copy_nodes(text).alias("node")), "marked-copies")
+    return marked.join(classes(marked, "node", copy_links), "node").select("doc_id", "component_id")
