@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators.documents import markdown_document
 from webloom.operators.fetch_log import block_streaks, redirect_status, retry_plan
-from webloom.operators.joins import salted_join
+from webloom.operators.links import link_status
 from webloom.operators.split_windows import Folded, Running, fold_runs, row_numbers, running, top_rows
 
 SIZES = [1, 4, 1000]
@@ -114,14 +114,26 @@ def test_top_rows(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_join(spark, how):
-    left = spark.range(500).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40)).alias("k"), "id")
-    right = spark.range(0, 30, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = salted_join(left, right, ["k"], how, [F.col("id")], salts=5)
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
-    with pytest.raises(ValueError):
-        salted_join(left, right, ["k"], "full", [F.col("id")])
+def test_a_hot_destination_is_split_by_its_size(spark):
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        n = F.col("id")
+        links = spark.range(0, 30000, 1, 8).select(
+            F.lit("s").alias("site"), F.concat(F.lit("p"), n).alias("source"),
+            F.when(n % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("d"), n % 500)).alias("destination"), F.lit("a").alias("anchor_text"))
+        statuses = spark.range(500).select(F.lit("s").alias("site"), F.concat(F.lit("d"), n).alias("url"), F.lit("200").alias("status_code")).union(
+            spark.createDataFrame([("s", "hot", "301")], "site STRING, url STRING, status_code STRING"))
+        got = link_status(links, statuses)
+        assert {tuple(r) for r in got.groupBy("status_code").count().collect()} == {("301", 10000), ("200", 20000)}
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan and "Generate" not in plan
+    finally:
+        for key in small:
+            spark.conf.unset(key)
 
 
 def fetch_log(seed):

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from webloom.fixed_values import MIN_SITEWIDE_LINK_SOURCES, NOT_CHECKED, SITEWIDE_LINK_PERCENT
 from webloom.functions.html import parse_page
 from webloom.functions.urls import has_unwanted_extension, matches_skip
-from webloom.operators.joins import salted_join
 
 
 def parse_links(pages: DataFrame, keep: Sequence[str], legacy_rule: bool = False) -> DataFrame:
@@ -122,9 +121,7 @@ def boilerplate_keys(links: DataFrame, parsed_pages: DataFrame) -> DataFrame:
     """
     counted = links.groupBy("site", "destination", "anchor_text").agg(F.count(F.lit(1)).alias("sources"))
     frequent = counted.filter(F.col("sources") >= MIN_SITEWIDE_LINK_SOURCES)
-    with_total = salted_join(
-        frequent, parsed_pages, ["site"], "inner", [F.col("destination"), F.col("anchor_text")]
-    )
+    with_total = frequent.join(parsed_pages, "site")
     # sources >= ceil(pages * 60 %) in whole numbers.
     most = F.col("sources") * 100 >= F.col("pages") * SITEWIDE_LINK_PERCENT
     return with_total.filter((F.col("pages") >= MIN_SITEWIDE_LINK_SOURCES) & most).select(
@@ -133,16 +130,21 @@ def boilerplate_keys(links: DataFrame, parsed_pages: DataFrame) -> DataFrame:
 
 
 def boilerplate_filter(links: DataFrame, parsed_pages: DataFrame) -> DataFrame:
-    """Links without those repeated on most pages of their site."""
+    """Links without those repeated on most pages of their site.
+
+    In this join and in ``link_status`` a destination may hold a large share of the links: Spark
+    splits such a partition of the links by its measured size (``spark.sql.adaptive.skewJoin``) and
+    reads the other side again for the parts only, so cold keys are sent once.
+    """
     keys = boilerplate_keys(links, parsed_pages)
     on = ["site", "destination", "anchor_text"]
-    return salted_join(links, keys, on, "left_anti", [F.col("source")]).select(*links.columns)
+    return links.join(keys, on, "left_anti").select(*links.columns)
 
 
 def link_status(links: DataFrame, statuses: DataFrame) -> DataFrame:
     """Status of each link's destination; ``statuses`` has site, url and status_code, one row per URL."""
     known = statuses.select("site", F.col("url").alias("destination"), "status_code")
-    joined = salted_join(links, known, ["site", "destination"], "left", [F.col("source"), F.col("anchor_text")])
+    joined = links.join(known, ["site", "destination"], "left")
     return joined.select(*links.columns, F.coalesce("status_code", F.lit(NOT_CHECKED)).alias("status_code"))
 
 

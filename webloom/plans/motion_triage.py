@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from webloom.config import MotionConfig
-from webloom.operators.joins import salted_join
 from webloom.operators.motion import clip_report, clip_samples, frame_sampling, motion_events, profile_check
 from webloom.operators.split_windows import PIECE_ROWS
+from webloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,6 @@ def triage(
     samples = frame_sampling(frames, config)
     checked = profile_check(clips, clip_samples(samples), profiles)
     readable = checked.filter(F.col("failure").isNull()).select("clip_id")
-    events = salted_join(
-        motion_events(samples, config, piece_rows), readable, ["clip_id"], "left_semi", [F.col("event_id")]
-    )
+    # Written once: the caller's events and the report both read it.
+    events = materialize(motion_events(samples, config, piece_rows).join(readable, "clip_id", "left_semi"), "motion-events")
     return Triage(events, clip_report(checked, events, config, root))

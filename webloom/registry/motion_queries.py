@@ -130,9 +130,17 @@ def _(t):
     return mo.top_events(mo.motion_events(_samples(t), CONFIG), CONFIG)
 
 
-@query("events_json")
+# Read back from the JSON text, as its spelling of numbers differs by engine.
+EVENT_FIELDS = "start DOUBLE, `end` DOUBLE, samples BIGINT, score DOUBLE, uncertain BOOLEAN, peak DOUBLE"
+
+
+@query(
+    "events_json",
+    f"""WITH {EVENTS} SELECT clip_id, event_id, start, "end", samples, score, uncertain, peak FROM e""", "fx_frames",
+)
 def _(t):
-    return mo.events_json(mo.motion_events(_samples(t), CONFIG))
+    rows = mo.events_json(mo.motion_events(_samples(t), CONFIG))
+    return rows.select("clip_id", "event_id", F.from_json("event_json", EVENT_FIELDS).alias("e")).select("clip_id", "event_id", "e.*")
 
 
 def _checked(t):

@@ -10,7 +10,6 @@ from webloom.functions.text import truncate_display
 from webloom.operators import fetch_log as log, filters, state as st
 from webloom.registry.catalog import query, stripped
 from webloom.session import materialize
-from webloom.sources.media import media_inventory
 from webloom.sources.tables import find_url_column, read_url_list
 
 HOST = r"regexp_extract({0}, '^https?://([^/?#]*)', 1)"
@@ -100,7 +99,7 @@ def _(t):
 @query(
     "skip_patterns",
     """SELECT page_id, regexp_matches(url, 'utm_') OR contains(url, '?p') OR regexp_matches(url, '/de/\\d+$')
-       OR contains(url, '*') OR regexp_matches(url, '/\p{Lu}+$') OR contains(url, '(?P<a>b)') AS skipped FROM pages""",
+       OR contains(url, '*') OR regexp_matches(url, '/\\p{Lu}+$') OR contains(url, '(?P<a>b)') AS skipped FROM pages""",
 )
 def _(t):
     # "?p", "*" and "(?P<a>b)" are no valid patterns and count as plain text.
@@ -200,11 +199,6 @@ def _(t):
 
 
 # --- files and state ---
-@query("media_inventory")
-def _(t):
-    return media_inventory(t.spark, t.folder, extensions=(".parquet",))
-
-
 PRINT = "CAST(size AS STRING) || ':' || CAST(mtime AS STRING) || ':sig'"
 
 
