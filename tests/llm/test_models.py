@@ -113,13 +113,30 @@ def edit_distance(a, b):
 def test_automata_against_edit_distance():
     rng = np.random.default_rng(2)
     terms = ["".join(rng.choice(list("abc"), rng.integers(4, 10))) for _ in range(40)]
-    trie = Trie(terms, [])
+    trie = Trie(terms)
     for _ in range(1500):
         word = "".join(rng.choice(list("abc"), rng.integers(1, 11)))
         for edits in (1, 2):
             assert trie.near(word, edits) == (min(edit_distance(word, t) for t in terms) <= edits)
 
 
+def test_no_misspelling_is_passed_over():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    terms = tuple({"".join(rng.choice(list("abcdeé"), rng.integers(4, 11))) for _ in range(30)})
+    words = ["".join(rng.choice(list("abcdeé"), rng.integers(0, 12))) for _ in range(600)]
+    for term in terms:
+        letters = list(term)
+        letters[rng.integers(len(letters))] = "x"
+        words.append("".join(letters))
+    found = Lexicon(terms, ()).kinds(pa.array(words))
+    for word, kind in zip(words, found):
+        allowed = int(toxicity.edits_allowed(np.array(len(word))))
+        near = min(edit_distance(word, t) for t in terms)
+        assert kind == (1 if near == 0 else 2 if near <= allowed else 0)
+
+
 def test_kinds_of_hits_and_quotation():
     import pyarrow as pa
 

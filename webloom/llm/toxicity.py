@@ -21,12 +21,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.labelled import SAMPLE_ROWS, labelled_sample
-from webloom.llm.words import Recent, filled, split_words, text_slices
+from webloom.llm.words import filled, split_words, text_slices
 from webloom.session import materialize
 
 #: Words on either side of a hit that are looked at.
@@ -38,48 +38,32 @@ PURITY, LUCK = 0.9, 0.01
 #: Terms and stems that the lexicon may have, the best supported ones.
 MAX_TERMS = 1000
 #: Characters that open and close quotations, and words of reporting.
-OPEN_QUOTES, CLOSE_QUOTES = "\"'“„«»‘‹`", "\"'”“»«’›`"
-REPORTING = frozenset("""
+OPENING, CLOSING = "^[\"'“„«»‘‹`]", "[\"'”“»«’›`][.,;:!?]*$"
+REPORTING = tuple("""
 said says say wrote writes write called calls quoted quotes quote reported reports claimed claims
 dit disait écrit appelé cité sagte sagt schrieb nannte zitierte dijo dice escribió llamó citó
 """.split())
 #: What the weights are drawn to where labels say nothing: any abuse counts, misspelled or not.
 PRIOR_WEIGHTS = (3.0, 3.0, 3.0, 0.5, 0.5, 0.5, 2.0, 0.0)
-EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 EXACT, MISSPELLED, STEM = 1, 2, 3
 
 
-def edits_allowed(length: int) -> int:
-    return 0 if length < 5 else 1 if length < 9 else 2
+def edits_allowed(lengths: np.ndarray) -> np.ndarray:
+    """Short words must match exactly, long ones may have two edits."""
+    return np.where(lengths < 5, 0, np.where(lengths < 9, 1, 2))
 
 
 class Trie:
-    """Terms, and stems that match any longer word they lead."""
+    """The lexicon's terms, letter by letter."""
 
-    def __init__(self, terms, stems):
+    def __init__(self, terms):
         self.root: dict = {}
-        for kind, entries in (("", terms), ("stem", stems)):
-            for entry in entries:
-                node = self.root
-                for letter in entry:
-                    node = node.setdefault(letter, {})
-                node["end" + kind] = True
-
-    def match(self, word: str) -> int:
-        """0, or how the word matches; exact before stem before misspelled."""
-        node = self.root
-        stem = False
-        for letter in word:
-            node = node.get(letter)
-            if node is None:
-                break
-            stem = stem or "endstem" in node
-        else:
-            if "end" in node:
-                return EXACT
-        if stem:
-            return STEM
-        return MISSPELLED if edits_allowed(len(word)) and self.near(word, edits_allowed(len(word))) else 0
+        for term in terms:
+            node = self.root
+            for letter in term:
+                node = node.setdefault(letter, {})
+            node["end"] = True
 
     def near(self, word: str, edits: int) -> bool:
         """Whether a term is within ``edits`` edits: the word's automaton run through the trie.
@@ -110,19 +94,26 @@ class Trie:
         return False
 
 
-@lru_cache(maxsize=4)
-def matcher(terms: tuple[str, ...], stems: tuple[str, ...]) -> Recent:
-    trie = Trie(terms, stems)
-    opens, closes = tuple(OPEN_QUOTES), tuple(CLOSE_QUOTES)
+def bare_words(words: pa.Array) -> pa.Array:
+    """Words in small letters, without the marks around them."""
+    return pc.utf8_lower(pc.replace_substring_regex(words, EDGES, ""))
+
 
-    def look(words: list[str]) -> list[tuple[int, bool, bool, bool]]:
-        found = []
-        for word in words:
-            bare = EDGES.sub("", word).lower()
-            found.append((trie.match(bare), word.startswith(opens), word.rstrip(".,;:!?").endswith(closes), bare in REPORTING))
-        return found
+def letter_sets(words: list[str]) -> np.ndarray:
+    """The letters of each word as bits, folded into 64."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sets = np.zeros(len(words), np.uint64)
+    some = lengths > 0
+    if len(points):
+        begins = (np.cumsum(lengths) - lengths)[some]
+        sets[some] = np.bitwise_or.reduceat(np.uint64(1) << (points & np.uint64(63)), begins)
+    return sets
 
-    return Recent(look)
+
+@lru_cache(maxsize=4)
+def trie_of(terms: tuple[str, ...]) -> Trie:
+    return Trie(terms)
 
 
 @dataclass(frozen=True)
@@ -130,14 +121,36 @@ class Lexicon:
     terms: tuple[str, ...]
     stems: tuple[str, ...]
 
+    def kinds(self, bare: pa.Array) -> np.ndarray:
+        """How each bare word matches: exact before stem before misspelled, else 0."""
+        kind = np.zeros(len(bare), np.int64)
+        lengths = pc.utf8_length(bare).to_numpy(zero_copy_only=False)
+        edits = edits_allowed(lengths)
+        words = bare.to_numpy(zero_copy_only=False).tolist()
+        # An edit changes the length by one at most, and the set of letters by two.
+        sets, near = letter_sets(words), np.zeros(len(bare), bool)
+        for term, own in zip(self.terms, letter_sets(list(self.terms)), strict=True):
+            near |= (np.abs(lengths - len(term)) <= edits) & (np.bitwise_count(sets ^ own) <= 2 * edits)
+        trie = trie_of(self.terms)
+        for i in np.flatnonzero(near & (edits > 0)):
+            if trie.near(words[i], int(edits[i])):
+                kind[i] = MISSPELLED
+        for stem in self.stems:
+            kind[pc.starts_with(bare, stem).to_numpy(zero_copy_only=False) & (lengths > len(stem))] = STEM
+        kind[pc.is_in(bare, pa.array(self.terms, pa.string())).to_numpy(zero_copy_only=False)] = EXACT
+        return kind
+
     def features(self, texts: pa.Array) -> np.ndarray:
         """Per text, the hits of each kind as abuse, then as quotation, and whether there is abuse."""
         words = split_words(texts, None)
         n = len(texts)
         counts = np.zeros((n, 2, 3))
-        looked = matcher(self.terms, self.stems)(words.distinct)
-        if looked:
-            kind, opens, closes, reports = (np.array(c) for c in zip(*looked, strict=True))
+        bare = bare_words(words.dictionary).dictionary_encode()
+        code = bare.indices.to_numpy(zero_copy_only=False)
+        kind = self.kinds(bare.dictionary)[code] if len(code) else np.zeros(0, np.int64)
+        if kind.any():
+            opens, closes = (pc.match_substring_regex(words.dictionary, p).to_numpy(zero_copy_only=False) for p in (OPENING, CLOSING))
+            reports = pc.is_in(bare.dictionary, pa.array(REPORTING)).to_numpy(zero_copy_only=False)[code]
             hits = np.flatnonzero(kind[words.codes] > 0)
             owner = np.searchsorted(words.offsets, hits, side="right") - 1
             low = np.maximum(hits - WINDOW, words.offsets[owner])
@@ -174,7 +187,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     def words_of(batches):
         for batch in text_slices(batches):
             words = split_words(filled(batch.column("text")), None)
-            bare = [EDGES.sub("", w).lower() for w in words.distinct]
+            bare = bare_words(words.dictionary).to_numpy(zero_copy_only=False).tolist()
             known = {w: i for i, w in enumerate(dict.fromkeys(bare))}
             names = np.array([*known, ""], object)
             hashes = np.array([zlib.crc32(w.encode()) for w in known] + [0], np.int64)
