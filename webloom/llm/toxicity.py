@@ -4,9 +4,10 @@ The lexicon is learned from labelled texts: words, and stems that many different
 occur in toxic texts far more purely than chance allows. Occurrences are counted by different
 neighbouring words, so that copies of a text, near ones too, do not make its rare words toxic.
 Each distinct word of a batch whose length and letters are near those of some term becomes a
-Levenshtein automaton that runs through the trie of terms, which finds misspelled ones. Each hit is judged by the words around it: between quotation marks or
-next to a word of reporting it counts as quotation, otherwise as abuse. A logistic model over the
-numbers of exact, misspelled and stem hits, each as abuse and as quotation, gives the score.
+Levenshtein automaton that runs through the trie of terms, which finds misspelled ones. Each hit is
+judged by the words around it: between quotation marks or next to a word of reporting it counts as
+quotation, otherwise as abuse. A logistic model over the numbers of exact, misspelled and stem hits,
+each as abuse and as quotation, gives the score.
 
 Null texts count as empty and get the score of a text without hits. Every row gives one row. Only the
 text is looked at. Without usable labels (none, or of one kind) the lexicon is empty and every score is
