@@ -8,7 +8,7 @@ from webloom.config import MotionConfig
 from webloom.fixed_values import (
     ERROR_FRAME_RATE, ERROR_NO_FRAMES, ERROR_RESOLUTION, WARN_DECODE, WARN_FEW_SAMPLES, WARN_TRUNCATED, WARN_UNASSESSABLE,
 )
-from webloom.functions.files import file_tag, fingerprint, path_parts, peak_stamp, relative_path, run_signature
+from webloom.functions.files import file_tag, fingerprint, path_parts, peak_stamp, relative_path
 from webloom.operators import motion as mo, state as st
 from webloom.plans.motion_triage import triage
 from webloom.schemas import CLIPS, FRAMES
@@ -204,10 +204,17 @@ def test_settings_and_signature():
         MotionConfig(sample_fps=0)
     with pytest.raises(ValueError):
         MotionConfig(sensitivity="max")
-    base = run_signature(MotionConfig(), PROFILES["cam"], "cam")
-    assert len(base) == 64 and base == run_signature(MotionConfig(), dict(reversed(PROFILES["cam"].items())), "cam")
-    assert base != run_signature(MotionConfig(sensitivity="low"), PROFILES["cam"], "cam")
-    assert base != run_signature(MotionConfig(), PROFILES["cam"], "other")
+
+
+def test_signature_follows_settings_and_profile(spark):
+    def of(config=MotionConfig(), profiles=PROFILES):
+        return dict(mo.profile_signatures(spark.range(1), profiles, config).collect())
+
+    base = of()
+    assert base == of(profiles={n: dict(reversed(p.items())) for n, p in PROFILES.items()}) and all(len(v) == 64 for v in base.values())
+    assert base["cam"] != of(MotionConfig(sensitivity="low"))["cam"]
+    assert base["cam"] != of(profiles={**PROFILES, "cam": {**PROFILES["cam"], "rectangle": [1, 2, 3, 4]}})["cam"]
+    assert base["cam"] != of(profiles={"other": PROFILES["cam"]})["other"]
 
 
 def test_path_functions(spark):

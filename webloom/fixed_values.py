@@ -102,7 +102,7 @@ FAILED_REPLY = "**Failed to generate structure**"
 
 # --- motion ---------------------------------------------------------------
 MEDIA_EXTENSIONS = (".mp4", ".avi", ".mov", ".mkv", ".h264", ".264", ".m4v", ".ts", ".dav")
-ALGORITHM_VERSION = "v2_reflection_noise"
+ALGORITHM_VERSION = "webloom-motion-1"
 SENSITIVITY_FACTORS = {"low": 1.6, "medium": 1.0, "high": 0.7}
 BOX_TOUCH_PIXELS = 12
 MIN_CONTOUR_AREA = 9

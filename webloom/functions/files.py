@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-from collections.abc import Mapping
-from dataclasses import asdict
+from dataclasses import fields
 from datetime import datetime
 
 from pyspark.sql import Column, functions as F
@@ -25,10 +22,11 @@ def run_path(folder: str, name: str, stamp: datetime) -> str:
     return f"{folder}/{kept}_{stamp:%Y-%m-%d_%H-%M-%S}"
 
 
-def run_signature(config: MotionConfig, profile: Mapping, profile_name: str) -> str:
-    """Changes whenever settings, camera profile or algorithm change."""
-    described = json.dumps([asdict(config), dict(profile), profile_name, ALGORITHM_VERSION], sort_keys=True)
-    return hashlib.sha256(described.encode()).hexdigest()
+def run_signature(config: MotionConfig, profile: Column) -> Column:
+    """Digest of a camera profile under these settings; another one if either or the algorithm changes."""
+    settings = F.struct(*[F.lit(getattr(config, field.name)).alias(field.name) for field in fields(config)])
+    described = F.struct(profile.alias("profile"), settings.alias("settings"), F.lit(ALGORITHM_VERSION).alias("algorithm"))
+    return F.sha2(F.to_json(described), 256)
 
 
 def fingerprint(size: Column, mtime: Column, signature: Column) -> Column:

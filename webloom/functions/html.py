@@ -62,32 +62,35 @@ _NO_TEXT = frozenset(["script", "style", "template", "rt", "rp"])
 # Where an element stands, inherited by everything inside it.
 EXCLUDED, IN_MAIN, IN_NAMED, IN_ARTICLE, LAYOUT, HEAD, NO_TEXT = (1 << i for i in range(7))
 
-_COMPOUND = re.compile(f"(?:^|[-_])(?:{'|'.join(EXCLUDED_COMPOUND_WORDS)})(?:[-_]|$)")
-_TOKENS = frozenset(EXCLUDED_TOKENS)
-_LEGACY_NAMES = frozenset(LEGACY_EXCLUDED_NAMES)
-_LEGACY_WORDS = frozenset(LEGACY_EXCLUDED_WORDS)
+
+
+def _one_of(words) -> str:
+    return "(?:" + "|".join(map(re.escape, words)) + ")"
+
+
+# A token between characters no token holds; or a word set off by hyphens or the value's ends.
+_NAVIGATION = re.compile(
+    rf"(?<![a-z0-9-]){_one_of(EXCLUDED_TOKENS)}(?![a-z0-9-])|(?:^|-){_one_of(EXCLUDED_COMPOUND_WORDS)}(?:-|$)"
+)
+_LEGACY_NAVIGATION = re.compile(
+    rf"\A{_one_of(LEGACY_EXCLUDED_NAMES)}\Z|(?<![a-z0-9]){_one_of(LEGACY_EXCLUDED_WORDS)}(?![a-z0-9])|\Amenu-|-menu\Z"
+)
+_ALONE, _PLACED, _AT_EDGE = 1, 2, 4
+_OVERLAY: dict[str, int] = {"absolute": _PLACED}
+for _bit, _names in ((_ALONE, OVERLAY_CLASSES), (_AT_EDGE, OVERLAY_EDGE_CLASSES)):
+    for _name in _names:
+        _OVERLAY[_name] = _OVERLAY.get(_name, 0) | _bit
 
 
 @lru_cache(maxsize=65536)
-def names_navigation(value: str) -> bool:
+def names_navigation(value: str, legacy_rule: bool = False) -> bool:
     """Whether an id, class or label value says menu, header, footer and the like."""
-    name = value.strip().lower().replace("_", "-")
-    return (
-        name in _TOKENS
-        or not _TOKENS.isdisjoint(re.split(r"[^a-z0-9-]+", name))
-        or _COMPOUND.search(name) is not None
-    )
+    rule = _LEGACY_NAVIGATION if legacy_rule else _NAVIGATION
+    return rule.search(value.strip().lower().replace("_", "-")) is not None
 
 
-@lru_cache(maxsize=65536)
 def names_navigation_legacy(value: str) -> bool:
-    name = value.strip().lower().replace("_", "-")
-    return (
-        name in _LEGACY_NAMES
-        or not _LEGACY_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", name))
-        or name.endswith("-menu")
-        or name.startswith("menu-")
-    )
+    return names_navigation(value, True)
 
 
 def is_excluded_area(attrs: dict[str, str], classes: list[str]) -> bool:
@@ -109,10 +112,10 @@ def is_excluded_area_legacy(attrs: dict[str, str], classes: list[str]) -> bool:
 
 def is_overlay(classes: list[str]) -> bool:
     """Placed over the page by utility classes; variants such as ``md:fixed`` count."""
-    plain = {c.lower().rsplit(":", 1)[-1] for c in classes}
-    if not plain.isdisjoint(OVERLAY_CLASSES):
-        return True
-    return "absolute" in plain and not plain.isdisjoint(OVERLAY_EDGE_CLASSES)
+    seen = 0
+    for name in classes:
+        seen |= _OVERLAY.get(name.lower().rpartition(":")[2], 0)
+    return bool(seen & _ALONE) or seen & (_PLACED | _AT_EDGE) == _PLACED | _AT_EDGE
 
 
 def is_layout(attrs: dict[str, str], classes: list[str]) -> bool:

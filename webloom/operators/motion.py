@@ -6,6 +6,7 @@ everything else is a map-side combinable aggregate.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 import numpy as np
@@ -19,7 +20,7 @@ from webloom.fixed_values import (
     MIN_CONTOUR_AREA, UNASSESSABLE_RATIO, WARN_DECODE, WARN_FEW_SAMPLES, WARN_TRUNCATED,
     WARN_UNASSESSABLE,
 )
-from webloom.functions.files import path_parts, peak_stamp, relative_path
+from webloom.functions.files import path_parts, peak_stamp, relative_path, run_signature
 from webloom.operators.split_windows import Folded, PIECE_ROWS, Running, fold_runs, running, top_rows
 
 
@@ -165,6 +166,13 @@ def profile_table(df: DataFrame, profiles: Mapping[str, Mapping]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def profile_signatures(df: DataFrame, profiles: Mapping[str, Mapping], config: MotionConfig) -> DataFrame:
+    """``(camera_profile, signature)``: the signature changes with any setting or detail of the profile."""
+    rows = [(name, json.dumps(profile, sort_keys=True)) for name, profile in sorted(profiles.items())]
+    described = df.sparkSession.createDataFrame(rows, "camera_profile STRING, details STRING")
+    return described.select("camera_profile", run_signature(config, F.struct("camera_profile", "details")).alias("signature"))
+
+
 def clip_samples(samples: DataFrame) -> DataFrame:
     """Per clip: decoded samples, decode failures, matches with the unavailable view, sizes seen."""
     decoded = F.col("decoded")

@@ -11,11 +11,11 @@ from webloom.fixed_values import (
 )
 from webloom.functions.files import fingerprint
 from webloom.operators import motion as mo, state as st
-from webloom.plans.motion_triage import triage
+from webloom.plans.motion_triage import triage, triage_pending
 from webloom.registry.catalog import query
 from webloom.registry.fixtures import PROFILES, SHARED
 from webloom.registry.url_queries import PRINT
-from webloom.session import new_folder
+from webloom.session import materialize, new_folder
 from webloom.streaming.intake import run_intake
 from webloom.streaming.sessions import backfill_sessions, read_stream
 
@@ -205,6 +205,30 @@ def _(t):
     return st.class_counts(report.withColumn("processing_status", status))
 
 
+@query(
+    "motion_triage_incremental",
+    f"""WITH {REPORT}, r AS (SELECT 1 AS run, path, CASE WHEN ok THEN 'Success' ELSE 'Failed' END AS processing_status FROM z
+          WHERE clip_id % 3 <> 1
+        UNION ALL SELECT 2, path, CASE WHEN ok THEN 'Success' ELSE 'Failed' END FROM z
+          WHERE clip_id % 3 = 1 OR clip_id % 5 = 0 OR camera_profile = 'camera2')
+        SELECT run, path, processing_status FROM r""", MOTION,
+)
+def _(t):
+    # The second run sees all clips: a third is new, a fifth has changed on disk, one camera got another
+    # profile, whose clips of the first run are done again. A third run has nothing left to do.
+    files = t.clips().withColumns({"size": F.col("clip_id") * 10, "mtime": F.col("clip_id").cast("long")})
+    files, frames = materialize(files, "clip-files"), t.frames()
+    empty = t.spark.createDataFrame([], "path STRING, fingerprint STRING, processing_status STRING, updated_at BIGINT")
+    first = triage_pending(files.filter("clip_id % 3 <> 1"), frames, empty, PROFILES, CONFIG, "/v", 1)
+    changed = files.withColumn("mtime", F.col("mtime") + F.when(F.col("clip_id") % 5 == 0, 1).otherwise(0))
+    moved = {**PROFILES, "camera2": {**PROFILES["camera2"], "rectangle": [0, 0, 320, 200]}}
+    second = triage_pending(changed, frames, first.state, moved, CONFIG, "/v", 2)
+    third = triage_pending(changed, frames, second.state, moved, CONFIG, "/v", 3)
+    runs = [run.report.select(F.lit(n).alias("run"), F.col("original_path").alias("path"), "processing_status")
+            for n, run in enumerate((first, second, third), 1)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 LIMITS = {"min_correlation": 0.2, "max_difference": 30.0}
 
 
