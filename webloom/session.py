@@ -19,7 +19,8 @@ SETTINGS = {
 }
 
 
-_shipped: set[str] = set()
+# Per application, the folder of the package's archive; removed when the process ends.
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -31,13 +32,12 @@ def prepare(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
-    if not context.getConf().contains(ARROW_BATCH):
+    if spark.conf.get(ARROW_BATCH, None) is None:
         spark.conf.set(ARROW_BATCH, SETTINGS[ARROW_BATCH])
     package = os.path.dirname(os.path.abspath(__file__))
     root, name = os.path.split(package)
-    archive = os.path.join(tempfile.mkdtemp(prefix="webloom-package-"), name)
-    context.addPyFile(shutil.make_archive(archive, "zip", root, name))
-    _shipped.add(context.applicationId)
+    folder = _shipped[context.applicationId] = tempfile.TemporaryDirectory(prefix="webloom-package-")
+    context.addPyFile(shutil.make_archive(os.path.join(folder.name, name), "zip", root, name))
 
 
 def build_session(app_name: str = "webloom", master: str | None = None, **extra: str) -> SparkSession:
