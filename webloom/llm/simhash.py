@@ -298,19 +298,23 @@ def near_copies_of(nodes: np.ndarray, others: np.ndarray) -> np.ndarray:
         np.bitwise_count(nodes["shingles"] ^ others["shingles"]) <= SHINGLE_RADIUS)
 
 
-def linked_copies(nodes: np.ndarray) -> np.ndarray:
-    """Classes within a bucket; a strip of rows is compared with all at a time."""
+def linked_copies(nodes: np.ndarray, flips: np.ndarray) -> np.ndarray:
+    """Classes within a bucket; a strip of rows is compared with all at a time.
+
+    Nodes with the same flip agree outside the mask, so they also meet in the bucket without a flip,
+    and only there they are linked.
+    """
     a, b = [], []
     for begin in range(0, len(nodes), 256):
-        near = near_copies_of(nodes[begin:begin + 256, None], nodes[None, :])
-        labels = near.argmax(axis=1)  # the first near copy stands for the class
+        strip = slice(begin, begin + 256)
+        elsewhere = (flips[strip, None] == flips[None, :]) & (flips[None, :] > 0)
+        near = near_copies_of(nodes[strip, None], nodes[None, :]) & ~elsewhere
+        # Each copy is tied to the first copy of its row: the links of a row are a star.
         row, column = np.nonzero(near)
-        # Of a row's links one to its first copy, and from each other copy one to the same: a star.
-        a.append(np.arange(begin, begin + len(labels)))
-        b.append(labels)
-        first = np.unique(np.stack([column, labels[row]]), axis=1)
-        a.append(first[0])
-        b.append(first[1])
+        pairs = np.unique(np.stack([column, near.argmax(axis=1)[row]]), axis=1)
+        linked = near.any(axis=1)
+        a += [pairs[0], np.flatnonzero(linked) + begin]
+        b += [pairs[1], near.argmax(axis=1)[linked]]
     return _settle(len(nodes), np.concatenate(a), np.concatenate(b))
 
 
@@ -324,11 +328,13 @@ def _verify_copies(batches):
         nodes = np.zeros(len(keys), _NODE)
         nodes[shared] = restored(keys[shared], rest[shared])
         two = change[sizes == 2]
-        near = near_copies_of(nodes[two], nodes[two + 1])
+        flips = (rest >> np.uint64(22)) & np.uint64(63)
+        near = near_copies_of(nodes[two], nodes[two + 1]) & ((flips[two] != flips[two + 1]) | (flips[two] == 0))
         left, right = [nodes[two][near]], [nodes[two + 1][near]]
         for begin, size in zip(change[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            members = np.sort(nodes[begin:begin + size])
-            labels = linked_copies(members)
+            order = np.argsort(nodes[begin:begin + size]) + begin
+            members = nodes[order]
+            labels = linked_copies(members, flips[order])
             other = np.flatnonzero(labels != np.arange(size))
             left.append(members[other])
             right.append(members[labels[other]])
