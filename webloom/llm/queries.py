@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat, exact_dedup, lattice, neighbours, packing, pieces, quality, simhash, token_count, toxicity
+from webloom.llm import byte_pairs, chat, exact_dedup, lattice, neighbours, packing, pieces, quality, simhash, token_count, toxicity
 from webloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,8 @@ FROM placed
 """)
 def chat_perspectives(spark, folder):
     return chat.perspectives(table(spark, folder, "conversations"))
+
+
+@query("op11_bpe")
+def bpe_digests(spark, folder):
+    return byte_pairs.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
