@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import byte_pairs, chat, exact_dedup, lattice, neighbours, packing, pieces, quality, simhash, token_count, toxicity
+from webloom.llm import byte_pairs, centroids, chat, exact_dedup, lattice, neighbours, packing, pieces, quality, simhash, token_count, toxicity
 from webloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,39 @@ def chat_perspectives(spark, folder):
 @query("op11_bpe")
 def bpe_digests(spark, folder):
     return byte_pairs.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _k_means_sql(k: int = 16, rounds: int = 3, size: int = 64, scale: int = 64) -> str:
+    """Lloyd's rounds without bounds: all distances, one table for each assignment and each move."""
+    distance = "list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT"
+    parts = [f"""kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""", f"""centroids0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS k, v FROM kept QUALIFY k < {k}
+)"""]
+    for t in range(rounds + 1):
+        parts.append(f"""nearest{t} AS MATERIALIZED (
+    SELECT p.row, min({distance} * {k} + c.k) AS least FROM kept p CROSS JOIN centroids{t} c GROUP BY p.row
+)""")
+        if t < rounds:
+            parts.append(f"""sums{t} AS (
+    SELECT least % {k} AS k, i, sum(v[i]) AS s, count(*)::HUGEINT AS n FROM kept JOIN nearest{t} USING (row), range(1, {size + 1}) r(i) GROUP BY ALL
+), moved{t} AS (
+    SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM sums{t} GROUP BY k
+), centroids{t + 1} AS MATERIALIZED (
+    SELECT c.k, coalesce(m.v, c.v) AS v FROM centroids{t} c LEFT JOIN moved{t} m USING (k)
+)""")
+    joined = ",\n".join(parts)
+    return f"""
+WITH {joined}
+SELECT vec_id, (least % {k})::INTEGER AS cluster, (least // {k})::BIGINT AS distance,
+       sum(least // {k}) OVER (PARTITION BY least % {k})::BIGINT AS cluster_inertia, sum(least // {k}) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM kept JOIN nearest{rounds} USING (row) JOIN centroids{rounds} c ON c.k = least % {k}
+"""
+
+
+@query("op12_centroid_clustering", _k_means_sql())
+def centroid_clusters(spark, folder):
+    return centroids.cluster_vectors(table(spark, folder, "embeddings")).drop("n_distances")
