@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import byte_pairs, centroids, chat, exact_dedup, lattice, neighbours, packing, pieces, quality, simhash, token_count, toxicity
+from webloom.llm import byte_pairs, centroids, chat, exact_dedup, lattice, neighbours, packing, pieces, quality, simhash, spelling, token_count, toxicity
 from webloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,8 @@ FROM kept JOIN nearest{rounds} USING (row) JOIN centroids{rounds} c ON c.k = lea
 @query("op12_centroid_clustering", _k_means_sql())
 def centroid_clusters(spark, folder):
     return centroids.cluster_vectors(table(spark, folder, "embeddings")).drop("n_distances")
+
+
+@query("op13_spelling_variants")
+def spelling_variants(spark, folder):
+    return spelling.variant_groups(table(spark, folder, "documents"))
