@@ -102,39 +102,141 @@ def test_scores_without_rows_or_training(spark):
 
 
 def edit_distance(a, b):
-    line = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, line[0] = line[0], i
-        for j, y in enumerate(b, 1):
-            before, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, before + (x != y))
-    return line[-1]
+    """With swapped neighbours as one edit."""
+    d = {(i, j): i or j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def allowed(term):
+    return int(toxicity.edits_allowed(np.array(len(term))))
 
 
 def test_automata_against_edit_distance():
     rng = np.random.default_rng(2)
-    terms = ["".join(rng.choice(list("abc"), rng.integers(4, 10))) for _ in range(40)]
+    terms = ["".join(rng.choice(list("abc"), rng.integers(2, 12))) for _ in range(40)]
     trie = Trie(terms)
-    for _ in range(1500):
-        word = "".join(rng.choice(list("abc"), rng.integers(1, 11)))
-        for edits in (1, 2):
-            assert trie.near(word, edits) == (min(edit_distance(word, t) for t in terms) <= edits)
+    for _ in range(600):
+        word = "".join(rng.choice(list("abc"), rng.integers(1, 13)))
+        assert set(trie.near(word)) == {t for t in terms if edit_distance(word, t) <= allowed(t)}
 
 
 def test_no_misspelling_is_passed_over():
     import pyarrow as pa
 
     rng = np.random.default_rng(3)
-    terms = tuple({"".join(rng.choice(list("abcdeé"), rng.integers(4, 11))) for _ in range(30)})
-    words = ["".join(rng.choice(list("abcdeé"), rng.integers(0, 12))) for _ in range(600)]
+    terms = tuple({"".join(rng.choice(list("abcdeé"), rng.integers(3, 11))) for _ in range(30)})
+    words = ["".join(rng.choice(list("abcdeé"), rng.integers(0, 12))) for _ in range(300)]
     for term in terms:
-        letters = list(term)
-        letters[rng.integers(len(letters))] = "x"
-        words.append("".join(letters))
-    found = Lexicon(terms, ()).kinds(pa.array(words))
+        at = rng.integers(len(term) - 1)
+        words += [term[:at] + "x" + term[at + 1:], term[:at] + term[at + 1:], term[:at] + term[at + 1] + term[at] + term[at + 2:], term[:at] + "y" + term[at:]]
+    strict, innocent = terms[:5], tuple(words[300:310])
+    found = Lexicon(terms, (), strict, innocent).kinds(pa.array(words))
     for word, kind in zip(words, found):
-        allowed = int(toxicity.edits_allowed(np.array(len(word))))
-        near = min(edit_distance(word, t) for t in terms)
-        assert kind == (1 if near == 0 else 2 if near <= allowed else 0)
+        near = word not in innocent and any(edit_distance(word, t) <= allowed(t) for t in terms if t not in strict)
+        assert kind == (1 if word in terms else 2 if near else 0)
+
+
+def labelled_texts(spark, texts):
+    """Documents 0, 1, ... with these (text, toxic)."""
+    docs = edges.documents(spark, [(i, t) for i, (t, _) in enumerate(texts)])
+    return docs, spark.createDataFrame([(i, toxic) for i, (_, toxic) in enumerate(texts)], "doc_id long, toxic int")
+
+
+def invented(rng, n):
+    return ["".join(rng.choice(list("bdfgklmnprstaeiou"), rng.integers(6, 10))) for _ in range(n)]
+
+
+def toxic_world(seed=5):
+    """Clean texts of common words; toxic ones hold an insult, or one that is also quoted in clean ones."""
+    rng = np.random.default_rng(seed)
+    common = invented(rng, 300)
+    texts = [(" ".join(rng.choice(common, 30)), 0) for _ in range(400)]
+    for _ in range(60):
+        words = list(rng.choice(common, 30))
+        words[rng.integers(30)] = ["scoundrel", "nitwit", "scum"][rng.integers(3)]
+        texts.append((" ".join(words), 1))
+    return rng, common, texts
+
+
+def test_misspellings_alone_decide(spark):
+    rng, common, texts = toxic_world()
+    model = toxicity.fit(*labelled_texts(spark, texts))
+    assert {"scoundrel", "nitwit", "scum"} <= set(model.lexicon.terms)
+    base = " ".join(common[:20])
+    tried = ["scoundrel", "scuondrel", "scoundel", "skoundrell", "nitwit", "nitwti", "nittwit", "mitwit", "scvm", "scm", "skum", "SCUM!"]
+    clean = ["", "friend", "scoundrels' apprentice"[:2], "twit", "sum", "nit wit", common[25]]
+    rows = [(i, f"{base} {w} {base}") for i, w in enumerate(tried + clean)]
+    got = {r.doc_id: r for r in toxicity.score_texts(edges.documents(spark, rows), model).collect()}
+    assert [got[i].predicted for i in range(len(tried))] == [1] * len(tried)
+    wrong = [w for i, w in enumerate(clean, len(tried)) if got[i].predicted and w not in ("sum",)]
+    assert not wrong  # "sum" is one edit from "scum", and no clean text shows it
+    exact, misspelled = got[0].score, got[1].score
+    assert exact >= misspelled
+
+
+def test_words_of_clean_texts_are_no_misspellings(spark):
+    rng, common, texts = toxic_world()
+    texts = [(t + (" slum sculm" if i % 7 == 0 and not y else ""), y) for i, (t, y) in enumerate(texts)]
+    model = toxicity.fit(*labelled_texts(spark, texts))
+    assert "scum" in model.lexicon.terms and "scum" in model.lexicon.strict and "sculm" in model.lexicon.innocent
+    rows = [(0, "a sculm of " + common[3]), (1, "scum of " + common[3]), (2, "scrum " + common[4])]
+    assert [r.predicted for r in toxicity.score_texts(edges.documents(spark, rows), model).orderBy("doc_id").collect()] == [0, 1, 0]
+
+
+def test_one_text_is_one_proof(spark):
+    """A long toxic text that repeats a rare word, and near copies of one, make no term."""
+    rng, common, texts = toxic_world()
+    texts.append((" ".join(f"harmless {w}" for w in common), 1))
+    base = list(rng.choice(common, 40))
+    for i in range(30):
+        words = list(base)
+        words[i] = f"edit{i}"
+        texts.append((" ".join(words[:20] + ["blameless"] + words[20:]) if abs(i - 20) > 1 else " ".join(words), 1))
+    lexicon = toxicity.fit(*labelled_texts(spark, texts)).lexicon
+    assert "scum" in lexicon.terms and "harmless" not in lexicon.terms and "blameless" not in lexicon.terms
+
+
+def test_lexicon_has_no_cap(spark):
+    rng, common, texts = toxic_world()
+    insults = [w + "zz" for w in invented(np.random.default_rng(9), 1200)]
+    texts = texts[:400] + [(" ".join([*rng.permutation(insults), *rng.choice(common, 5)]), 1) for _ in range(40)]
+    lexicon = toxicity.fit(*labelled_texts(spark, texts)).lexicon
+    assert set(insults) <= {w for w in insults if w in lexicon.terms or w.startswith(lexicon.stems)}
+
+
+def test_quotation_is_told_from_abuse(spark):
+    rng, common, texts = toxic_world()
+    for i in range(80):
+        words = list(rng.choice(common, 30))
+        words[10:10] = ["he", "said", '"', "nitwit", '"'] if i % 2 else ["wrote", "nitwit"]
+        texts.append((" ".join(words), 0))
+    # As many different insults as before keep the term pure: quoted uses are a fifth of all.
+    for _ in range(800):
+        words = list(rng.choice(common, 30))
+        words[rng.integers(30)] = "nitwit"
+        texts.append((" ".join(words), 1))
+    model = toxicity.fit(*labelled_texts(spark, texts))
+    base = " ".join(common[:9])
+    rows = [(0, f"{base} nitwit {base}"), (1, f"{base} he said nitwit {base}"), (2, f'{base} "nitwit" {base}')]
+    got = {r.doc_id: r.score for r in toxicity.score_texts(edges.documents(spark, rows), model).collect()}
+    assert got[0] >= 0.5 > max(got[1], got[2])
+
+
+@pytest.mark.parametrize("rows", [3, 10])
+def test_samples_are_bounded_by_rows(spark, rows):
+    from webloom.llm.labelled import labelled_sample
+
+    docs = edges.documents(spark, [(1, "equal")] * 3000 + [(1, f"text {i}") for i in range(500)] + [(2, None), (None, "x"), (3, "three")])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, None), (None, 1), (4, 1)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", rows=rows).collect()
+    assert len(got) == rows and all(r.label == 1 for r in got) and len({r.text for r in got}) == rows
+    everything = labelled_sample(docs, labels, "toxic").collect()
+    assert len(everything) == 502 and sorted(r.text for r in everything).count("equal") == 1
 
 
 def test_kinds_of_hits_and_quotation():

@@ -1,17 +1,22 @@
 """Toxicity by a lexicon trie, Levenshtein automata and context windows.
 
 The lexicon is learned from labelled texts: words, and stems that many different words share, which
-occur in toxic texts far more purely than chance allows. Occurrences are counted by different
-neighbouring words, so that copies of a text, near ones too, do not make its rare words toxic.
-Each distinct word of a batch whose length and letters are near those of some term becomes a
-Levenshtein automaton that runs through the trie of terms, which finds misspelled ones. Each hit is
-judged by the words around it: between quotation marks or next to a word of reporting it counts as
-quotation, otherwise as abuse. A logistic model over the numbers of exact, misspelled and stem hits,
-each as abuse and as quotation, gives the score.
-
-Null texts count as empty and get the score of a text without hits. Every row gives one row. Only the
-text is looked at. Without usable labels (none, or of one kind) the lexicon is empty and every score is
-the share of toxic labels.
+occur in toxic texts far more purely than chance allows. A word is supported by the different toxic
+texts that hold it, and by the different neighbours it has there, whichever are fewer: neither one long
+text nor many near copies of one make its rare words toxic. Each distinct word of a batch whose length
+and letters are near those of some term becomes a Levenshtein automaton (with swapped neighbours as one
+edit) that runs through the trie of terms, which finds misspelled ones. Terms whose neighbourhood holds
+words of clean texts are only matched exactly, and words that clean texts hold are no misspellings.
+Each hit is judged by the words around it: between quotation marks or next to a word of reporting it
+counts as quotation, otherwise as abuse. A logistic model over the numbers of exact, misspelled and stem
+hits, each as abuse and as quotation, gives the score; as terms are pure by their choice, one of them,
+spelled right or wrong, in abuse decides.
+
+Null and empty texts, and texts without a hit, get the same low score. Every row gives one row, repeated
+ones too; very long texts are read whole. Terms of equal support are all taken, so ties need no order.
+Only the text is looked at, columns of other names are carried by ``drop_toxic`` and not read. Without
+usable labels (none, or of one kind) the lexicon is empty and every score is the share of toxic labels;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +41,8 @@ WINDOW = 6
 STEM_LENGTHS, STEM_WORDS = (3, 10), 4
 #: Share of toxic contexts among those of a term, and chance that any term gets in by luck.
 PURITY, LUCK = 0.9, 0.01
-#: Terms and stems that the lexicon may have, the best supported ones.
-MAX_TERMS = 1000
+#: Log odds that a single exact or misspelled hit in abuse reaches at least: a little above one half.
+DECISIVE = 0.1
 #: Characters that open and close quotations, and words of reporting.
 OPENING, CLOSING = "^[\"'“„«»‘‹`]", "[\"'”“»«’›`][.,;:!?]*$"
 REPORTING = tuple("""
@@ -51,48 +56,52 @@ EXACT, MISSPELLED, STEM = 1, 2, 3
 
 
 def edits_allowed(lengths: np.ndarray) -> np.ndarray:
-    """Short words must match exactly, long ones may have two edits."""
-    return np.where(lengths < 5, 0, np.where(lengths < 9, 1, 2))
+    """By the length of the term: short ones must match exactly, long ones may have two edits."""
+    return np.where(lengths < 4, 0, np.where(lengths < 9, 1, 2))
 
 
 class Trie:
-    """The lexicon's terms, letter by letter."""
+    """The lexicon's terms, letter by letter, each with the edits it allows."""
 
     def __init__(self, terms):
         self.root: dict = {}
-        for term in terms:
+        terms = list(terms)
+        allowed = edits_allowed(np.array([len(t) for t in terms], np.int64)).tolist()
+        self.edits = max(allowed, default=0)
+        for term, edits in zip(terms, allowed, strict=True):
             node = self.root
             for letter in term:
                 node = node.setdefault(letter, {})
-            node["end"] = True
+            node["end"] = (term, edits)
 
-    def near(self, word: str, edits: int) -> bool:
-        """Whether a term is within ``edits`` edits: the word's automaton run through the trie.
+    def near(self, word: str):
+        """The terms that are as near as they allow: the word's automaton run through the trie.
 
         The automaton's states are bits: bit i of level e is set if the term so far can be turned
-        into the first i letters with e edits.
+        into the first i letters with at most e edits.
         """
         places: dict[str, int] = {}
         for i, letter in enumerate(word):
             places[letter] = places.get(letter, 0) | 1 << i
         everything, goal = (2 << len(word)) - 1, 1 << len(word)
-        start = [(2 << e) - 1 & everything for e in range(edits + 1)]
-        stack = [(self.root, start)]
+        nothing = [0] * (self.edits + 1)
+        start = [(2 << e) - 1 & everything for e in range(self.edits + 1)]
+        stack = [(self.root, start, nothing, 0)]
         while stack:
-            node, levels = stack.pop()
-            if "end" in node and levels[-1] & goal:
-                return True
+            node, levels, earlier, last = stack.pop()
+            if "end" in node and levels[node["end"][1]] & goal:
+                yield node["end"][0]
             for letter, child in node.items():
                 if len(letter) > 1:
                     continue
                 here = places.get(letter, 0)
                 moved = [(levels[0] & here) << 1]
-                for e in range(1, edits + 1):
-                    # matched, replaced, left out of the word, or added to it
-                    moved.append(((levels[e] & here) << 1 | levels[e - 1] << 1 | levels[e - 1] | moved[e - 1] << 1) & everything)
+                for e in range(1, self.edits + 1):
+                    # matched, replaced, left out of the word, added to it, or swapped with the letter before
+                    swapped = (earlier[e - 1] & here & last >> 1) << 2
+                    moved.append(((levels[e] & here) << 1 | levels[e - 1] << 1 | levels[e - 1] | moved[e - 1] << 1 | swapped) & everything)
                 if moved[-1]:
-                    stack.append((child, moved))
-        return False
+                    stack.append((child, moved, levels, here))
 
 
 def bare_words(words: pa.Array) -> pa.Array:
@@ -121,21 +130,36 @@ def trie_of(terms: tuple[str, ...]) -> Trie:
 class Lexicon:
     terms: tuple[str, ...]
     stems: tuple[str, ...]
+    #: Terms that are matched exactly only, and words that are no misspellings.
+    strict: tuple[str, ...] = ()
+    innocent: tuple[str, ...] = ()
+
+    @property
+    def tolerant(self) -> tuple[str, ...]:
+        strict = set(self.strict)
+        return tuple(t for t in self.terms if t not in strict)
+
+    def misspelled(self, bare: pa.Array):
+        """``(index, terms)`` of the words that are near some tolerant term, or equal to one."""
+        words = bare.to_numpy(zero_copy_only=False).tolist()
+        lengths = pc.utf8_length(bare).to_numpy(zero_copy_only=False)
+        # An edit changes the length by one at most, and the set of letters by two.
+        terms, sets, near = self.tolerant, letter_sets(words), np.zeros(len(bare), bool)
+        allowed = edits_allowed(np.array([len(t) for t in terms], np.int64)).tolist()
+        for term, own, edits in zip(terms, letter_sets(list(terms)), allowed, strict=True):
+            near |= (np.abs(lengths - len(term)) <= edits) & (np.bitwise_count(sets ^ own) <= 2 * edits)
+        trie = trie_of(terms)
+        for i in np.flatnonzero(near):
+            found = list(trie.near(words[i]))
+            if found:
+                yield int(i), found
 
     def kinds(self, bare: pa.Array) -> np.ndarray:
         """How each bare word matches: exact before stem before misspelled, else 0."""
         kind = np.zeros(len(bare), np.int64)
+        kind[[i for i, _ in self.misspelled(bare)]] = MISSPELLED
+        kind[pc.is_in(bare, pa.array(self.innocent, pa.string())).to_numpy(zero_copy_only=False)] = 0
         lengths = pc.utf8_length(bare).to_numpy(zero_copy_only=False)
-        edits = edits_allowed(lengths)
-        words = bare.to_numpy(zero_copy_only=False).tolist()
-        # An edit changes the length by one at most, and the set of letters by two.
-        sets, near = letter_sets(words), np.zeros(len(bare), bool)
-        for term, own in zip(self.terms, letter_sets(list(self.terms)), strict=True):
-            near |= (np.abs(lengths - len(term)) <= edits) & (np.bitwise_count(sets ^ own) <= 2 * edits)
-        trie = trie_of(self.terms)
-        for i in np.flatnonzero(near & (edits > 0)):
-            if trie.near(words[i], int(edits[i])):
-                kind[i] = MISSPELLED
         for stem in self.stems:
             kind[pc.starts_with(bare, stem).to_numpy(zero_copy_only=False) & (lengths > len(stem))] = STEM
         kind[pc.is_in(bare, pa.array(self.terms, pa.string())).to_numpy(zero_copy_only=False)] = EXACT
@@ -178,56 +202,118 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
+def _words_of(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct bare words of a batch, and for every place in its texts the word's number and the text's."""
+    words = split_words(filled(batch.column("text")), None)
+    bare = bare_words(words.dictionary).to_numpy(zero_copy_only=False).tolist()
+    known = {w: i for i, w in enumerate(dict.fromkeys(bare))}
+    codes = np.array([known[w] for w in bare], np.int64)[words.codes] if bare else np.zeros(0, np.int64)
+    return np.array([*known, ""], object), codes, np.repeat(np.arange(batch.num_rows), np.diff(words.offsets))
+
+
+def _text_words(batches):
+    """``(word, label, text)``: the distinct words of each text, by its hash."""
+    for batch in text_slices(batches):
+        names, codes, owner = _words_of(batch)
+        found = np.unique(np.stack([codes, owner], axis=1), axis=0)
+        hashes = batch.column("text_hash").to_numpy(zero_copy_only=False)
+        labels = batch.column("label").to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[found[:, 0]], pa.string()), pa.array(labels[found[:, 1]], pa.int32()), pa.array(hashes[found[:, 1]])],
+            ["word", "label", "text"])
+
+
+def _contexts(batches):
+    """``(word, context)``: the words with the hash of their neighbours on both sides."""
+    for batch in text_slices(batches):
+        names, codes, owner = _words_of(batch)
+        if not len(codes):
+            continue
+        hashes = np.array([zlib.crc32(w.encode()) for w in names[:-1]] + [0], np.int64)
+        edge = len(names) - 1  # beyond the first and the last word of a text
+        first = np.r_[True, owner[1:] != owner[:-1]]
+        before, after = np.r_[edge, codes[:-1]], np.r_[codes[1:], edge]
+        before[first], after[np.r_[first[1:], True]] = edge, edge
+        found = np.unique(np.stack([codes, hashes[before] << 31 ^ hashes[after]], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(names[found[:, 0]], pa.string()), pa.array(found[:, 1])], ["word", "context"])
+
+
+def _text_counts(rows: DataFrame, by: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"))
+
+
+def _collapsed(stems: dict[str, int]) -> set[str]:
+    """Of nested stems the shortest says it all, drawn out as long as hardly any word is lost."""
+    kept = set()
+    for stem in (s for s in stems if not any(s[:i] in stems for i in range(1, len(s)))):
+        longer = [s for s in stems if s.startswith(stem) and stems[s] >= 0.95 * stems[stem]]
+        kept.add(max(longer, key=lambda s: (len(s), s)))
+    return kept
+
+
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Terms and stems from a bounded table ``(text, label)``."""
-    totals = dict(sample.groupBy("label").count().collect())
+    """Terms and stems from a bounded table ``(text, label)``; what reaches the driver is bounded by it."""
+    hashed = sample.withColumn("text_hash", F.xxhash64("text"))
+    totals = dict(hashed.groupBy("label").agg(F.count_distinct("text_hash")).collect())
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return Lexicon((), ())
-
-    def words_of(batches):
-        for batch in text_slices(batches):
-            words = split_words(filled(batch.column("text")), None)
-            bare = bare_words(words.dictionary).to_numpy(zero_copy_only=False).tolist()
-            known = {w: i for i, w in enumerate(dict.fromkeys(bare))}
-            names = np.array([*known, ""], object)
-            hashes = np.array([zlib.crc32(w.encode()) for w in known] + [0], np.int64)
-            codes = np.array([known[w] for w in bare], np.int64)[words.codes]
-            if not len(codes):
-                continue
-            edge = len(known)  # beyond the first and the last word of a text
-            before, after = np.r_[edge, codes[:-1]], np.r_[codes[1:], edge]
-            filled_rows = np.flatnonzero(np.diff(words.offsets))
-            before[words.offsets[filled_rows]], after[words.offsets[filled_rows + 1] - 1] = edge, edge
-            label = np.repeat(batch.column("label").to_numpy(), np.diff(words.offsets))
-            context = hashes[before] << 31 ^ hashes[after]
-            found = np.unique(np.stack([codes, label, context], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[found[:, 0]], pa.string()), pa.array(found[:, 1], pa.int32()), pa.array(found[:, 2])],
-                ["word", "label", "context"])
-
-    contexts = sample.mapInArrow(words_of, "word string, label int, context long").where("word <> ''").distinct()
-    words = contexts.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"))
-    words = materialize(words, "toxic-words")
+    texts = materialize(hashed.mapInArrow(_text_words, "word string, label int, text long").where("word <> ''").distinct(), "toxic-texts")
+    contexts = (sample.where("label = 1").select("text").mapInArrow(_contexts, "word string, context long").where("word <> ''").distinct()
+                .groupBy("word").agg(F.count("*").alias("contexts")))
+    words = materialize(_text_counts(texts, "word").join(contexts, "word", "left").select(
+        "word", F.least("toxic", F.coalesce("contexts", F.lit(0))).alias("toxic"), "clean"), "toxic-words")
+    # A term of n toxic texts and no clean one has the chance share^n; there are as many tries as words.
+    share = toxic / (toxic + clean)
+    least = max(3, int(np.ceil(np.log(LUCK / max(1, words.count())) / np.log(share))))
+    pure = (F.col("toxic") >= least) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean")))
+    terms = [r[0] for r in words.where(pure).select("word").collect()]
     lengths = F.sequence(F.lit(STEM_LENGTHS[0]), F.least(F.lit(STEM_LENGTHS[1]), F.length("word") - 1))
     stems = (words.where(F.length("word") > STEM_LENGTHS[0]).select("word", "toxic", "clean", F.explode(lengths).alias("size"))
              .groupBy(F.substring("word", F.lit(1), F.col("size")).alias("stem"))
              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("words"),
                   F.max("toxic").alias("most")))
-    # A term of n toxic contexts and no clean one has the chance share^n; there are as many tries as words.
-    share = toxic / (toxic + clean)
-    least = max(3, int(np.ceil(np.log(LUCK / max(1, words.count())) / np.log(share))))
-    pure = (F.col("toxic") >= least) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean")))
-    terms = [r[0] for r in words.where(pure).orderBy(F.desc("toxic"), "word").limit(MAX_TERMS).select("word").collect()]
     many = (F.col("words") >= STEM_WORDS) & (F.col("most") < 0.5 * F.col("toxic"))
-    found = dict(stems.where(pure & many).orderBy(F.desc("toxic"), "stem").limit(MAX_TERMS).select("stem", "toxic").collect())
-    # Of nested stems the shortest says it all, drawn out as long as hardly any word is lost.
-    kept = set()
-    for stem in (s for s in found if not any(s[:i] in found for i in range(1, len(s)))):
-        longer = [s for s in found if s.startswith(stem) and found[s] >= 0.95 * found[stem]]
-        kept.add(max(longer, key=len))
-    covered = tuple(sorted(kept))
-    return Lexicon(tuple(sorted(t for t in terms if not t.startswith(covered))), covered)
+    found = sorted(_collapsed(dict(stems.where(pure & many).select("stem", "toxic").collect())))
+    if found:
+        # Texts that hold several words of a stem count once.
+        starts = F.explode(F.filter(F.array(*map(F.lit, found)), lambda stem: F.col("word").startswith(stem)))
+        counted = _text_counts(texts.select(starts.alias("stem"), "label", "text").distinct(), "stem")
+        found = [r[0] for r in counted.where(pure).select("stem").collect()]
+    covered = tuple(sorted(found))
+    lexicon = Lexicon(tuple(sorted(t for t in terms if not t.startswith(covered))), covered)
+    return _with_neighbours(lexicon, words)
+
+
+def _with_neighbours(lexicon: Lexicon, words: DataFrame) -> Lexicon:
+    """Which terms have words of clean texts near them, and which words these are."""
+    own = set(lexicon.terms)
+
+    def near(batches):
+        for batch in batches:
+            bare = batch.column("word")
+            rows = [(term, i) for i, terms in lexicon.misspelled(bare) if bare[i].as_py() not in own for term in terms]
+            names, at = zip(*rows, strict=True) if rows else ((), ())
+            picked = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), *(batch.column(c).take(picked) for c in ("word", "toxic", "clean"))], ["term", "word", "toxic", "clean"])
+
+    if not own:
+        return lexicon
+    found = materialize(words.mapInArrow(near, "term string, word string, toxic long, clean long"), "toxic-neighbours")
+    sums = found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    strict = sums.where((F.col("clean") > 0) & (F.col("toxic") < PURITY * (F.col("toxic") + F.col("clean"))))
+    return Lexicon(lexicon.terms, lexicon.stems, tuple(sorted(r.term for r in strict.collect())),
+                   tuple(sorted(r.word for r in found.where("clean > 0").select("word").distinct().collect())))
+
+
+def decisive(weights: np.ndarray, bias: float) -> np.ndarray:
+    """Weights raised so that one exact or misspelled hit in abuse is enough, and an exact one is no less."""
+    raised = weights.copy()
+    least = (DECISIVE - bias - raised[6]) / np.log(2)
+    raised[1] = max(raised[1], least)
+    raised[0] = max(raised[0], raised[1])
+    return raised
 
 
 def fit_logistic(features: np.ndarray, labels: np.ndarray, prior, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -266,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, rows: int = SAMPLE_ROWS,
         share = float(np.clip(table.label.mean(), 1e-6, 1 - 1e-6)) if len(table) else 1e-6
         return Model(lexicon, (0.0,) * 8, float(np.log(share / (1 - share))))
     weights, bias = fit_logistic(np.stack(table.features.to_numpy()), table.label.to_numpy(np.float64), PRIOR_WEIGHTS)
-    return Model(lexicon, tuple(weights.tolist()), bias)
+    return Model(lexicon, tuple(decisive(weights, bias).tolist()), bias)
 
 
 def score_column(model: Model, text: str = "text"):
