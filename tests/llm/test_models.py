@@ -293,6 +293,90 @@ def test_quality_separates_labelled_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows.where("kept").collect()}
 
 
+def plain_grams(text):
+    """Buckets of the n-grams of a text: words, pairs of words, pairs of whole word shapes with a mark for repetition."""
+    import regex
+
+    def shape(word):
+        for pattern, letter in ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}\p{M}]+", "a"), (r"\p{N}+", "0")):
+            word = regex.sub(pattern, letter, word)
+        return word
+
+    def number(word):
+        return int(quality.hashes(pa.array([word]))[0]) >> 24
+
+    def bucket(value, bits):
+        return (value * 0x9E3779B97F4A7C15 % 2**64) >> 64 - bits
+
+    import pyarrow as pa
+
+    words = [w for w in regex.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    code, form = [number(w) for w in words], [number(shape(w)) for w in words]
+    found = [bucket(c + 1, 16) for c in code]
+    for i in range(len(words) - 1):
+        found.append(bucket((code[i] * 31 + (code[i + 1] << 20)) % 2**64, 16))
+        found.append(2**16 + bucket((form[i] * 31 + (form[i + 1] << 20) + (words[i] == words[i + 1])) % 2**64, 13))
+    return found
+
+
+@pytest.mark.parametrize("scale", ["edges", "sf0.001"])
+def test_draws_and_kept_rows_against_a_plain_version(spark, scale):
+    """Both models, the cut, the noise, the k-th largest draw and the rows kept, counted by hand."""
+    if scale == "edges":
+        good = "A1b2C3d4E5f6 calm words and a long WORD1word2WORD3word4 stay"
+        texts = edges.TEXTS + [(100 + i, f"{good} {i % 7}") for i in range(20)] + [(200 + i, "junk junk $$$ !!! junk") for i in range(20)]
+        docs, flags = edges.documents(spark, texts), [(100 + i, 1) for i in range(15)] + [(200 + i, 0) for i in range(15)]
+        labels = spark.createDataFrame(flags, "doc_id long, quality int")
+    else:
+        docs, labels = (spark.read.parquet(f"/root/testdata/{scale}/{t}.parquet") for t in ("documents", "labels"))
+        texts, flags = [(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.quality) for r in labels.collect() if r.quality is not None]
+    label = dict(flags)
+    grams = [plain_grams(t) for _, t in texts]
+    size = 2**16 + 2**13
+    raw, target = np.zeros(size), np.zeros(size)
+    sampled = {}
+    for (i, t), own in zip(texts, grams):
+        np.add.at(raw, own, 1)
+        if i in label:
+            sampled[i, t or ""] = (own, label[i])
+    for own, y in sampled.values():
+        if y:
+            np.add.at(target, own, 1)
+    p_raw = (raw + 0.5) / (raw.sum() + 0.5 * size)
+    ratios = np.log((target + 2.0 * size * p_raw) / (target.sum() + 2.0 * size) / p_raw)
+    means = sorted(((ratios[own].sum() / max(len(own), 1), y) for own, y in sampled.values()))
+    n_good, n_bad = sum(y for _, y in means), sum(1 - y for _, y in means)
+    gains = [(sum(1 - y for _, y in means[:c]) / n_bad + sum(y for _, y in means[c:]) / n_good, c) for c in range(len(means) + 1)]
+    best = max(g for g, _ in gains)
+    at = max(c for g, c in gains if g >= best - 1e-12)
+    cut = (means[at - 1][0] + means[at][0]) / 2
+    noise = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "shiftrightunsigned(xxhash64(0, doc_id), 11) h").collect()}
+    rows = []
+    for (i, _), own in zip(texts, grams):
+        weight = (ratios[own] - cut).sum()
+        rows.append([i, len(own), weight, weight - math.log(-math.log((noise[i] + 0.5) / 2**53))])
+    k = sum(r[2] >= 0 for r in rows)
+    least = sorted((r[3] for r in rows), reverse=True)[k - 1]
+    got = sorted((r.doc_id, r.n_grams, r.log_weight, r.draw, r.kept) for r in quality.select_good(docs, labels).collect() if r.doc_id is not None)
+    want = sorted((*r, r[3] >= least - 1e-9) for r in rows if r[0] is not None)
+    assert len(got) == len(want) and 0 < k < len(rows)
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2] and g[2:4] == pytest.approx(w[2:4], abs=1e-7) and g[4] == w[4]
+
+
+def test_shapes_are_whole():
+    import pyarrow as pa
+
+    assert quality.shapes(pa.array(["aB1-" * 40, "Ab", ""])).to_pylist() == ["aA0-" * 40, "Aa", ""]
+
+
+def test_kth_largest_of_neighbouring_doubles(spark):
+    values = [1.0] * 50 + [math.nextafter(1.0, 2)] * 30 + [math.nextafter(1.0, 0)] * 40
+    table = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (1, 30, 31, 80, 81, 120):
+        assert quality.kth_largest(table, "v", k) == sorted(values, reverse=True)[k - 1]
+
+
 def test_grams_against_plain_counts(spark):
     counts = quality.bucket_counts(edges.documents(spark).select("text"))
     n = [len(tokens(t)) for _, t in edges.TEXTS]

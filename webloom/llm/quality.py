@@ -9,8 +9,10 @@ Labels only say where the cut lies: the mean log ratio that best separates texts
 is taken off each n-gram, and k is the number of texts above it. Where the two kinds lie far apart the
 noise changes nothing; near the cut it decides. Texts that tie at the cut are all kept.
 
-Null texts count as empty: log ratio zero. The noise is a hash of the id, the same in every run; rows
-without an id share theirs, and so do repeated rows. Without labels of both kinds nothing is cut.
+Null and empty texts have log ratio zero. Long texts are counted whole, in slices. The noise is a hash of
+the id, the same in every run; rows without an id share theirs, and so do repeated rows. Without labels
+of both kinds nothing is cut. An empty table gives no rows. Other columns are not read; ``keep_good``
+carries them, whatever their names but ``_draw_of_text``.
 """
 
 from __future__ import annotations
@@ -35,7 +37,6 @@ BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 PRIOR = 2.0
 #: Runs of a kind of character, and the letter that stands for each in a word's shape.
 SHAPES = ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}\p{M}]+", "a"), (r"\p{N}+", "0"))
-SHAPE_LENGTH = 8
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,7 +44,7 @@ def shapes(words: pa.Array) -> pa.Array:
     """Runs of capitals, small letters and digits as one letter each; other characters stay."""
     for pattern, letter in SHAPES:
         words = pc.replace_substring_regex(words, pattern, letter)
-    return pc.utf8_slice_codeunits(words, 0, SHAPE_LENGTH)
+    return words
 
 
 def hashes(words: pa.Array) -> np.ndarray:
@@ -166,10 +167,14 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024) -> flo
     above = 0  # values over the range
     while low < high:
         width = (high - low) / bins
+        inside = values.where((F.col(column) >= low) & (F.col(column) <= high))
         if low + width == low or high - width == high:
-            return values.where((F.col(column) >= low) & (F.col(column) <= high)).orderBy(F.desc(column)).limit(max(1, k - above)).agg(F.min(column)).first()[0]
+            # Neighbouring doubles: no more different values than a bin or two has room for.
+            for value, n in inside.groupBy(column).agg(F.count("*")).orderBy(F.desc(column)).collect():
+                above += n
+                if above >= k:
+                    return value
         number = F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1))
-        inside = values.where((F.col(column) >= low) & (F.col(column) <= high))
         counts = {r[0]: r[1:] for r in inside.groupBy(number.alias("bin")).agg(F.count("*"), F.min(column), F.max(column)).collect()}
         for b in sorted(counts, reverse=True):
             n, least, most = counts[b]
