@@ -15,6 +15,7 @@ TEXTS = [
     (3, None), (4, ""), (5, "  two  spaces \n and\tmore \n\n"), (6, "ünïcödé 中文 😀 é <|endoftext|> <s>"), (7, LONG),
     (8, "x"), (None, "without an id"), (None, None), (2, "The quick brown fox jumps over the lazy dog."),
     (9, "without an id"), (10, "a" * 5000), (11, "\x00\x1c \x85 ▁▁ ▁x"), (12, "x"), (12, "y"),
+    (13, "<|ENDOFTEXT|> <|EndOfText|>, a<|endoftext|>B <|StartOfText|>. <|startoftext|>Über ÜBER. İx. ſa, Ǆz. ÿŸ,"),
 ]
 
 

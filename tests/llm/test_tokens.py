@@ -17,7 +17,7 @@ BYTES, WORDS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json",
 PROCESSOR = sentencepiece.SentencePieceProcessor(model_file=PIECES)
 BYTE_LIBRARY, WORD_LIBRARY = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
 PARTS = st.sampled_from(["a", "b", "the", " ", "  ", "▁", "\n", "é", "😀", "ing", "\t", "\x00", "x", ".", ", ", "中", "'s", "12", "\x1c", "\x85",
-                         "<|endoftext|>", "<s>", "́", " ", "Σ", "!!", "ñ", "　"])
+                         "<|endoftext|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "İ", "ſ", "Über.", "ÉCOLE,", "<s>", "́", " ", "Σ", "!!", "ñ", "　"])
 TEXT = st.lists(PARTS, max_size=25).map("".join)
 
 
@@ -51,8 +51,26 @@ def test_any_ids_decode_like_the_library(ids):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(TEXT, min_size=1, max_size=5))
 def test_words_like_the_library(texts):
-    got = packing.chunk_ids(WORDS).documents(pa.array(texts))
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [WORD_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [WORD_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    for end, ids in ((b"", []), (b"\1\0\0\0", [1])):
+        got = packing.chunk_ids(WORDS).documents(pa.array(texts), end)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w + ids for w in want]
+
+
+@pytest.mark.parametrize("change", [
+    lambda d: d["normalizer"]["normalizers"].pop(), lambda d: d["model"].update(end_of_word_suffix=None), lambda d: d.update(normalizer=None),
+    lambda d: d["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated"), lambda d: d["added_tokens"][0].update(content="two words"),
+    lambda d: d["added_tokens"][0].update(normalized=True), lambda d: d["added_tokens"][0].update(content="letters"),
+])
+def test_packing_refuses_other_kinds_of_files(tmp_path, change):
+    import json
+
+    data = json.loads(open(WORDS, encoding="utf-8").read())
+    change(data)
+    file = tmp_path / "other.json"
+    file.write_text(json.dumps(data))
+    with pytest.raises(ValueError):
+        packing.ChunkIds(str(file))
 
 
 def test_count_rows(spark):

@@ -14,6 +14,7 @@ without a ``doc_id`` are packed with a null one. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -31,43 +32,94 @@ from webloom.llm.words import Recent, filled, split_words, text_slices
 BUFFER_TOKENS = 1 << 20
 #: Linear cost is one for each token; the quadratic part equals it at a piece of this length.
 EQUAL_COST_LENGTH = 8192
+#: The pattern of words and the mark of a word's last symbol in the vocabulary.
+WORD_PATTERN, WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+
+
+#: Letters that stay single letters when they are lower-cased and composed.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Words that the library is given at once, as one text.
+WORDS_AT_ONCE = 200
+
+
+def check_supported(data: dict, path: str) -> None:
+    """Refuse tokenizers that do not cut at white space, or that look across the words cut out."""
+    model, normal, before = data["model"], data["normalizer"] or {}, data["pre_tokenizer"] or {}
+    steps = [(n["type"], n.get("pattern"), n.get("content")) for n in normal.get("normalizers", [])]
+    cuts = [(p["type"], p.get("behavior"), p.get("invert")) for p in before.get("pretokenizers", [])]
+    supported = (
+        steps == [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
+        and cuts == [("Split", "Removed", True), ("ByteLevel", None, None)]
+        and before["pretokenizers"][0]["pattern"] == {"Regex": WORD_PATTERN} and not before["pretokenizers"][1]["add_prefix_space"]
+        and model["type"] == "BPE" and model.get("end_of_word_suffix") == WORD_END and not model.get("dropout")
+        and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or not t["content"].strip() or len(t["content"].split()) > 1
+                    or t["content"].isalpha() for t in data["added_tokens"])
+    )
+    if not supported:
+        raise ValueError(f"{path} is no BPE of lower-case words without white space")
 
 
 class ChunkIds:
     """Ids of space-separated chunks, as little-endian unsigned 32-bit bytes.
 
-    For tokenizers that drop white space and never look across it.
+    Words of letters are lower-cased before they are looked up, and a mark after one is a word of its
+    own; anything else, special strings too, is given to the library as it is written.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            data = json.load(file)
+        check_supported(data, path)
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(max(data["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for token, i in data["model"]["vocab"].items() if token.endswith(WORD_END)]] = True
         self.plain = Recent(self.encode_plain)
-        self.chunks = Recent(self.encode)
+        self.marks = [b"", *self.one_by_one([".", ","])]
 
-    def encode_plain(self, chunks: list[str]) -> list[bytes]:
+    def one_by_one(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        """A word and the mark after it are separate matches, and ASCII case is dropped anyway:
-        the library sees each lower-case word once."""
-        heads = [c[:-1] if c[-1:] in (".", ",") and c[:-1].isalpha() else c for c in chunks]
-        lower = [h.lower() if h.isascii() else h for h in heads]
-        marks = dict(zip((".", ","), self.plain([".", ","]), strict=True))
-        distinct = list(dict.fromkeys(lower))
-        ids = dict(zip(distinct, self.plain(distinct), strict=True))
-        return [ids[low] if head is chunk else ids[low] + marks[chunk[-1]]
-                for low, head, chunk in zip(lower, heads, chunks, strict=True)]
-
-    def documents(self, texts: pa.Array) -> list[bytes]:
+    def encode_plain(self, chunks: list[str]) -> list[bytes]:
+        """Words of letters have one last symbol each: many are encoded as one text and cut there."""
+        letters = pc.match_substring_regex(pa.array(chunks, pa.string()), f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+        found: list[bytes] = [b""] * len(chunks)
+        at, odd = np.flatnonzero(letters).tolist(), np.flatnonzero(~letters).tolist()
+        groups = [at[i:i + WORDS_AT_ONCE] for i in range(0, len(at), WORDS_AT_ONCE)]
+        texts = [" ".join([chunks[i] for i in group]) for group in groups]
+        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(encoding.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw, begin = ids.tobytes(), 0
+            for i, end in zip(group, cuts, strict=True):
+                found[i], begin = raw[begin:end], end
+        for i, ids in zip(odd, self.one_by_one([chunks[i] for i in odd]), strict=True):
+            found[i] = ids
+        return found
+
+    def chunk_bytes(self, chunks: pa.Array) -> list[bytes]:
+        """The ids of each distinct chunk."""
+        marked = pc.match_substring_regex(chunks, f"^[{LETTERS}]+[.,]$")
+        heads = pc.if_else(marked, pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
+        heads = pc.if_else(pc.match_substring_regex(heads, "^[A-Za-z]+$"), pc.ascii_lower(heads), heads).dictionary_encode()
+        ids = self.plain(heads.dictionary.to_pylist())
+        mark = pc.if_else(marked, pc.if_else(pc.ends_with(chunks, "."), 1, 2), 0).to_numpy(zero_copy_only=False).tolist()
+        codes = heads.indices.to_numpy(zero_copy_only=False).tolist()
+        return [ids[c] + self.marks[m] if m else ids[c] for c, m in zip(codes, mark, strict=True)]
+
+    def documents(self, texts: pa.Array, end: bytes = b"") -> list[memoryview]:
+        """The ids of each text, with ``end`` after them."""
         words = split_words(pc.replace_substring(texts, "\n", " "))
-        ids = self.chunks(words.distinct)
-        each = [ids[c] for c in words.codes.tolist()]
-        ends = words.offsets.tolist()
-        return [b"".join(each[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        parts = [*self.chunk_bytes(words.dictionary), end]
+        codes = np.insert(words.codes, words.offsets[1:], len(parts) - 1)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        bytes_until = np.r_[0, np.cumsum(sizes[codes])]
+        cuts = bytes_until[words.offsets + np.arange(len(words.offsets))].tolist()
+        whole = memoryview(b"".join([parts[c] for c in codes.tolist()]))
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -125,13 +177,13 @@ class Packer:
 
     def __init__(self, length: int, partition: int):
         self.length, self.next_sequence = length, partition << 33
-        self.pieces: list[tuple[tuple, int, bytes]] = []  # document (id, tokens), start, ids
+        self.pieces: list[tuple[tuple, int, memoryview]] = []  # document (id, tokens), start, ids
         self.held, self.rows = 0, []
 
     def emit(self, document, start, ids, sequence, offset):
         self.rows.append((*document, start, len(ids) // 4, zlib.crc32(ids), sequence, offset))
 
-    def add(self, doc_id, ids: bytes) -> None:
+    def add(self, doc_id, ids: memoryview) -> None:
         document, step = (doc_id, len(ids) // 4), 4 * self.length
         whole = len(ids) // step
         for i in range(whole):
@@ -151,7 +203,8 @@ class Packer:
             document, start, ids = self.pieces[piece]
             self.emit(document, start + begin, ids[4 * begin:4 * (begin + length)], self.next_sequence + sequence, offset)
         self.next_sequence += len(capacities)
-        self.pieces = [(self.pieces[p][0], self.pieces[p][1] + b, self.pieces[p][2][4 * b:4 * (b + n)]) for p, b, n in left]
+        # Copies, so that the ids of whole slices are not held for a few rests.
+        self.pieces = [(self.pieces[p][0], self.pieces[p][1] + b, memoryview(bytes(self.pieces[p][2][4 * b:4 * (b + n)]))) for p, b, n in left]
         self.held = sum(n for _, _, n in left)
 
     def take(self) -> list[tuple]:
@@ -179,8 +232,8 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, buffer
         batch_key = None
         for batch in text_slices(batches):
             batch_key = batch.column("doc_id").type
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), vocabulary.documents(filled(batch.column("text"))), strict=True):
-                packer.add(doc_id, ids + end)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), vocabulary.documents(filled(batch.column("text")), end), strict=True):
+                packer.add(doc_id, ids)
                 if packer.held >= buffer_tokens:
                     packer.flush()
             yield rows()
