@@ -49,6 +49,32 @@ def test_neighbours_against_all_pairs(spark, group_rows):
     assert got == plain_neighbours(vectors, asked, 10)
 
 
+def exact_distance(a, b):
+    from decimal import Decimal, localcontext
+
+    with localcontext() as context:
+        context.prec, context.Emax, context.Emin = 60, 9999, -9999
+        return float(sum((Decimal(x) - Decimal(y)) ** 2 for x, y in zip(a, b)).sqrt())
+
+
+@pytest.mark.parametrize("group_rows", [3, 1000])
+def test_neighbours_of_any_size(spark, group_rows):
+    """Huge and denormal components: squares overflow or vanish, no pair is lost."""
+    rows = [[1e200, 0, 0], [1e200, 0, 0], [1e200, 1e199, 0], [-1e308, 5e307, 1], [1e-320, 0, 0], [2e-320, 1e-321, 0], [1e-160, 1e-170, 0], [1e-160, 0, 3e-165],
+            [1, 1, 1], [1, 1, 2], [1e16, 1, 1], [1e16, 1, 2], [1e154, 1e154, 1e154], [1e101, 1, 1], [1e101, 2, 1], [1e99, 1, 1], [3e-101, 1e-102, 0]]
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(2)
+    got = sorted(map(tuple, neighbours.nearest(table, table, 4, group_rows=group_rows).collect()))
+    assert len(got) == 4 * len(rows)
+    want = []
+    for q, v in vectors:
+        near = sorted((exact_distance(v, w), i) for i, w in vectors if i != q)
+        want += [(q, r, d) for r, (d, _) in enumerate(near[:4], 1)]
+    for g, w in zip(got, sorted(want)):
+        assert g[:2] == w[:2] and g[3] == pytest.approx(w[2], rel=1e-14)
+        assert g[3] == pytest.approx(exact_distance(rows[g[0]], rows[g[2]]), rel=1e-14, abs=5e-324)
+
+
 def test_neighbours_of_empty_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.nearest(empty, empty).count() == 0

@@ -11,6 +11,8 @@ recall is 1; the codes only save work.
 Vectors that are null, empty, all zero, or hold null or non-finite components take no part, as query or
 candidate, and neither do rows without an id. Vectors of different lengths are never compared. Ties go
 to the smaller id. Rows with the query's own id are left out; repeated rows of a candidate each count.
+Components may have any finite size; a distance above the largest double is infinite. Other columns
+are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 #: Candidates that one task holds: about 100 MB at 64 dimensions.
 GROUP_ROWS = 200_000
 TILE_QUERIES, TILE_ROWS = 256, 4096
+#: Pairs that are computed exactly at once.
+PAIRS = 1 << 16
+#: Vectors whose largest component is outside are never left out by their codes.
+SMALLEST, LARGEST = 1e-100, 1e100
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -42,10 +48,15 @@ class Quantised:
     def __init__(self, rows: np.ndarray):
         # Products of codes are whole numbers below 2^24 up to a thousand dimensions: exact as float32.
         self.kind = np.float32 if rows.shape[1] <= 1000 else np.float64
-        self.scale = np.abs(rows).max(axis=1) / 127
+        largest = np.abs(rows).max(axis=1)
+        # Where squares would leave the range of doubles nothing is known from the codes: the pair is computed.
+        odd = (largest < SMALLEST) | (largest > LARGEST)
+        rows = np.where(odd[:, None], 1.0, rows)
+        self.scale = np.where(odd, 1.0, largest) / 127
         self.codes = np.rint(rows / self.scale[:, None]).astype(np.int8)
         rounded = self.codes * self.scale[:, None]
         self.error = np.sqrt(((rows - rounded) ** 2).sum(axis=1))
+        self.error[odd] = np.inf
         self.square = (rounded ** 2).sum(axis=1)
 
     def bounds(self, other: Quantised, at: slice) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +71,26 @@ class Quantised:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows, summed in order of the components."""
-    total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        total += (a[:, j] - b[:, j]) ** 2
-    return np.sqrt(total)
+    """Euclidean distances of rows, summed in order of the components.
+
+    Where squares overflow or vanish, the differences are first divided by a power of two.
+    """
+    def summed(a, b, unit=1.0):
+        total = np.zeros(len(a))
+        for j in range(a.shape[1]):
+            total += ((a[:, j] - b[:, j]) / unit) ** 2
+        return np.sqrt(total)
+
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        found = summed(a, b)
+        odd = np.flatnonzero(~np.isfinite(found) | (found < SMALLEST))
+        if len(odd):
+            most = np.abs(a[odd] - b[odd]).max(axis=1)
+            some = (most > 0) & np.isfinite(most)
+            at = odd[some]
+            unit = np.exp2(np.clip(np.floor(np.log2(most[some])), -1000, 1000))
+            found[at] = summed(a[at], b[at], unit) * unit
+    return found
 
 
 def search_group(ids: np.ndarray, rows: np.ndarray, codes: Quantised, query_ids: np.ndarray, queries: np.ndarray, k: int):
@@ -81,13 +107,15 @@ def search_group(ids: np.ndarray, rows: np.ndarray, codes: Quantised, query_ids:
             limit = np.partition(upper, k - 1, axis=1)[:, k - 1]
         limit = np.minimum(limit, [-h[0][0] if len(h) == k else np.inf for h in heaps])
         q, c = np.nonzero((near - error <= limit[:, None]) & (query_ids[:, None] != ids[at][None, :]))
-        exact = distances(queries[q], rows[at][c])
-        for query, vec_id, distance in zip(q.tolist(), ids[at][c].tolist(), exact.tolist(), strict=True):
-            heap, item = heaps[query], (-distance, -vec_id)
-            if len(heap) < k:
-                heapq.heappush(heap, item)
-            elif item > heap[0]:
-                heapq.heapreplace(heap, item)
+        for first in range(0, len(q), PAIRS):
+            some = slice(first, first + PAIRS)
+            exact = distances(queries[q[some]], rows[at][c[some]])
+            for query, vec_id, distance in zip(q[some].tolist(), ids[at][c[some]].tolist(), exact.tolist(), strict=True):
+                heap, item = heaps[query], (-distance, -vec_id)
+                if len(heap) < k:
+                    heapq.heappush(heap, item)
+                elif item > heap[0]:
+                    heapq.heapreplace(heap, item)
     return [(query_ids[i], -vec_id, -d) for i, heap in enumerate(heaps) for d, vec_id in heap]
 
 
