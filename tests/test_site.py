@@ -2,11 +2,12 @@ import random
 from collections import deque
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from webloom.operators import inspection as ins, links as ln
-from webloom.operators.crawl import crawl_bfs
+from webloom.operators.crawl import Walk, crawl_bfs
 from webloom.functions.html import _FACTS
 from webloom.plans.content_extract import content_extract, extract_counts
 from webloom.plans.inspection import inspect_urls
@@ -43,6 +44,73 @@ def test_walk_matches_a_queue(spark):
     assert {int(r.url) for r in near} == {n for n, d in depth.items() if d <= 1}
 
 
+def plain_walk(starts, links):
+    depth, queue = {s: 0 for s in starts}, sorted(starts, key=str)
+    for page in queue:
+        for target in links.get(page, ()):
+            if (page[0], target) not in depth:
+                depth[page[0], target] = depth[page] + 1
+                queue.append((page[0], target))
+    return depth
+
+
+def graph(spark, seed=3, pages=150):
+    rng = random.Random(seed)
+    links = {(f"s{rng.randrange(3)}", f"u{i}"): [f"u{rng.randrange(int(pages * 1.2))}" for _ in range(rng.randrange(4))] for i in range(pages)}
+    links["s0", "u1"] = None
+    for i in range(12):  # a chain that is as long as it is thin
+        links["chain", f"c{i}"] = [f"c{i + 1}", "c0"]
+    starts = [("s0", "u0"), ("s0", "u0"), ("s1", "u3"), ("s2", "missing"), ("chain", "c0"), ("s0", None)]
+    table = spark.createDataFrame([(*page, targets) for page, targets in links.items()], "site string, url string, targets array<string>")
+    return starts, links, spark.createDataFrame(starts, "site string, url string"), table
+
+
+@pytest.mark.parametrize("buckets", [None, 24])
+def test_walk_in_any_number_of_buckets(spark, buckets):
+    starts, links, start_table, table = graph(spark)
+    links = {k: v or [] for k, v in links.items()}
+    want = plain_walk({s for s in starts}, links)
+    got = {(r.site, r.url): r.depth for r in crawl_bfs(start_table, table, buckets=buckets).collect()}
+    assert got == want and max(got.values()) == 12
+    assert crawl_bfs(start_table.limit(0), table, buckets=buckets).count() == 0
+    assert {r.url for r in crawl_bfs(start_table, table.limit(0), buckets=buckets).collect()} == {"u0", "u3", "missing", "c0", None}
+
+
+def files_read(df):
+    """Files and rows that the scans of an executed plan opened."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    files = rows = 0
+    for i in range(leaves.size()):
+        metrics = leaves.apply(i).metrics()
+        if metrics.contains("numFiles"):
+            files += metrics.apply("numFiles").value()
+            rows += metrics.apply("numOutputRows").value()
+    return files, rows
+
+
+def test_a_round_opens_only_the_buckets_of_its_frontier(spark):
+    """A chain beside 20,000 pages that it never meets: each round reads a bucket of links, of 100."""
+    rows = spark.range(20_000).selectExpr("'s' site", "concat('x', id) url", "array(concat('x', id + 1)) targets")
+    chain = spark.range(12).selectExpr("'s' site", "concat('c', id) url", "array(concat('c', id + 1)) targets")
+    adjacency = rows.unionByName(chain).repartition(8)
+    walk = Walk(spark.createDataFrame([("s", "c0")], "site string, url string"), adjacency, buckets=100)
+    whole = files_read(walk.links.read())
+    assert whole[1] == 20_012
+    opened = 0
+    for _ in range(12):
+        targets = walk.targets()
+        assert {f.split("bucket=")[1].split("/")[0] for f in targets.inputFiles()} == {str(b) for b in walk.frontier} and len(walk.frontier) == 1
+        opened += files_read(walk.links.read(walk.frontier))[1]
+        assert walk.step()
+        known = walk.reached.read(walk.frontier)
+        assert {f.split("bucket=")[1].split("/")[0] for f in known.inputFiles()} == {str(b) for b in walk.frontier}
+    assert opened < 0.15 * whole[1]
+    assert not walk.step() and walk.reached.read().count() == 13
+    # The links table carries nothing but keys and targets.
+    assert walk.links.read().columns == ["site", "url", "targets", "bucket"]
+
+
 def test_site_audit(spark):
     menu = link("/menu-item", "Menu")
     rows = [
