@@ -54,7 +54,7 @@ def lowest_rank_first(token):
     """The rule itself, without queue and list: the leftmost pair of the lowest rank is merged until none is left."""
     symbols = [OURS.byte_ids[b] for b in token]
     while True:
-        ranked = [(OURS.ranks[p], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in OURS.ranks]
+        ranked = [(OURS.followers[a][b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if b in OURS.followers[a]]
         if not ranked:
             return symbols
         rank, i = min(ranked)

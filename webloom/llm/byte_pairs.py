@@ -35,10 +35,8 @@ from pyspark.sql import functions as F
 from webloom.llm.token_count import PRE_TOKENS
 from webloom.llm.words import Recent, filled, split_words, text_slices
 
-#: Chunks and pre-tokens that a worker remembers: this many to twice as many.
-REMEMBERED = 100_000
-#: Place of a queue entry's left node; the rank stands above it.
-PLACE_BITS = 40
+#: Chunks and pre-tokens that a worker remembers: this many to twice as many, about 350 bytes each.
+REMEMBERED_CHUNKS, REMEMBERED_TOKENS = 100_000, 250_000
 
 
 class PairMerges:
@@ -70,48 +68,52 @@ class PairMerges:
         self.byte_ids = [0] * 256
         for letter, byte in bytes_of.items():
             self.byte_ids[byte] = vocabulary[letter]
-        self.ranks: dict[tuple[int, int], int] = {}
+        #: Of each symbol, the symbols that it merges with on its right, and the ranks.
+        self.followers: list[dict[int, int]] = [{} for _ in range(max(vocabulary.values()) + 1)]
         self.made: list[int] = []
         for merge in model["merges"]:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.ranks[vocabulary[left], vocabulary[right]] = len(self.made)
+            self.followers[vocabulary[left]][vocabulary[right]] = len(self.made)
             self.made.append(vocabulary[left + right])
         self.added = added
         longest_first = sorted(added, key=lambda s: (-len(s), s))
         self.specials = regex.compile("|".join(map(regex.escape, longest_first))) if added else None
         self.pattern = regex.compile(PRE_TOKENS)
-        self.tokens = Recent(self._encode_tokens, REMEMBERED)
-        self.chunks = Recent(self._encode_chunks, REMEMBERED)
+        self.tokens = Recent(self._encode_tokens, REMEMBERED_TOKENS)
+        self.chunks = Recent(self._encode_chunks, REMEMBERED_CHUNKS)
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of one pre-token."""
         symbols = [self.byte_ids[b] for b in token]
-        end, rank_of, made = len(symbols), self.ranks.get, self.made
+        end, followers, made = len(symbols), self.followers, self.made
+        # Queue entries are the rank above the place, in as few bits as will do.
+        bits = end.bit_length()
+        places = (1 << bits) - 1
         # Of each node, the rank of the pair it begins; -1 where there is none, or the node is gone.
-        ranks = [rank_of(pair, -1) for pair in zip(symbols, symbols[1:], strict=False)]
-        waiting = [rank << PLACE_BITS | place for place, rank in enumerate(ranks) if rank >= 0]
+        ranks = [followers[a].get(b, -1) for a, b in zip(symbols, symbols[1:], strict=False)]
+        waiting = [rank << bits | place for place, rank in enumerate(ranks) if rank >= 0]
         heapq.heapify(waiting)
         ranks.append(-1)
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
         while waiting:
             entry = heapq.heappop(waiting)
-            rank, left = entry >> PLACE_BITS, entry & (1 << PLACE_BITS) - 1
+            rank, left = entry >> bits, entry & places
             if ranks[left] != rank:
                 continue
             right = after[left]
-            symbols[left], symbols[right], ranks[right] = made[rank], -1, -1
+            symbol = symbols[left] = made[rank]
+            symbols[right] = ranks[right] = ranks[left] = -1
             beyond = after[left] = after[right]
-            ranks[left] = -1
             if beyond < end:
                 before[beyond] = left
-                new = ranks[left] = rank_of((symbols[left], symbols[beyond]), -1)
+                new = ranks[left] = followers[symbol].get(symbols[beyond], -1)
                 if new >= 0:
-                    heapq.heappush(waiting, new << PLACE_BITS | left)
+                    heapq.heappush(waiting, new << bits | left)
             first = before[left]
             if first >= 0:
-                new = ranks[first] = rank_of((symbols[first], symbols[left]), -1)
+                new = ranks[first] = followers[symbols[first]].get(symbol, -1)
                 if new >= 0:
-                    heapq.heappush(waiting, new << PLACE_BITS | first)
+                    heapq.heappush(waiting, new << bits | first)
         return [s for s in symbols if s >= 0]
 
     def _encode_tokens(self, tokens: list[str]) -> list[tuple[bytes, bytes]]:
