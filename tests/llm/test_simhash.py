@@ -99,59 +99,79 @@ def test_components_of_paths_and_stars(spark):
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
 
 
-def test_empty_and_filter(spark):
-    assert simhash.near_duplicates(edges.documents(spark, [])).count() == 0
-    docs = edges.documents(spark)
-    kept = simhash.drop_near_duplicates(docs, simhash.near_duplicates(docs))
+def test_a_hub_is_split(spark):
+    """A node with a third of all links: the join with the smallest neighbours is split by measured size."""
+    from webloom.llm.components import _smallest
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        links = spark.range(200_000).selectExpr("if(id % 3 = 0, 7L, id) a", "id + 1000000 b").repartition(16)
+        joined = _smallest(links)
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def plain_survivors(texts):
+    """Of each class the row with the smallest id (rows without one last), of its texts any one row."""
+    labels = plain_classes([plain_fingerprint(t) for _, t in texts])
+    best = {}
+    for (i, _), label in zip(texts, labels):
+        best[label] = min(best.get(label, (True, 0)), (i is None, i or 0))
+    return {label: (None if none else i) for label, (none, i) in best.items()}, labels
+
+
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(8)
+    texts = list(edges.TEXTS) + [(40, "same id, other text one"), (40, "and quite another thing here"), (None, "no id at all anywhere"), (None, "no id at all anywhere")]
+    for group in range(6):
+        base = [f"g{group}w{rng.randrange(120)}" for _ in range(200)]
+        for i in range(10):
+            words = list(base)
+            words[rng.randrange(200)] = f"edit{i}"
+            texts.append((1000 + 50 * group + i, " ".join(words)))
+    docs = edges.documents(spark, texts)
+    kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    ids = sorted((r.doc_id for r in kept.collect()), key=str)
-    assert 1 in ids and 2 not in ids and ids.count(None) == 2  # rows without an id stay
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    survivors, labels = plain_survivors(texts)
+    assert sorted((i for i, _ in rows), key=str) == sorted(survivors.values(), key=str)
+    label_of = {(i, t): label for (i, t), label in zip(texts, labels)}
+    assert sorted(label_of[row] for row in rows) == sorted(survivors)
+    assert len(rows) < len(texts) - 30
 
 
-def edited(words, edits, rng):
-    words = list(words)
-    for at in rng.sample(range(len(words)), edits):
-        words[at] = f"edit{rng.random()}"
-    return " ".join(words)
+def test_empty_tables(spark):
+    empty = edges.documents(spark, [])
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
-def plain_copies(texts):
-    prints = [simhash.copy_prints((t or "").encode()) for _, t in texts]
-    label = list(range(len(prints)))
-    changed = True
-    while changed:
-        changed = False
-        for a, (wa, sa) in enumerate(prints):
-            for b, (wb, sb) in enumerate(prints):
-                if (wa ^ wb).bit_count() <= 4 and (sa ^ sb).bit_count() <= 9 and label[b] < label[a]:
-                    label[a], changed = label[b], True
-    least = {}
-    for (i, _), group in zip(texts, label):
-        if i is not None:
-            least[group] = min(i, least.get(group, i))
-    return sorted(((i, least.get(group)) for (i, _), group in zip(texts, label)), key=str)
+def test_whole_table_drops_all_but_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    survivors, _ = plain_survivors(texts)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == sorted(survivors.values())
+    assert len(survivors) < len(texts)
 
 
-def test_near_copies_against_all_pairs(spark):
-    rng = random.Random(8)
-    texts = list(edges.TEXTS)
-    for group in range(12):
-        base = [f"g{group}w{rng.randrange(120)}" for _ in range(300)]
-        texts += [(1000 + 50 * group + i, edited(base, rng.randint(0, 8), rng)) for i in range(10)]
-    got = sorted(map(tuple, simhash.near_copies(edges.documents(spark, texts)).collect()), key=str)
-    assert got == plain_copies(texts)
-    groups = [{c for i, c in got if i is not None and 1000 + 50 * g <= i < 1050 + 50 * g} for g in range(12)]
-    assert sum(len(g) == 1 for g in groups) >= 8 and all(min(g) >= 1000 for g in groups)
-    assert simhash.near_copies(edges.documents(spark, [])).count() == 0
-
-
-def test_variants_are_restored():
-    rng = np.random.default_rng(5)
-    nodes = np.zeros(50, simhash._NODE)
-    nodes["words"], nodes["shingles"] = rng.integers(0, 2**64, 50, dtype=np.uint64), rng.integers(0, 2**32, 50, dtype=np.uint32)
+def test_a_bucket_over_many_batches():
+    """Keys that go on over several batches are verified as one bucket."""
     import pyarrow as pa
 
-    table = pa.RecordBatch.from_arrays([pa.array([n.tobytes() for n in nodes], pa.binary())], ["node"])
-    out = next(simhash._emit_copies([table]))
-    keys, rest = (out.column(c).to_numpy().view(np.uint64) for c in ("bucket", "rest"))
-    assert (simhash.restored(keys, rest) == np.repeat(nodes, 131)).all()
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 6, 400)).astype(np.uint64)
+    prints = rng.integers(0, 64, 400).astype(np.uint64)
+    want = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in simhash.bucket_links(keys, prints)))}
+    for size in (1, 7, 100, 400):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i:i + size].view(np.int64)) for x in (keys, prints)], ["bucket", "fp"])
+                   for i in range(0, 400, size)]
+        got = {tuple(sorted(map(int, r.values()))) for b in simhash._verify(iter(batches)) for r in b.to_pylist()}
+        assert got == want

@@ -12,14 +12,15 @@ spanning star of each linked class is emitted, so nothing grows with the pairs o
 hold at most 44 x 2^22 distinct fingerprints; large ones are searched by flipping bits of the masked
 block and looking the result up, never pair by pair.
 
-Null texts count as empty: fingerprint zero, linked like any other. Rows without an id take part, but
+Null and empty texts have fingerprint zero, linked like any other. Rows without an id take part, but
 are no candidates for the smallest id; a class of such rows only has a null ``component_id``. Repeated
-rows each give a row. Other columns are not read by ``near_duplicates``.
+rows each give a row; equal ids and equal fingerprints need no order. Texts of any length are read
+whole. An empty table gives no rows. ``near_duplicates`` reads no other columns; ``drop_near_duplicates``
+carries them unchanged, whatever their names but ``__near_id``, ``__near_hash`` and ``__near_text``.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -167,25 +168,30 @@ def _emit(batches):
 
 
 def _verify(batches):
-    keys, prints = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    def links(parts):
+        keys, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
+        whole = int(np.searchsorted(keys.view(np.int64), keys.view(np.int64)[-1]))
+        return keys[:whole], prints[:whole], (keys[whole:], prints[whole:])
 
-    def links(keys, prints):
+    def pairs_of(keys, prints):
         a, b = bucket_links(keys, prints)
         # A pair that agrees outside a mask meets in all its buckets, often in the same task.
         pairs = np.unique(np.stack([a, b], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], ["a", "b"])
 
+    parts = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.concatenate([keys, batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)])
-        prints = np.concatenate([prints, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
-        whole = int(np.searchsorted(keys.view(np.int64), keys.view(np.int64)[-1]))
-        if whole:
-            yield links(keys[:whole], prints[:whole])
-            keys, prints = keys[whole:], prints[whole:]
-    if len(keys):
-        yield links(keys, prints)
+        own = tuple(batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("bucket", "fp"))
+        parts.append(own)
+        # A bucket over many batches is put together once, when the next one begins.
+        if own[0][-1] != parts[0][0][0]:
+            keys, prints, rest = links(parts)
+            yield pairs_of(keys, prints)
+            parts = [rest]
+    if parts:
+        yield pairs_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
@@ -194,14 +200,18 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("bucket").mapInArrow(_verify, "a long, b long").distinct()
 
 
-def classes(marked: DataFrame, node: str = "fp", link=fingerprint_links) -> DataFrame:
-    """``(node, component_id)`` for the distinct nodes of rows ``(doc_id, node)``."""
-    distinct = materialize(marked.groupBy(node).agg(F.min("doc_id").alias("least")), "fingerprints")
-    found = components(link(distinct)).withColumnRenamed("node", "_node")
-    joined = distinct.join(found, distinct[node] == found["_node"], "left").select(
-        node, "least", F.coalesce("root", node).alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return joined.join(least, "root").select(node, "component_id")
+def classes(marked: DataFrame) -> DataFrame:
+    """``(fp, root, component_id)`` for the distinct fingerprints of rows ``(doc_id, fp)``; a class has one root.
+
+    Tables that are joined on a class or fingerprint are written first: both sides then are plain scans,
+    and a class with a third of all rows is split by its measured size.
+    """
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    found = components(fingerprint_links(distinct)).withColumnRenamed("node", "_node")
+    joined = materialize(distinct.join(found, distinct["fp"] == found["_node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = materialize(joined.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    return materialize(joined.join(least, "root").select("fp", "root", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -211,161 +221,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, text: str = "text", key:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows with the smallest id of their class in ``found``, with all their columns.
-
-    Rows without an id stay.
-    """
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(dropped, docs[key] == dropped["_dropped_id"], "left_anti")
-
-
-# --- near copies ---
-# Three bits of a fingerprint of shingles leave out most copies with a few edited words. Edited copies
-# are found by a fingerprint of their words, weighed by the root of their count: such copies differ in
-# few of its bits, and the same variants find all pairs within four (one of three blocks holds two of
-# four differing bits). A second, shorter fingerprint of the set of five-word shingles then tells copies
-# from texts that merely use the same words.
-COPY_RADIUS, SHINGLE_WORDS, SHINGLE_BITS = 4, 5, 32
-#: Differing shingle bits: 4.9 are expected where four fifths of the shingles are shared.
-SHINGLE_RADIUS = 9
-_NODE = np.dtype([("words", "<u8"), ("shingles", "<u4")])
-
-
-def copy_prints(text: bytes) -> tuple[int, int]:
-    """Fingerprints of the weighed words and of the set of five-word shingles; zero without words."""
-    words = text.lower().split()
-    if not words:
-        return 0, 0
-    counts = Counter(words)
-    bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh64_digest, counts)), np.uint8).reshape(-1, 8), axis=1)
-    weights = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
-    by_words = np.packbits(2 * (weights @ bits) > weights.sum()).tobytes()
-    shingles = {b" ".join(words[i:i + SHINGLE_WORDS]) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))}
-    bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh32_digest, shingles)), np.uint8).reshape(-1, 4), axis=1)
-    by_shingles = np.packbits(2 * bits.sum(axis=0) > len(shingles)).tobytes()
-    return int.from_bytes(by_words, "big"), int.from_bytes(by_shingles, "big")
-
-
-def copy_nodes(text: str = "text"):
-    """Both fingerprints of a text column as one binary value."""
-
-    @F.arrow_udf("binary")
-    def node_of(texts: pa.Array) -> pa.Array:
-        found = np.array([copy_prints(t.encode()) for t in filled(texts).to_pylist()], _NODE)
-        return pa.array([n.tobytes() for n in found], pa.binary())
-
-    return node_of(F.col(text))
-
-
-def _emit_copies(batches):
-    """The variants of each word fingerprint; beside the key, what it leaves out and the shingle bits."""
-    for batch in batches:
-        nodes = np.frombuffer(b"".join(batch.column("node").to_pylist()), _NODE)
-        for begin in range(0, len(nodes), 20_000):
-            part = nodes[begin:begin + 20_000]
-            keys = variants(part["words"].astype(np.uint64))
-            rest = []
-            for low, high in BLOCKS:
-                inner = (part["words"] >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
-                base = (part["shingles"].astype(np.uint64) << np.uint64(28)) | inner
-                flip = np.arange(65 - (high - low), dtype=np.uint64) << np.uint64(22)
-                rest.append(base[:, None] | flip[None, :])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().view(np.int64)), pa.array(np.concatenate(rest, axis=1).ravel().view(np.int64))],
-                ["bucket", "rest"])
-
-
-def restored(keys: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """The nodes that emitted these rows."""
-    nodes = np.zeros(len(keys), _NODE)
-    nodes["shingles"] = rest >> np.uint64(28)
-    flip = (rest >> np.uint64(22)) & np.uint64(63)
-    flips = np.where(flip > 0, np.uint64(1) << (np.maximum(flip, np.uint64(1)) - np.uint64(1)), np.uint64(0))
-    outside = (keys & np.uint64((1 << 60) - 1)) ^ flips
-    inner = rest & np.uint64((1 << 22) - 1)
-    for number, (low, high) in enumerate(BLOCKS):
-        own = keys >> np.uint64(60) == number
-        below = outside[own] & np.uint64((1 << low) - 1)
-        above = (outside[own] >> np.uint64(low)) << np.uint64(high) if high < 64 else np.uint64(0)
-        nodes["words"][own] = below | above | (inner[own] << np.uint64(low))
-    return nodes
-
-
-def near_copies_of(nodes: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Which of the others, broadcast against the nodes, are their near copies."""
-    return (np.bitwise_count(nodes["words"] ^ others["words"]) <= COPY_RADIUS) & (
-        np.bitwise_count(nodes["shingles"] ^ others["shingles"]) <= SHINGLE_RADIUS)
-
-
-def linked_copies(nodes: np.ndarray, flips: np.ndarray) -> np.ndarray:
-    """Classes within a bucket; a strip of rows is compared with all at a time.
-
-    Nodes with the same flip agree outside the mask, so they also meet in the bucket without a flip,
-    and only there they are linked.
-    """
-    a, b = [], []
-    for begin in range(0, len(nodes), 256):
-        strip = slice(begin, begin + 256)
-        elsewhere = (flips[strip, None] == flips[None, :]) & (flips[None, :] > 0)
-        near = near_copies_of(nodes[strip, None], nodes[None, :]) & ~elsewhere
-        # Each copy is tied to the first copy of its row: the links of a row are a star.
-        row, column = np.nonzero(near)
-        pairs = np.unique(np.stack([column, near.argmax(axis=1)[row]]), axis=1)
-        linked = near.any(axis=1)
-        a += [pairs[0], np.flatnonzero(linked) + begin]
-        b += [pairs[1], near.argmax(axis=1)[linked]]
-    return _settle(len(nodes), np.concatenate(a), np.concatenate(b))
-
-
-def _verify_copies(batches):
-    keys, rest = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-
-    def links(keys, rest):
-        change = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sizes = np.diff(np.r_[change, len(keys)])
-        shared = np.repeat(sizes > 1, sizes)
-        nodes = np.zeros(len(keys), _NODE)
-        nodes[shared] = restored(keys[shared], rest[shared])
-        two = change[sizes == 2]
-        flips = (rest >> np.uint64(22)) & np.uint64(63)
-        near = near_copies_of(nodes[two], nodes[two + 1]) & ((flips[two] != flips[two + 1]) | (flips[two] == 0))
-        left, right = [nodes[two][near]], [nodes[two + 1][near]]
-        for begin, size in zip(change[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            order = np.argsort(nodes[begin:begin + size]) + begin
-            members = nodes[order]
-            labels = linked_copies(members, flips[order])
-            other = np.flatnonzero(labels != np.arange(size))
-            left.append(members[other])
-            right.append(members[labels[other]])
-        pairs = {(a.tobytes(), b.tobytes()) for a, b in zip(np.concatenate(left), np.concatenate(right), strict=True)}
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.concatenate([keys, batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)])
-        rest = np.concatenate([rest, batch.column("rest").to_numpy(zero_copy_only=False).view(np.uint64)])
-        whole = int(np.searchsorted(keys.view(np.int64), keys.view(np.int64)[-1]))
-        if whole:
-            yield links(keys[:whole], rest[:whole])
-            keys, rest = keys[whole:], rest[whole:]
-    if len(keys):
-        yield links(keys, rest)
-
-
-def copy_links(distinct: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between distinct nodes that connect all near copies."""
-    dealt = distinct.select("node").mapInArrow(_emit_copies, "bucket long, rest long").repartition("bucket")
-    return dealt.sortWithinPartitions("bucket").mapInArrow(_verify_copies, "a binary, b binary").distinct()
-
-
-def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(doc_id, component_id)`` for each row: the smallest id among its near copies, of copies of copies too.
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each class with all its columns: that with the smallest id.
 
-    Null texts count as empty and are copies of each other; rows without an id take part as in
-    ``near_duplicates``.
+    Rows are told apart by id and text, so a row goes for its own text, whatever other rows have its id.
+    Of the texts of that id, the one with the smallest hash stays; of equal rows any one. A class of rows
+    without an id keeps one of them. Texts are not moved for this: ids and hashes decide.
     """
-    marked = materialize(docs.select(F.col(key).alias("doc_id"), copy_nodes(text).alias("node")), "marked-copies")
-    return marked.join(classes(marked, "node", copy_links), "node").select("doc_id", "component_id")
+    own_text = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    marked = materialize(docs.select(F.col(key).alias("doc_id"), own_text.alias("hash"), fingerprints(text, shingle).alias("fp")), "marked")
+    found = marked.join(classes(marked), "fp").select("doc_id", "hash", "root")
+    texts = materialize(found.groupBy("doc_id", "hash", "root").agg(F.count("*").alias("rows")), "texts")
+    mine = F.struct(F.col("doc_id").isNull(), "doc_id", "hash")
+    keepers = materialize(texts.groupBy("root").agg(F.min(mine).alias("kept")), "keepers")
+    decided = texts.join(keepers, "root").select(
+        F.col("doc_id").alias("__near_id"), F.col("hash").alias("__near_hash"), "rows", (mine == F.col("kept")).alias("kept"))
+    decided = materialize(decided.where("NOT kept OR rows > 1"), "decisions")
+    hashed = docs.withColumn("__near_text", own_text)
+    same = F.col(key).eqNullSafe(F.col("__near_id")) & (F.col("__near_text") == F.col("__near_hash"))
+    rest = hashed.join(decided, same, "left_anti").drop("__near_text")
+    repeated = decided.where("kept")
+    if repeated.isEmpty():
+        return rest
+    again = hashed.join(repeated, same, "left_semi").dropDuplicates([key, "__near_text"])
+    return rest.unionByName(again.drop("__near_text"))
