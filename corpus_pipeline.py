@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import copies, exact_dedup, packing, quality, toxicity
+from webloom.llm import exact_dedup, packing, quality, simhash, toxicity
 from webloom.session import materialize, prepare
 
 
@@ -37,9 +37,9 @@ def exactly_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def nearly_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are 0.8 alike, the document with the smallest id."""
+    """Of each class of linked fingerprints (three-word shingles, up to three differing bits), the document with the smallest id."""
     prepare(spark)
-    return copies.drop_copies(docs)
+    return simhash.drop_near_duplicates(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The learned stages have no SQL; tests hold the dedup stages against plain rules, the learned ones against their operators.
+#: The learned stages and the hashes have no SQL; tests hold every stage against a plain version of its rule.
 ORACLE_SQL = None
 
 
