@@ -14,6 +14,16 @@ from pyspark.sql.types import StructType
 from webloom.operators.split_windows import row_numbers
 from webloom.session import new_folder
 
+# Stored pages with the metadata of their responses; a plain projection, so that rows keep their files.
+PAGE_HTTP = [
+    "page_id", "url", "html",
+    "CASE CAST(page_id % 10 AS INT) WHEN 3 THEN 404 WHEN 5 THEN 503 ELSE 200 END AS status",
+    "CASE CAST(page_id % 10 AS INT) WHEN 3 THEN 404 WHEN 5 THEN 503 WHEN 7 THEN 301 ELSE 200 END AS first_status",
+    "CASE WHEN page_id % 8 = 6 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type",
+    "CASE WHEN page_id % 6 = 1 THEN 'NoIndex, nofollow' WHEN page_id % 6 = 2 THEN 'nofollow' ELSE '' END AS x_robots_tag",
+    "CASE WHEN page_id % 29 = 11 THEN 'timeout' ELSE NULL END AS error",
+]
+
 SHARED = {
     "fx_urls": """
 SELECT page_id AS row_id,
@@ -49,13 +59,8 @@ SELECT p_partkey AS row_id,
          WHEN 6 THEN '<html>502 Bad Gateway ' || p_name || '</html>'
          ELSE NULL END AS reply_json
 FROM part""",
-    "fx_page_http": """
-SELECT page_id, url, html,
-       CASE CAST(page_id % 10 AS INT) WHEN 3 THEN 404 WHEN 5 THEN 503 ELSE 200 END AS status,
-       CASE CAST(page_id % 10 AS INT) WHEN 3 THEN 404 WHEN 5 THEN 503 WHEN 7 THEN 301 ELSE 200 END AS first_status,
-       CASE WHEN page_id % 8 = 6 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
-       CASE WHEN page_id % 6 = 1 THEN 'NoIndex, nofollow' WHEN page_id % 6 = 2 THEN 'nofollow' ELSE '' END AS x_robots_tag,
-       CASE WHEN page_id % 29 = 11 THEN 'timeout' ELSE NULL END AS error
+    "fx_page_http": f"""
+SELECT {", ".join(PAGE_HTTP)}
 FROM pages""",
     "fx_site": """
 SELECT page_id, 'site' || CAST(page_id % 3 AS STRING) || '.example' AS site,
@@ -190,6 +195,10 @@ class Tables:
         before, after = text.rsplit(f"FROM {source}", 1)
         return self.spark.sql(f"{before}FROM {alias}{after}")
 
+    def stored_pages(self) -> DataFrame:
+        """The rows of ``fx_page_http``, straight from their files."""
+        return self.table("pages").selectExpr(*PAGE_HTTP)
+
     def _numbered_events(self) -> DataFrame:
         events = self.table("events").drop("ts", "props")
         return row_numbers(events, ["user_id"], "event_id", "n")

@@ -250,7 +250,7 @@ LISTED = f"""w AS (SELECT row_id, CASE WHEN regexp_matches({TRIMMED}, '^[a-zA-Z]
     f"WITH {LISTED} SELECT row_id, page_url, title, description, body_content, found FROM c", "fx_urls fx_page_http",
 )
 def _(t):
-    return content_extract(t.view("fx_urls"), spread(t.view("fx_page_http")), keep=("row_id",))
+    return content_extract(t.view("fx_urls"), t.stored_pages(), keep=("row_id",))
 
 
 @query(
@@ -259,7 +259,7 @@ def _(t):
         count(*) FILTER (NOT found) AS failed FROM c""", "fx_urls fx_page_http",
 )
 def _(t):
-    return extract_counts(content_extract(t.view("fx_urls"), spread(t.view("fx_page_http")), keep=("row_id",)))
+    return extract_counts(content_extract(t.view("fx_urls"), t.stored_pages(), keep=("row_id",)))
 
 
 # --- inspection ---
