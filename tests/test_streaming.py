@@ -1,9 +1,10 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from webloom.session import new_folder
-from webloom.streaming.intake import intake_batch, run_intake
+from webloom.streaming.intake import BatchTable, intake_batch, intake_results, run_intake
 from webloom.streaming.sessions import backfill_sessions, run_to_table, session_events
 
 START = datetime(2024, 1, 1)
@@ -77,12 +78,73 @@ def test_intake_processes_each_version_once(spark):
 
 def test_repeated_batch_leaves_the_same_state(spark):
     state = new_folder(spark, "state")
-    arrived = spark.createDataFrame([("a", "1")], "path STRING, fingerprint STRING")
+    schema = "path STRING, fingerprint STRING, known BOOLEAN"
 
     def process(batch):
-        return batch.withColumn("processing_status", F.lit("Success"))
+        return batch.withColumn("processing_status", F.when(F.col("path") == "bad", "Failed").otherwise("Success"))
+
+    first = spark.createDataFrame([("a", "1", False), ("bad", "1", False)], schema)
+    second = spark.createDataFrame([("a", "1", True), ("bad", "1", True), ("b", "1", False)], schema)
+    for batch_id, arrived in ((0, first), (0, first), (1, second), (1, second)):
+        intake_batch(arrived, batch_id, state, process, retry_failed=True)
+    assert sorted(map(tuple, intake_results(spark, state).collect())) == [
+        ("a", "1", "Success", 0), ("b", "1", "Success", 1), ("bad", "1", "Failed", 0), ("bad", "1", "Failed", 1)]
+
+
+def success(batch):
+    return batch.withColumn("processing_status", F.lit("Success"))
+
+
+def test_a_restart_after_a_failure_processes_nothing_twice(spark):
+    folder, state, progress = (new_folder(spark, n) for n in ("files", "state", "progress"))
+    add_files(spark, folder, [("a", "1")])
+    files = spark.readStream.schema("path STRING, fingerprint STRING").parquet(folder)
+    run_intake(files, state, progress, success)
+
+    def broken(batch):
+        raise RuntimeError("lost")
 
-    for batch_id in (0, 0, 1):
-        intake_batch(arrived, batch_id, state, process)
-    rows = spark.read.schema("path STRING, fingerprint STRING, processing_status STRING, batch_id BIGINT").parquet(state).collect()
-    assert [tuple(r) for r in rows] == [("a", "1", "Success", 0)]
+    add_files(spark, folder, [("a", "1"), ("b", "1")])
+    with pytest.raises(Exception, match="lost"):
+        run_intake(files, state, progress, broken)
+    run_intake(files, state, progress, success)
+    assert sorted(map(tuple, intake_results(spark, state).drop("batch_id").collect())) == [("a", "1", "Success"), ("b", "1", "Success")]
+
+
+def test_a_batch_reads_no_history(spark):
+    """However much was processed before, a batch neither scans earlier results nor keeps its inputs."""
+    folder, state, progress = (new_folder(spark, n) for n in ("files", "state", "progress"))
+    read, plans = [], []
+
+    def process(batch):
+        read.append({f.split("/state-")[1].split("/", 1)[1].rsplit("/", 1)[0] for f in batch.inputFiles()})
+        plans.append(batch._jdf.queryExecution().executedPlan().toString())
+        return success(batch)
+
+    for i in range(4):
+        add_files(spark, folder, [(f"f{j}", str(k)) for j in range(20) for k in range(i + 1)])
+        files = spark.readStream.schema("path STRING, fingerprint STRING").parquet(folder)
+        run_intake(files, state, progress, process, merge_batches=2)
+    # Only the batch's own rows are read, and nothing is joined or shuffled to find what is new.
+    assert read == [{f"inbox/batch_id={i}"} for i in range(4)]
+    assert not any("Join" in plan or "Exchange" in plan for plan in plans)
+    rows = intake_results(spark, state).collect()
+    assert len(rows) == 80 and len({(r.path, r.fingerprint) for r in rows}) == 80
+    table = BatchTable(spark, f"{state}/results")
+    assert table._folders() == ([2, 3], {1: "merged=0-1"})
+    table.merge(3)
+    table.merge(3)
+    assert table._folders() == ([], {1: "merged=0-1", 3: "merged=2-3"}) and table.read().count() == 80
+
+
+def test_a_merge_that_was_cut_off_changes_nothing(spark):
+    table = BatchTable(spark, new_folder(spark, "results"))
+    assert table.read().count() == 0 and table.latest(5).count() == 0
+    rows = spark.createDataFrame([("a", "1", "Success")], "path STRING, fingerprint STRING, processing_status STRING")
+    for batch in range(3):
+        table.write(rows, batch)
+    table.read().write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{table.path}/merged=0-1")
+    assert table.read().count() == 3  # without its mark of completion the folder does not count
+    table.merge(1)
+    assert table.read().count() == 3 and table._folders() == ([2], {1: "merged=0-1"})
+    assert table.latest(2).count() == 0 and [r.batch_id for r in table.latest(3).collect()] == [2]

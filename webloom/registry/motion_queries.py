@@ -16,7 +16,7 @@ from webloom.registry.catalog import query
 from webloom.registry.fixtures import PROFILES, SHARED
 from webloom.registry.url_queries import PRINT
 from webloom.session import materialize, new_folder
-from webloom.streaming.intake import run_intake
+from webloom.streaming.intake import intake_results, run_intake
 from webloom.streaming.sessions import backfill_sessions, read_stream
 
 CONFIG = MotionConfig()
@@ -285,4 +285,4 @@ def _(t):
     # The second run starts from the recorded progress and finds nothing new.
     for _ in range(2):
         run_intake(arrived, state, progress, process)
-    return t.spark.read.parquet(state).select("path", "fingerprint", "processing_status")
+    return intake_results(t.spark, state).drop("batch_id")
