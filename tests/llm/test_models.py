@@ -141,6 +141,32 @@ def test_no_misspelling_is_passed_over():
         assert kind == (1 if word in terms else 2 if near else 0)
 
 
+def plain_score(model, text):
+    """The score of a text by hand: every word against every term, every hit's window word by word."""
+    import regex
+
+    lexicon, words = model.lexicon, [w for w in regex.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    bare = [regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", w).lower() for w in words]
+
+    def kind(word):
+        if word in lexicon.terms:
+            return 0
+        if any(word.startswith(s) and word != s for s in lexicon.stems):
+            return 2
+        near = (t for t in lexicon.terms if t not in lexicon.strict and abs(len(t) - len(word)) <= 2 and edit_distance(word, t) <= allowed(t))
+        return 1 if word not in lexicon.innocent and any(near) else None
+
+    kinds, counts = {w: kind(w) for w in set(bare)}, np.zeros((2, 3))
+    for i, word in enumerate(bare):
+        if kinds[word] is not None:
+            low, high = max(0, i - toxicity.WINDOW), min(len(words), i + toxicity.WINDOW + 1)
+            quoted = (any(regex.search(toxicity.OPENING, w) for w in words[low:i + 1]) and any(regex.search(toxicity.CLOSING, w) for w in words[i:high])
+                      or any(w in toxicity.REPORTING for w in bare[low:i]))
+            counts[int(quoted), kinds[word]] += 1
+    features = [*np.log1p(counts.ravel()), counts[0].sum() > 0, counts[1].sum() > 0]
+    return 1 / (1 + math.exp(-(np.dot(features, model.weights) + model.bias)))
+
+
 def labelled_texts(spark, texts):
     """Documents 0, 1, ... with these (text, toxic)."""
     docs = edges.documents(spark, [(i, t) for i, (t, _) in enumerate(texts)])
@@ -188,6 +214,17 @@ def test_words_of_clean_texts_are_no_misspellings(spark):
     assert [r.predicted for r in toxicity.score_texts(edges.documents(spark, rows), model).orderBy("doc_id").collect()] == [0, 1, 0]
 
 
+def test_scores_against_a_plain_version(spark):
+    rng, common, texts = toxic_world()
+    model = toxicity.fit(*labelled_texts(spark, texts))
+    base = " ".join(common[:7])
+    extra = [f"{base} {w} {base}" for w in ("nitwit", '"nitwit"', "«nitwti»", "he said scuondrel", "(SCUM)", "scums", "scoundre1", "x")]
+    rows = [(i, t) for i, t in enumerate(extra + [t for t, _ in texts[-60:]] + [t for _, t in edges.TEXTS if t != edges.LONG])]
+    got = {r.doc_id: r.score for r in toxicity.score_texts(edges.documents(spark, rows), model).collect()}
+    assert all(got[i] == pytest.approx(plain_score(model, t), abs=1e-9) for i, t in rows)
+    assert len({round(s, 6) for s in got.values()}) >= 4
+
+
 def test_one_text_is_one_proof(spark):
     """A long toxic text that repeats a rare word, and near copies of one, make no term."""
     rng, common, texts = toxic_world()
@@ -319,17 +356,8 @@ def plain_grams(text):
     return found
 
 
-@pytest.mark.parametrize("scale", ["edges", "sf0.001"])
-def test_draws_and_kept_rows_against_a_plain_version(spark, scale):
-    """Both models, the cut, the noise, the k-th largest draw and the rows kept, counted by hand."""
-    if scale == "edges":
-        good = "A1b2C3d4E5f6 calm words and a long WORD1word2WORD3word4 stay"
-        texts = edges.TEXTS + [(100 + i, f"{good} {i % 7}") for i in range(20)] + [(200 + i, "junk junk $$$ !!! junk") for i in range(20)]
-        docs, flags = edges.documents(spark, texts), [(100 + i, 1) for i in range(15)] + [(200 + i, 0) for i in range(15)]
-        labels = spark.createDataFrame(flags, "doc_id long, quality int")
-    else:
-        docs, labels = (spark.read.parquet(f"/root/testdata/{scale}/{t}.parquet") for t in ("documents", "labels"))
-        texts, flags = [(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.quality) for r in labels.collect() if r.quality is not None]
+def plain_draws(spark, docs, texts, flags):
+    """``[doc_id, n_grams, log_weight, draw]`` of each text, and the smallest draw that is kept."""
     label = dict(flags)
     grams = [plain_grams(t) for _, t in texts]
     size = 2**16 + 2**13
@@ -356,10 +384,24 @@ def test_draws_and_kept_rows_against_a_plain_version(spark, scale):
         weight = (ratios[own] - cut).sum()
         rows.append([i, len(own), weight, weight - math.log(-math.log((noise[i] + 0.5) / 2**53))])
     k = sum(r[2] >= 0 for r in rows)
-    least = sorted((r[3] for r in rows), reverse=True)[k - 1]
+    return rows, sorted((r[3] for r in rows), reverse=True)[k - 1]
+
+
+@pytest.mark.parametrize("scale", ["edges", "sf0.001"])
+def test_draws_and_kept_rows_against_a_plain_version(spark, scale):
+    """Both models, the cut, the noise, the k-th largest draw and the rows kept, counted by hand."""
+    if scale == "edges":
+        good = "A1b2C3d4E5f6 calm words and a long WORD1word2WORD3word4 stay"
+        texts = edges.TEXTS + [(100 + i, f"{good} {i % 7}") for i in range(20)] + [(200 + i, "junk junk $$$ !!! junk") for i in range(20)]
+        docs, flags = edges.documents(spark, texts), [(100 + i, 1) for i in range(15)] + [(200 + i, 0) for i in range(15)]
+        labels = spark.createDataFrame(flags, "doc_id long, quality int")
+    else:
+        docs, labels = (spark.read.parquet(f"/root/testdata/{scale}/{t}.parquet") for t in ("documents", "labels"))
+        texts, flags = [(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.quality) for r in labels.collect() if r.quality is not None]
+    rows, least = plain_draws(spark, docs, texts, flags)
     got = sorted((r.doc_id, r.n_grams, r.log_weight, r.draw, r.kept) for r in quality.select_good(docs, labels).collect() if r.doc_id is not None)
     want = sorted((*r, r[3] >= least - 1e-9) for r in rows if r[0] is not None)
-    assert len(got) == len(want) and 0 < k < len(rows)
+    assert len(got) == len(want) and 0 < sum(w[4] for w in want) < len(rows)
     for g, w in zip(got, want):
         assert g[:2] == w[:2] and g[2:4] == pytest.approx(w[2:4], abs=1e-7) and g[4] == w[4]
 

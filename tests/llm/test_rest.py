@@ -115,27 +115,51 @@ def test_perspectives(spark, block):
 
 
 def test_pipeline_stages_against_their_rules(spark):
+    """Every stage against a plain version of its rule, on what its predecessor kept."""
     import corpus_pipeline as pipeline
-    from webloom.llm import exact_dedup, quality, simhash, toxicity
+    from test_models import plain_draws, plain_score
+    from test_simhash import plain_survivors
+    from test_tokens import check_packing
+    from webloom.llm import toxicity
     from webloom.session import materialize
 
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
-    rules = [
-        lambda d: {r.doc_id for r in quality.select_good(d, labels).where("kept").collect()},
-        lambda d: {r.doc_id for r in toxicity.score_texts(d, toxicity.fit(d, labels)).where("predicted = 0").collect()},
-        lambda d: {r.doc_id for r in exact_dedup.exact_duplicates(d).where("kept").collect()},
-        lambda d: {r.component_id for r in simhash.near_copies(d).collect()},
-    ]
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    flags = [(r.doc_id, r.quality) for r in labels.collect() if r.quality is not None]
+
+    def good(docs, rows):
+        drawn, least = plain_draws(spark, docs, rows, flags)
+        return {r[0] for r in drawn if r[3] >= least - 1e-9}
+
+    def clean(docs, rows):
+        model = toxicity.fit(docs, labels)
+        return {i for i, t in rows if plain_score(model, t) < 0.5}
+
+    def once(docs, rows):
+        return {max(i for i, t in rows if t == text) for text in {t for _, t in rows}}
+
+    def nearly_once(docs, rows):
+        return set(plain_survivors(rows)[0].values())
+
     columns = docs.columns
-    for (_, stage), rule in zip(pipeline.STAGES, rules):
+    for (name, stage), rule in zip(pipeline.STAGES, [good, clean, once, nearly_once]):
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
         kept = materialize(stage(spark, docs, SMALL), "test-stage")
-        assert kept.columns == columns
-        assert {r.doc_id for r in kept.collect()} == rule(docs) and kept.count() <= docs.count()
+        assert kept.columns == columns, name
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(rule(docs, rows)), name
         docs = kept
-    packed = pipeline.STAGES[-1][1](spark, docs, SMALL)
-    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
-    assert pipeline.run(spark, SMALL).count() == packed.count()
-    empty = edges.documents(spark, []).select(columns)
-    for _, stage in pipeline.STAGES:
-        assert stage(spark, empty, SMALL).count() == 0
+    packed = pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    check_packing(packed, [(r.doc_id, r.text) for r in docs.collect()])
+    assert pipeline.run(spark, SMALL).count() == len(packed)
+
+
+def test_pipeline_on_odd_tables(spark):
+    """Repeated, tied, null and empty rows, extra columns; and no rows at all."""
+    import corpus_pipeline as pipeline
+
+    for docs in (edges.documents(spark), edges.documents(spark, [])):
+        columns, n = docs.columns, docs.count()
+        for _, stage in pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SMALL)
+            assert docs.columns == columns
+        assert docs.count() == len({(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}) and (n == 0 or docs.count() > 3)
+        assert (pipeline.STAGES[-1][1](spark, docs, SMALL).count() == 0) == (n == 0)
