@@ -17,7 +17,8 @@ from webloom.registry.fixtures import PROFILES, SHARED
 from webloom.registry.url_queries import PRINT
 from webloom.session import materialize, new_folder
 from webloom.streaming.intake import intake_results, run_intake
-from webloom.streaming.sessions import backfill_sessions, read_stream
+from webloom.streaming.motion import stream_motion_events
+from webloom.streaming.sessions import backfill_sessions, read_stream, run_to_table
 
 CONFIG = MotionConfig()
 MOTION = "fx_frames fx_clips"
@@ -267,6 +268,23 @@ def _(t):
     return backfill_sessions(samples, gap="6 hours", lateness="1 hour")
 
 
+@query("stream_motion_events", f"WITH {EVENTS} SELECT * FROM e", "fx_frames")
+def _(t):
+    # Frames arrive in files that hold some of every clip, in two batches; one far later frame settles all.
+    folder, path = new_folder(t.spark, "frame-stream"), new_folder(t.spark, "stream-events")
+    frames = t.frames()
+    frames.repartition(8, F.xxhash64("clip_id", "frame_index")).write.parquet(folder)
+    stream = t.spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    events = stream_motion_events(stream, CONFIG, "30 days")
+    progress = new_folder(t.spark, "stream-events-progress")
+    run_to_table(events, path, progress)
+    late = frames.limit(1).withColumn("clip_id", F.lit(-1).cast(frames.schema["clip_id"].dataType)).withColumn(
+        "frame_index", F.lit(16 * 86_400 * 365).cast("long")).withColumn("fps", F.lit(16.0)).withColumn("decoded", F.lit(True))
+    late.write.mode("append").parquet(folder)
+    run_to_table(events, path, progress)
+    return _flat(t.spark.read.schema(events.schema).parquet(path))
+
+
 @query(
     "stream_intake",
     f"SELECT path, {PRINT} AS fingerprint, 'Success' AS processing_status FROM fx_files", "fx_files",
