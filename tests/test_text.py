@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -90,3 +91,25 @@ def test_keyword_filter_keeps_columns_and_values(spark):
     assert keyword_filter(df, "q").count() == 4
     assert keyword_funnel(df, "q", 2, "چرا|کجا").first().asDict() == {
         "loaded": 4, "after_words": 2, "after_pattern": 1, "saved": 1}
+
+
+@pytest.mark.parametrize("min_words, pattern", [(2, "a"), (2, None), (None, "a"), (None, None), (0, "A"), (3, "^x")])
+def test_keyword_stages(spark, min_words, pattern):
+    texts = [None, "", " ", "a", "x", "a\u200cb c", " x  a  b ", "b b", "x a b c", "A A A", "\u00a0x\u2003y z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, q string")
+    normal = [" ".join((t or "").replace("\u200c", "").split()) for t in texts]
+    enough = [min_words is None or len(t.split()) >= min_words for t in normal]
+    found = [not pattern or bool(t and re.search(pattern, t, re.I)) for t in normal]
+    kept = [i for i in range(len(texts)) if enough[i] and found[i]]
+    assert [r.n for r in keyword_filter(df, "q", min_words, pattern).orderBy("n").collect()] == kept
+    want = {"loaded": len(texts), "saved": len(kept)}
+    want |= {"after_words": sum(enough)} if min_words is not None else {}
+    want |= {"after_pattern": len(kept)} if pattern else {}
+    assert keyword_funnel(df, "q", min_words, pattern).first().asDict() == want
+
+
+def test_keywords_are_normalised_once(spark):
+    """The plan holds the two replacements of the normalisation once, in the filter and in the counts."""
+    df = spark.range(3).selectExpr("concat('a b ', id) q")
+    for result in (keyword_filter(df, "q", 2, "a"), keyword_funnel(df, "q", 2, "a")):
+        assert result._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2

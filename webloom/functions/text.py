@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from webloom.fixed_values import FAILED_REPLY, REPLY_KEYS
@@ -18,6 +20,14 @@ _FINE = "(?![!-~]| [!-~])"
 _INVISIBLE = r"[\u200c\u200d\u2066\u2067]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used.
+
+    Spark repeats an expression wherever it stands; the element of an array is computed by itself.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
@@ -39,12 +49,17 @@ def normalize_persian(col: Column) -> Column:
     return F.coalesce(collapse_ws(visible), F.lit(""))
 
 
-def word_count(normalized: Column) -> Column:
-    """Words of a text that already went through a whitespace collapse."""
+def words_in(normalized: Column) -> Column:
+    """Words of a text that already went through a whitespace collapse and is cheap to repeat."""
     spaces = F.length(normalized) - F.length(F.translate(normalized, " ", ""))
     return F.when(normalized == "", F.lit(0)).otherwise(spaces + 1)
 
 
+def word_count(normalized: Column) -> Column:
+    """Words of a text that went through a whitespace collapse."""
+    return bound(normalized, words_in)
+
+
 def contains_ci(col: Column, literal: str) -> Column:
     """Case-insensitive literal search; null never matches."""
     found = F.contains(F.lower(col.cast("string")), F.lower(F.lit(literal)))

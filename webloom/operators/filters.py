@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webloom.functions.robots import is_html
-from webloom.functions.text import contains_ci, normalize_persian, regex_search_ci, strip, word_count
+from webloom.functions.text import bound, contains_ci, normalize_persian, regex_search_ci, strip, words_in
 from webloom.sources.tables import require_column
 
 
@@ -32,14 +32,25 @@ def removed_examples(df: DataFrame, column: str, literal: str, order: str, count
     return hits.orderBy(order).limit(count).select(order, column)
 
 
-def _keyword_conditions(column: str, min_words: int | None, pattern: str | None) -> list[Column]:
-    text = normalize_persian(F.col(column))
-    conditions = []
-    if min_words is not None:
-        conditions.append(word_count(text) >= min_words)
-    if pattern:
-        conditions.append(regex_search_ci(text, pattern))
-    return conditions
+def _stages_passed(column: str, min_words: int | None, pattern: str | None) -> Column:
+    """How many of the filter's stages a keyword passes in turn; it is normalised once for all."""
+
+    def passed(text: Column) -> Column:
+        conditions = []
+        if min_words is not None:
+            conditions.append(words_in(text) >= min_words)
+        if pattern:
+            conditions.append(regex_search_ci(text, pattern))
+        stages = F.lit(0)
+        for condition in reversed(conditions):
+            stages = F.when(condition, stages + 1).otherwise(0)
+        return stages
+
+    return bound(normalize_persian(F.col(column)), passed)
+
+
+def _stage_names(min_words: int | None, pattern: str | None) -> list[str]:
+    return (["after_words"] if min_words is not None else []) + (["after_pattern"] if pattern else [])
 
 
 def keyword_filter(
@@ -47,9 +58,8 @@ def keyword_filter(
 ) -> DataFrame:
     """Keep keywords with enough words and a pattern match; columns and values stay as they are."""
     require_column(df, column)
-    for condition in _keyword_conditions(column, min_words, pattern):
-        df = df.filter(condition)
-    return df
+    stages = len(_stage_names(min_words, pattern))
+    return df.filter(_stages_passed(column, min_words, pattern) == stages) if stages else df
 
 
 def keyword_funnel(
@@ -57,13 +67,10 @@ def keyword_funnel(
 ) -> DataFrame:
     """Rows left after each stage of the keyword filter, counted in one pass."""
     require_column(df, column)
-    conditions = _keyword_conditions(column, min_words, pattern)
-    passed, counts = F.lit(True), [F.count(F.lit(1)).alias("loaded")]
-    names = (["after_words"] if min_words is not None else []) + (["after_pattern"] if pattern else [])
-    for name, condition in zip(names, conditions):
-        passed = passed & condition
-        counts.append(F.count_if(passed).alias(name))
-    return df.agg(*counts, F.count_if(passed).alias("saved"))
+    names = _stage_names(min_words, pattern)
+    passed = df.select(_stages_passed(column, min_words, pattern).alias("_stages"))
+    counts = [F.count_if(F.col("_stages") >= stage).alias(name) for stage, name in enumerate(names, 1)]
+    return passed.agg(F.count(F.lit(1)).alias("loaded"), *counts, F.count_if(F.col("_stages") >= len(names)).alias("saved"))
 
 
 def non_blank(df: DataFrame, column: str) -> DataFrame:
