@@ -24,6 +24,32 @@ PAGE_HTTP = [
     "CASE WHEN page_id % 29 = 11 THEN 'timeout' ELSE NULL END AS error",
 ]
 
+# A stored page as a page of one of three sites: its own title, menu, text and footer, with metadata added to its head,
+# a block of links behind its heading, and a content root, menu element and overlay that differ from page to page.
+_NUMBER = "CAST(page_id AS STRING)"
+_CHILD = "CAST(2 * CAST((page_id - page_id % 3) / 3 AS BIGINT) + {} AS STRING)"
+_HEAD = f"""'<meta name="Description" content=" d' || {_NUMBER} || ' "><meta name="robots" content="'
+       || CASE WHEN page_id % 4 = 1 THEN 'NOINDEX' ELSE 'index' END || '"><link rel="canonical" href="/c/' || {_NUMBER} || '">'
+       || CASE WHEN page_id % 5 = 2 THEN '<meta name="GoogleBot" content="NoFollow">' WHEN page_id % 5 = 4 THEN '<meta name="googlebot" content="all">' ELSE '' END
+       || CASE WHEN page_id % 7 = 3 THEN '<meta property="og:title" content="Shared ' || {_NUMBER} || '"><meta property="og:description" content="about">' ELSE '' END
+       || '</head>'"""
+_LINKS = f"""'</h1>' || CASE WHEN page_id % 10 < 7 THEN '<a href="/pricing">Pricing</a>' ELSE '' END
+       || CASE WHEN page_id % 3 = 1 THEN '<div aria-modal="true"><a href="/consent">Consent</a></div>' ELSE '' END
+       || '<a href="/p/' || {_CHILD.format(1)} || '">left</a><a href="/p/' || {_CHILD.format(2)} || '#top">right  side</a>'
+       || '<a href="/p/0"><img src="i.png" alt="home  icon"></a><a href="/f.PDF">file</a><a href="https://other.example/">x</a>'
+       || '<a href="mailto:a@b.example">m</a><a href="/p/0"><img src="i.png" alt="home icon"></a>'"""
+_ROOTS = (("<main>", "</main>"), ('<div id="content">', "</div>"), ("<article>", "</article>"), ("", ""))
+
+
+def _by_root(place: int) -> str:
+    return "CASE CAST(page_id % 4 AS INT) " + " ".join(f"WHEN {n} THEN '{tags[place]}'" for n, tags in enumerate(_ROOTS)) + " END"
+
+
+SITE_HTML = f"""replace(replace(replace(replace(replace(replace(html, '</head>', {_HEAD}), '</article>', {_by_root(1)}),
+       '<article>', {_by_root(0)}), '</h1>', {_LINKS}),
+       '<nav><ul>', CASE WHEN page_id % 5 = 0 THEN '<div class="navbar"><ul>' ELSE '<nav><ul>' END || '<li><a href="/menu">Menu</a></li>'),
+       '</ul></nav>', CASE WHEN page_id % 5 = 0 THEN '</ul></div>' ELSE '</ul></nav>' END)"""
+
 SHARED = {
     "fx_urls": """
 SELECT page_id AS row_id,
@@ -62,7 +88,7 @@ FROM part""",
     "fx_page_http": f"""
 SELECT {", ".join(PAGE_HTTP)}
 FROM pages""",
-    "fx_site": """
+    "fx_site": f"""
 SELECT page_id, 'site' || CAST(page_id % 3 AS STRING) || '.example' AS site,
        'https://site' || CAST(page_id % 3 AS STRING) || '.example/p/' || CAST(CAST((page_id - page_id % 3) / 3 AS BIGINT) AS STRING) AS url,
        CASE CAST(page_id % 10 AS INT) WHEN 9 THEN 404 ELSE 200 END AS status,
@@ -70,15 +96,7 @@ SELECT page_id, 'site' || CAST(page_id % 3 AS STRING) || '.example' AS site,
        CASE WHEN page_id % 16 = 15 THEN 'image/png' ELSE 'text/html' END AS content_type,
        CASE WHEN page_id % 6 = 2 THEN 'NoIndex, nofollow' WHEN page_id % 6 = 3 THEN 'nofollow' ELSE NULL END AS x_robots_tag,
        CASE WHEN page_id % 47 = 40 THEN 'timeout' ELSE NULL END AS error,
-       '<html><head><title> Page  ' || CAST(page_id AS STRING) || ' </title><meta name="Description" content=" d' || CAST(page_id AS STRING)
-       || ' "><meta name="robots" content="' || CASE WHEN page_id % 4 = 1 THEN 'NOINDEX' ELSE 'index' END
-       || '"><link rel="canonical" href="/c/' || CAST(page_id AS STRING) || '"></head><body><nav><a href="/menu">Menu</a></nav><main><h1>H '
-       || CAST(page_id AS STRING) || '</h1>'
-       || CASE WHEN page_id % 10 < 7 THEN '<a href="/pricing">Pricing</a>' ELSE '' END
-       || '<a href="/p/' || CAST(2 * CAST((page_id - page_id % 3) / 3 AS BIGINT) + 1 AS STRING) || '">left</a>'
-       || '<a href="/p/' || CAST(2 * CAST((page_id - page_id % 3) / 3 AS BIGINT) + 2 AS STRING) || '#top">right  side</a>'
-       || '<a href="/p/0"><img src="i.png" alt="home  icon"></a><a href="/f.PDF">file</a><a href="https://other.example/">x</a>'
-       || '<a href="mailto:a@b.example">m</a><a href="/p/0"><img src="i.png" alt="home icon"></a></main></body></html>' AS html
+       {SITE_HTML} AS html
 FROM pages""",
     "fx_inspection": """
 SELECT page_id AS row_id, url,

@@ -31,12 +31,12 @@ def _(t):
 
 
 def _attr(pattern: str) -> str:
-    return stripped(f"regexp_extract(html, '{pattern}', 1)")
+    return stripped(unescaped(f"regexp_extract(html, '{pattern}', 1, 's')"))
 
 
 @query(
     "page_metadata_exact",
-    f"""SELECT page_id, {stripped("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title, '' AS description,
+    f"""SELECT page_id, {_attr("<title>(.*?)</title>")} AS title, '' AS description,
         {_attr('rel="canonical" href="([^"]*)"')} AS canonical, {_attr('name="robots" content="([^"]*)"')} AS meta_robots,
         {_attr('<h1>(.*?)</h1>')} AS h1 FROM fx_site""", "fx_site",
 )
@@ -44,9 +44,15 @@ def _(t):
     return pg.page_metadata(spread(t.view("fx_site")), ("page_id",), exact=True)
 
 
-@query("page_metadata_og", f"SELECT page_id, {_title('title')} AS title, '' AS description FROM pages")
+OG_TITLE = f"CASE WHEN page_id % 7 = 3 THEN 'Shared ' || page_id ELSE {_title('title')} END"
+OG_DESCRIPTION = "CASE WHEN page_id % 2 = 0 THEN 'd' || page_id WHEN page_id % 7 = 3 THEN 'about' ELSE '' END"
+
+
+@query("page_metadata_og", f"SELECT page_id, {OG_TITLE} AS title, {OG_DESCRIPTION} AS description FROM fx_site", "fx_site")
 def _(t):
-    return pg.page_metadata_og(spread(t.table("pages")), ("page_id",))
+    # Without the plain description on every second page, the shared one stands in.
+    plain = F.expr("if(page_id % 2 = 1, replace(html, '<meta name=\"Description\"', '<meta name=\"none\"'), html)")
+    return pg.page_metadata_og(spread(t.view("fx_site")).withColumn("html", plain), ("page_id",))
 
 
 ARTICLE = without_tags("regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's')")
@@ -60,7 +66,7 @@ def _(t):
 @query(
     "robots_directives",
     """SELECT page_id, lower(regexp_extract(html, 'name="robots" content="([^"]*)"', 1)) AS live_meta_robots,
-       '' AS live_meta_googlebot FROM fx_site""", "fx_site",
+       lower(regexp_extract(html, '(?i)name="googlebot" content="([^"]*)"', 1)) AS live_meta_googlebot FROM fx_site""", "fx_site",
 )
 def _(t):
     return pg.robots_directives(spread(t.view("fx_site")), ("page_id",))
@@ -90,19 +96,28 @@ def _(t):
 
 @query(
     "excluded_links_legacy",
-    """SELECT page_id, url AS source, '/menu' AS href, 'Menu' AS anchor_text FROM fx_site""", "fx_site",
+    f"""WITH n AS (SELECT page_id, url, unnest(regexp_extract_all(regexp_extract(html, '(<nav>|<div class="navbar">)<ul>(.*?)</ul>', 2, 's'),
+          '<a href="[^"]*">[^<]*</a>')) AS a FROM fx_site)
+        SELECT page_id, url AS source, {unescaped("regexp_extract(a, 'href=.([^\"]*)\"', 1)")} AS href,
+        {collapsed(unescaped("regexp_extract(a, '>([^<]*)<', 1)"))} AS anchor_text FROM n""", "fx_site",
 )
 def _(t):
     return ln.excluded_links(spread(t.view("fx_site")), keep=("page_id",), legacy_rule=True)
 
 
+# What stands in a page's content root; an overlay holds the only inner element of its kind.
+CONTENT = """CASE CAST(page_id % 4 AS INT) WHEN 0 THEN regexp_extract(html, '<main>(.*?)(</main>|$)', 1, 's')
+    WHEN 1 THEN regexp_extract(html, '<div id="content">((<div aria-modal.*?</div>|.)*?)(</div>|$)', 1, 's')
+    WHEN 2 THEN regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's') ELSE regexp_extract(html, '</h1>(.*)$', 1, 's') END"""
+
+
 @query(
     "content_roots",
-    """SELECT page_id, url, 'article' AS root_kind, len(regexp_extract_all(html, '<a href=')) AS links,
-       len(regexp_extract_all(regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's'), '<a href=')) AS root_links FROM pages""",
+    f"""SELECT page_id, url, CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'main' WHEN 1 THEN 'named' WHEN 2 THEN 'article' ELSE 'after_h1' END AS root_kind,
+       len(regexp_extract_all(html, '<a href=')) AS links, len(regexp_extract_all({CONTENT}, '<a href=')) AS root_links FROM fx_site""", "fx_site",
 )
 def _(t):
-    return ln.content_roots(spread(t.table("pages")), keep=("page_id",))
+    return ln.content_roots(spread(t.view("fx_site")), keep=("page_id",))
 
 
 # --- one site ---
@@ -110,7 +125,7 @@ PARSED = "error IS NULL AND status = 200 AND contains(content_type, 'html')"
 # Anchors of the content, resolved; only root-relative links are internal here.
 def _anchors(condition: str) -> str:
     return f"""a AS (SELECT site, page_id, url AS source, unnest(regexp_extract_all(
-    regexp_extract(html, '<main>(.*)</main>', 1), '<a href="/[^"]*">.*?</a>')) AS a FROM fx_site WHERE {condition})"""
+    regexp_replace({CONTENT}, '<div aria-modal.*?</div>', ''), '<a href="/[^"]*">.*?</a>')) AS a FROM fx_site WHERE {condition})"""
 
 
 ANCHOR_TEXT = collapsed(
@@ -176,7 +191,7 @@ def _(t):
 
 EDGES = f"""h AS (SELECT site, url, unnest(regexp_extract_all(html, '<a href="(/[^"#]*)', 1)) AS href
     FROM fx_site WHERE {PARSED}),
-  e AS (SELECT DISTINCT site, url, 'https://' || site || href AS dst FROM h WHERE NOT ends_with(href, '.PDF')),
+  e AS (SELECT DISTINCT site, url, 'https://' || site || {unescaped('href')} AS dst FROM h WHERE NOT ends_with(href, '.PDF')),
   b AS (SELECT DISTINCT site, 'https://' || site || '/p/0' AS url, 0 AS depth FROM fx_site
         UNION SELECT e.site, e.dst, b.depth + 1 FROM b JOIN e ON e.site = b.site AND e.url = b.url WHERE b.depth < 60),
   v AS (SELECT site, url, min(depth) AS depth FROM b GROUP BY ALL)"""
@@ -205,11 +220,11 @@ def _meta(column: str, expression: str) -> str:
 
 STATUS = "coalesce('Error: ' || error, CAST(first_status AS STRING), 'Not checked')"
 AUDIT_PAGES = f"""WITH {EDGES} SELECT v.site, v.url,
-  {_meta('title', collapsed("regexp_extract(html, '<title>(.*?)</title>', 1)"))},
+  {_meta('title', _title('title'))},
   {_meta('description', _attr('name="Description" content="([^"]*)"'))},
   {_meta('canonical', _attr('rel="canonical" href="([^"]*)"'))},
   {_meta('meta_robots', _attr('name="robots" content="([^"]*)"'))},
-  {_meta('h1', _attr('<h1>(.*?)</h1>'))}, {STATUS} AS status_code, depth
+  {_meta('h1', _title('h1'))}, {STATUS} AS status_code, depth
   FROM v LEFT JOIN fx_site s ON s.site = v.site AND s.url = v.url"""
 
 
@@ -275,14 +290,15 @@ FLAT = f"""f AS (SELECT row_id, url, CASE WHEN api_error IS NOT NULL THEN 'ERROR
     json_extract_string(response_json, '$.inspectionResult.inspectionResultLink') AS inspection_link,
     api_error AS gsc_error FROM fx_inspection)"""
 ROBOTS = """lower(regexp_extract(html, 'name="robots" content="([^"]*)"', 1))"""
-FLAGS = f"({ROBOTS} || '  ' || coalesce(lower(x_robots_tag), ''))"
+GOOGLEBOT = """lower(regexp_extract(html, '(?i)name="googlebot" content="([^"]*)"', 1))"""
+FLAGS = f"({ROBOTS} || ' ' || {GOOGLEBOT} || ' ' || coalesce(lower(x_robots_tag), ''))"
 LIVE = f"""g AS (SELECT page_id AS row_id, CASE WHEN error IS NULL THEN status END AS live_http_status,
     CASE WHEN error IS NULL THEN url END AS live_final_url,
     error IS NULL AND status = 200 AND NOT contains({FLAGS}, 'noindex') AS live_available,
     CASE WHEN error IS NULL THEN contains({FLAGS}, 'noindex') END AS live_noindex,
     CASE WHEN error IS NULL THEN contains({FLAGS}, 'nofollow') END AS live_nofollow,
     CASE WHEN error IS NULL THEN {ROBOTS} END AS live_meta_robots,
-    CASE WHEN error IS NULL THEN '' END AS live_meta_googlebot,
+    CASE WHEN error IS NULL THEN {GOOGLEBOT} END AS live_meta_googlebot,
     CASE WHEN error IS NULL THEN coalesce(lower(x_robots_tag), '') END AS live_x_robots_tag,
     error AS live_error FROM fx_site)"""
 VERDICT = """CASE WHEN coalesce(gsc_error, '') <> '' THEN 'GSC_API_ERROR' WHEN coalesce(live_error, '') <> '' THEN 'LIVE_CHECK_ERROR'
