@@ -190,3 +190,40 @@ def test_redirect_status(spark):
     df = spark.createDataFrame([(1, "a", 2, 200), (1, "a", 0, 301), (1, "a", 1, 302), (1, "b", 0, 404)],
                                "site_id INT, url STRING, hop INT, status INT")
     assert sorted(map(tuple, redirect_status(df).collect())) == [(1, "a", 301, 200), (1, "b", 404, 404)]
+
+
+def crowd(spark, rows=60_000):
+    """A third of the rows in one group, order values 2^20 apart; another group whose values double; the rest dense."""
+    return spark.range(rows).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3000 = 1 THEN 'doubling' ELSE concat('g', id % 50) END k",
+        "CASE WHEN id % 3 = 0 THEN id * 1048576 WHEN id % 3000 = 1 THEN shiftleft(1L, CAST(id / 3000 AS INT)) ELSE id END o", "id % 7 v")
+
+
+def test_pieces_are_cut_by_rank(spark):
+    from webloom.operators.split_windows import with_piece
+
+    size = 500
+    pieces = with_piece(crowd(spark), ["k"], "o", size).groupBy("k", "_piece").agg(
+        F.count("*").alias("n"), F.min("o").alias("low"), F.max("o").alias("high")).collect()
+    by_group = {}
+    for r in pieces:
+        by_group.setdefault(r.k, []).append((r._piece, r.low, r.high, r.n))
+    assert max(n for group in by_group.values() for *_, n in group) <= size
+    # 20,000 rows of the hot group: neither a piece per row nor more than a small multiple of what is needed.
+    assert 40 <= len(by_group["hot"]) <= 70 and len(by_group["doubling"]) == 1
+    for group in by_group.values():
+        group.sort()
+        assert all(a[2] < b[1] for a, b in zip(group, group[1:]))  # numbered in the order of their values
+
+
+def test_sparse_orders_give_the_window(spark):
+    from pyspark.sql import Window
+
+    rows = crowd(spark, 12_000).unionByName(spark.createDataFrame([(None, 5, 1), (None, 2**60, 2), ("hot", -(2**40), 3), ("g1", None, 9)], "k string, o long, v long"))
+    values = {"s": Running("sum", F.col("v")), "m": Running("max", F.col("v"), include_current=False)}
+    got = running(rows, ["k"], "o", values, 100)
+    window = Window.partitionBy("k").orderBy("o")
+    want = rows.select("*", F.sum("v").over(window.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
+                       F.max("v").over(window.rowsBetween(Window.unboundedPreceding, -1)).alias("m"))
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, got.select("k", "o", "v", "s", "m").collect())) == sorted(map(key, want.collect()))

@@ -1,11 +1,16 @@
 """Running values over ordered groups of any size.
 
-A plain ``Window.partitionBy(key)`` puts a whole group into one task. So every group is cut
-along its integer order column into pieces of at most ``piece_rows`` order values: running
+A plain ``Window.partitionBy(key)`` puts a whole group into one task. So every group of more than
+``piece_rows`` rows is cut along its integer order column into pieces of at most so many rows: running
 values are computed inside a piece, one total per piece is carried forward over the (far
 fewer) pieces, and both are combined. The result equals the undivided window. There is one
 way for all sizes; a short group is a single piece.
 
+Cuts are quantiles of the order values, from a sketch that merges before the shuffle, so pieces hold
+about equally many rows however sparse or uneven the values are (time stamps, for example). A piece
+that is still too large is cut again by its own quantiles. The cuts are written before they are used:
+every step that reads them sees the same.
+
 Rows with null keys form a group of their own, as in any window, and rows without an order
 value come first in it, in no particular order.
 """
@@ -21,6 +26,10 @@ from webloom.session import materialize
 
 #: Rows one task can order comfortably; a group holding 10^11 rows makes 10^5 pieces.
 PIECE_ROWS = 1 << 20
+#: Parts that a piece is cut into at once, and accuracy of the sketch: an error of one in so many rows.
+PARTS, ACCURACY = 64, 10_000
+#: Times that a piece is cut again at most: far beyond any size; equal values cannot be cut.
+LEVELS = 8
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 _JOIN = {"max": F.greatest, "min": F.least}
 
@@ -44,9 +53,25 @@ class Running:
 
 
 def with_piece(df: DataFrame, keys: Sequence[str], order: str, size: int) -> DataFrame:
-    """Add the group as one value that is never null, so that joins keep null keys, and the piece."""
-    piece = F.coalesce(F.expr(f"`{order}` div {size}"), F.lit(-1).cast("long"))
-    return df.withColumns({"_group": F.struct(*keys), "_piece": piece})
+    """Add the group as one value that is never null, so that joins keep null keys, and the piece.
+
+    Pieces of a group are numbered in the order of their values. Only groups and pieces of more than
+    ``size`` rows are looked at again, of which there are no more than rows divided by ``size``.
+    """
+    value = F.col(order)
+    rows = df.withColumns({"_group": F.struct(*keys), "_piece": F.when(value.isNull(), F.lit(-1).cast("long")).otherwise(0)})
+    quantiles = [part / PARTS for part in range(1, PARTS)]
+    where = ["_group", "_piece"]
+    for _ in range(LEVELS):
+        counted = rows.filter(value.isNotNull()).groupBy(*where).agg(F.count(F.lit(1)).alias("_rows"))
+        crowded = materialize(counted.filter(F.col("_rows") > size).select(*where), "crowded-pieces")
+        if crowded.isEmpty():
+            break
+        sketch = rows.join(crowded, where, "left_semi").groupBy(*where).agg(F.percentile_approx(order, quantiles, ACCURACY).alias("_cuts"))
+        cuts = materialize(sketch.select(*where, F.array_distinct("_cuts").alias("_cuts")), "cuts")
+        passed = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < value)), F.lit(0))
+        rows = rows.join(cuts, where, "left").withColumn("_piece", F.col("_piece") * PARTS + passed).drop("_cuts")
+    return rows
 
 
 def running(
