@@ -48,6 +48,11 @@ def test_host_extension_and_scheme_follow_url_parser(spark, urls):
         u.strip() if not u.strip() or urlparse(u.strip()).scheme else "https://" + u.strip() for u in urls])
 
 
+def test_parameters_of_schemes_without_any(spark):
+    urls = ["pp.https:;x=1.tar.gz", "p.pdfhttp:.tar.gz;x=1", "a:/;.css", "http:/a.css;x", "http:/a;x.css", "tel:1.pdf;x", ".css;x", "x;y.css", "MAILTO:a.css;b"]
+    check(urls, values(spark, urls, ur.has_unwanted_extension(F.col("t"))), [urlparse(u).path.lower().endswith(UNWANTED_EXTENSIONS) for u in urls])
+
+
 @BATCH
 @given(URLS)
 def test_resolve_follows_url_parser(spark, hrefs):

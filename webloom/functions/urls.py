@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import lru_cache
-from urllib.parse import urljoin, urlparse
+from urllib.parse import urljoin, urlparse, uses_params
 
 import pyarrow as pa
 from pyspark.errors import IllegalArgumentException
@@ -125,10 +125,11 @@ def is_internal(url: Column, domain: Column) -> Column:
 
 
 def has_unwanted_extension(url: Column) -> Column:
-    path = F.lower(F.regexp_extract(_as_parsed(url), _URL, _PATH))
+    path, scheme = (F.lower(F.regexp_extract(_as_parsed(url), _URL, part)) for part in (_PATH, _SCHEME))
     endings = "|".join(re.escape(e) for e in UNWANTED_EXTENSIONS)
-    # Parameters of the last segment are not part of the path.
-    return path.rlike(f"(?:^|/)[^/;]*(?:{endings})(?:;[^/]*)?$")
+    # Parameters of the last segment are not part of the path, where the scheme knows any.
+    whole = path.rlike(f"(?:{endings})$")
+    return F.when(scheme.isin(*uses_params), path.rlike(f"(?:^|/)[^/;]*(?:{endings})(?:;[^/]*)?$")).otherwise(whole)
 
 
 def _is_regex(pattern: str) -> bool:
