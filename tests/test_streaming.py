@@ -3,9 +3,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from webloom.registry import catalog, motion_queries  # noqa: F401
 from webloom.session import new_folder
 from webloom.streaming.intake import BatchTable, intake_batch, intake_results, run_intake
-from webloom.streaming.sessions import backfill_sessions, run_to_table, session_events
+from webloom.streaming.sessions import backfill_sessions, read_stream, run_to_table, session_events
 
 START = datetime(2024, 1, 1)
 
@@ -50,6 +51,42 @@ def test_append_mode_releases_closed_sessions_once(spark):
     assert spans(spark.read.schema(sessions.schema).parquet(out)) == SESSIONS
 
 
+def write_pages(spark, path, ids, files=1):
+    spark.createDataFrame([(i, str(i % 3)) for i in ids], "page_id BIGINT, host STRING").repartition(files).write.mode("append").parquet(path)
+
+
+def test_a_table_of_part_files_is_streamed_whole(spark):
+    """Name by name: one file, a folder of files, a partitioned folder; tables beside it are not listed."""
+    folder, schema = new_folder(spark, "tables"), "page_id BIGINT, host STRING"
+    write_pages(spark, f"{folder}/parts.parquet", range(20), 3)
+    write_pages(spark, f"{folder}/other/parts.parquet", range(100, 120))
+    spark.read.parquet(f"{folder}/parts.parquet").write.partitionBy("host").parquet(f"{folder}/hosts.parquet")
+    one = spark.read.parquet(f"{folder}/parts.parquet").toPandas()
+    one.to_parquet(f"{folder}/one.parquet", index=False)
+
+    for name in ("parts.parquet", "hosts.parquet", "one.parquet", "par*.parquet"):
+        out, progress = new_folder(spark, "streamed"), new_folder(spark, "progress")
+        rows = read_stream(spark, folder, name, schema)
+        run_to_table(rows, out, progress)
+        assert sorted(map(tuple, spark.read.schema(schema).parquet(out).collect())) == [(i, str(i % 3)) for i in range(20)], name
+    # Files that a folder gets later are read by the next run, and nothing else.
+    out, progress = new_folder(spark, "streamed"), new_folder(spark, "progress")
+    rows = read_stream(spark, folder, "parts.parquet", schema)
+    run_to_table(rows, out, progress)
+    write_pages(spark, f"{folder}/parts.parquet", [20])
+    run_to_table(rows, out, progress)
+    assert sorted(r.page_id for r in spark.read.schema(schema).parquet(out).collect()) == list(range(21))
+
+
+def test_intake_query_reads_every_part_of_the_pages(spark):
+    folder = new_folder(spark, "tables")
+    write_pages(spark, f"{folder}/pages.parquet", range(60), 4)
+    got = catalog.QUERIES["stream_intake"](spark, folder).collect()
+    assert sorted(map(tuple, got)) == sorted(
+        (f"/v/{'' if i % 6 == 0 else f'2024010{1 + i % 5}/'}clip{i}.mp4", f"{1000 + i}:{1700000000000000 + i * 10}:sig", "Success")
+        for i in range(60))
+
+
 def add_files(spark, folder, rows):
     spark.createDataFrame(rows, "path STRING, fingerprint STRING").coalesce(1).write.mode("append").parquet(folder)
 
